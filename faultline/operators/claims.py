@@ -81,15 +81,19 @@ def with_sessions(events: DataFrame) -> DataFrame:
     """Add ``slot`` and ``session``: the first slot of the run of busy slots a row is in.
 
     A run starts at a slot whose predecessor is empty and whose first event is a
-    claim. The window runs over busy slots, not over events.
+    claim; on a tie the run is simply not cut. The window runs over busy slots,
+    not over events.
     """
-    slotted = events.withColumn("slot", F.floor(F.col("ts") / SLOT_MS))
+    slotted = events.withColumn("slot", F.expr(f"ts div {SLOT_MS}"))
+    is_claim = F.col("kind") == "claim"
     slots = slotted.groupBy(*KEY, "slot").agg(
-        F.min_by("kind", F.struct("ts", "event_id")).alias("first_kind")
+        F.min(F.when(is_claim, F.col("ts"))).alias("claim_ts"),
+        F.min(F.when(~is_claim, F.col("ts"))).alias("other_ts"),
     )
     order = Window.partitionBy(*KEY).orderBy("slot")
     previous = F.lag("slot").over(order)
-    starts = previous.isNull() | ((F.col("slot") - previous > 1) & (F.col("first_kind") == "claim"))
+    claim_first = F.col("claim_ts") < F.coalesce("other_ts", F.lit(2**63 - 1))
+    starts = previous.isNull() | ((F.col("slot") - previous > 1) & claim_first)
     runs = slots.withColumn("start", F.when(starts, F.col("slot"))).withColumn(
         "session", F.last("start", ignorenulls=True).over(order)
     )

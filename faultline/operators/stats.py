@@ -23,13 +23,19 @@ def top_flakes(
     failures: DataFrame, now_ms: int, days: int = 7, limit: int = S.TOP_FLAKES
 ) -> DataFrame:
     """Most repeated signatures of every repo: (repo, signature_hash, signature_text, count, rank)."""
-    per_signature = (
+    # a hash names one text, so counting per text first costs no extra groups and
+    # keeps the large aggregate numeric, which Spark runs in hash maps
+    per_text = (
         in_window(failures, now_ms, days)
-        .groupBy("repo", "signature_hash")
+        .groupBy("repo", "signature_hash", "signature_text")
+        .agg(F.sum("occurrence_count").alias("count"), F.max("last_seen_at").alias("seen"))
+    )
+    per_signature = (
+        per_text.groupBy("repo", "signature_hash")
         .agg(
             F.min("signature_text").alias("signature_text"),
-            F.sum("occurrence_count").alias("count"),
-            F.max("last_seen_at").alias("seen"),
+            F.sum("count").alias("count"),
+            F.max("seen").alias("seen"),
         )
         .filter(F.col("count") >= S.FLAKE_MIN)
     )

@@ -497,7 +497,7 @@ SELECT id, position, round(cast(x AS DOUBLE), 5) AS x FROM (SELECT id, unnest(u)
     SELECT id, list_transform(vector, lambda x: cast(cast(x * 3 AS FLOAT) AS DOUBLE)) AS v FROM fx_vectors))))
 """)
 def _(t):
-    tripled = t.vectors.select("id", F.transform("vector", lambda x: x * 3).alias("vector"))
+    tripled = t.vectors.select("id", F.transform("vector", lambda x: (x * 3).cast("float")).alias("vector"))
     out = vectors.normalise_vectors(tripled).select("id", F.posexplode("vector").alias("position", "x"))
     return out.withColumn("x", F.round(F.col("x").cast("double"), 5))
 

@@ -492,6 +492,9 @@ VIEWS = {
 }
 
 
+WIDE_TEXT = ["fx_logs", "fx_deliveries", "fx_replies", "fx_objects", "fx_frames", "fx_transcripts"]
+
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, steps, columns, keep = VIEWS[name]
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -500,7 +503,10 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         df = df.selectExpr(*[c for c in df.columns if c not in fresh], *[f"{e} AS {n}" for n, e in step])
     if keep:
         df = df.filter(keep)
-    # a generator keeps the projection whole: operators see columns, as on a stored table
+    if name not in WIDE_TEXT:
+        return df.select(*columns)
+    # a generator computes the long texts once per row: operators see columns, as on
+    # a stored table, instead of inlining the template into every use
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
