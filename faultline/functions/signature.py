@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from faultline import schemas as S
 from faultline.functions import patterns as P
+from faultline.functions.reuse import once_per_context
 from faultline.functions.text import clip, col, filled, let, trim
 
 HINT_CATEGORIES = ["test_failure", "compile_error", "lint_error"]
@@ -219,7 +220,8 @@ def is_blank(lines) -> Column:
     return F.forall(lines, lambda x: filled(x).isNull())
 
 
-def fingerprint(log) -> Column:
+@once_per_context
+def fingerprint(log: str) -> Column:
     """struct(hash, text, category, file_hint, excerpt, confidence) of a raw log."""
     empty = _fields(
         F.lit("empty log"), F.lit("unknown"), F.lit(None).cast("string"), F.lit(""), F.lit(0.0)

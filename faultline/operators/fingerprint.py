@@ -1,9 +1,10 @@
 """Fingerprint operators over a table of logs: (log_id, log_text)."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import signature as sig
+from faultline.functions.reuse import once_per_context
 from faultline.functions.text import let
 
 
@@ -12,6 +13,16 @@ def fingerprint_logs(logs: DataFrame, text: str = "log_text", keep=("log_id",))
     return logs.select(*keep, sig.fingerprint(text).alias("s")).select(*keep, "s.*")
 
 
+@once_per_context
+def detected(log: str) -> Column:
+    return let(sig.tail_lines(log), sig.detect)
+
+
+@once_per_context
+def undetected(log: str) -> Column:
+    return let(sig.tail_lines(log), sig.fallback_signature)
+
+
 def log_tail(logs: DataFrame, lines: int | None = None, chars: int | None = None) -> DataFrame:
     size = {}
     if lines is not None:
@@ -48,8 +59,7 @@ def prescreen_lines(logs: DataFrame) -> DataFrame:
 
 def classify_logs(logs: DataFrame) -> DataFrame:
     """Winning rule per log; logs without one are absent."""
-    hit = let(sig.tail_lines("log_text"), sig.detect)
-    found = logs.select("log_id", hit.alias("hit")).filter("hit IS NOT NULL")
+    found = logs.select("log_id", detected("log_text").alias("hit")).filter("hit IS NOT NULL")
     return found.select(
         "log_id",
         (-F.col("hit.newest")).alias("line_index"),
@@ -61,5 +71,4 @@ def classify_logs(logs: DataFrame) -> DataFrame:
 
 def fallback_signatures(logs: DataFrame) -> DataFrame:
     """Signature of logs in which no rule fires, whatever the rules say about them."""
-    out = let(sig.tail_lines("log_text"), sig.fallback_signature)
-    return logs.select("log_id", out.alias("s")).select("log_id", "s.*")
+    return logs.select("log_id", undetected("log_text").alias("s")).select("log_id", "s.*")

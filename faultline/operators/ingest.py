@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import schemas as S
 from faultline.functions import variants as V
+from faultline.functions.reuse import once_per_context
 from faultline.functions.text import col, filled, let, present, trim
 
 # ---- fixed values: payload vocabulary ---------------------------------------
@@ -297,29 +298,31 @@ def extract_log_text(deliveries: DataFrame, *paths: str) -> DataFrame:
     )
 
 
-def adapt(deliveries: DataFrame, provider: str) -> DataFrame:
-    """Rows one adapter accepts, whatever the other adapters would say."""
+@once_per_context
+def adapted(provider: str) -> Column:
     adapter = {
         "github": from_github,
         "jenkins": from_jenkins,
         "gitlab": from_gitlab,
         "manual": lambda v: from_manual(v, "delivery_id"),
     }[provider]
+    return let(F.col("payload"), adapter)
+
+
+def adapt(deliveries: DataFrame, provider: str) -> DataFrame:
+    """Rows one adapter accepts, whatever the other adapters would say."""
     return (
         parsed(deliveries)
         .filter("payload IS NOT NULL")
-        .select("delivery_id", F.explode(F.array(let(F.col("payload"), adapter))).alias("f"))
+        .select("delivery_id", F.explode(F.array(adapted(provider))).alias("f"))
         .filter("f IS NOT NULL")
         .select("delivery_id", "f.*")
     )
 
 
-def normalise_deliveries(deliveries: DataFrame, query: str | None = None) -> DataFrame:
-    """Every delivery with an ``outcome`` (accepted, ignored, rejected) and its failure fields.
-
-    ``query`` names an optional map column with the request's query parameters.
-    """
-    v = F.col("payload")
+@once_per_context
+def dispatched() -> Column:
+    """struct(detected, f): the provider and the fields its adapter, or the manual one, found."""
 
     def dispatch(payload):
         manual = from_manual(payload, "delivery_id")
@@ -335,6 +338,15 @@ def normalise_deliveries(deliveries: DataFrame, query: str | None = None) -> Dat
             ),
         )
 
+    return let(F.col("payload"), dispatch)
+
+
+def normalise_deliveries(deliveries: DataFrame, query: str | None = None) -> DataFrame:
+    """Every delivery with an ``outcome`` (accepted, ignored, rejected) and its failure fields.
+
+    ``query`` names an optional map column with the request's query parameters.
+    """
+    v = F.col("payload")
     approval = F.coalesce(F.try_variant_get(v, "$.requireApproval", "boolean"), F.lit(False)) & (
         F.coalesce(V.kind(V.at(v, "requireApproval")), F.lit("")) == "BOOLEAN"
     )
@@ -346,7 +358,7 @@ def normalise_deliveries(deliveries: DataFrame, query: str | None = None) -> Dat
             | F.coalesce(q["approval"] == "1", F.lit(False))
         )
     fits = F.length("raw_body") <= S.BODY_CHARS
-    found = F.when(fits & v.isNotNull(), let(v, dispatch))
+    found = F.when(fits & v.isNotNull(), dispatched())
     checked = (
         parsed(deliveries)
         .select("*", F.explode(F.array(found)).alias("d"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.plans import views
+from faultline.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +37,8 @@ class Tables:
         raise AttributeError(name)
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return tables.spread(df, views.ROW_KEYS[table]) if table in views.ROW_KEYS else df
 
 
 def needed(sql: str, seen: list[str]) -> list[str]:

@@ -8,6 +8,8 @@ for Spark and for the checking database, which differ in a few functions only.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.sources.tables import spread
+
 NOW_MS = 1_706_659_200_000  # 2024-01-31T00:00:00Z
 SECRET = "views-secret"
 NL = "chr(10)"
@@ -492,12 +494,15 @@ VIEWS = {
 }
 
 
+ROW_KEYS = {
+    "events": "event_id", "embeddings": "vec_id", "documents": "doc_id", "conversations": "conv_id",
+}
 WIDE_TEXT = ["fx_logs", "fx_deliveries", "fx_replies", "fx_objects", "fx_frames", "fx_transcripts"]
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, steps, columns, keep = VIEWS[name]
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"), ROW_KEYS[table])
     for step in steps(SparkDialect):
         fresh = {n for n, _ in step}
         df = df.selectExpr(*[c for c in df.columns if c not in fresh], *[f"{e} AS {n}" for n, e in step])

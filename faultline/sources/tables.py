@@ -58,6 +58,16 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a table that is stored in fewer splits than there are cores.
+
+    A table of ordinary size has more splits than that and is returned as it is,
+    without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_failures(table: DataFrame, path: str) -> str:
     """Write a whole snapshot next to the others and return its directory.
 
