@@ -1,0 +1,44 @@
+"""Nearest-in-time lookups that never gather a whole key in one task."""
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def nearest(
+    probes: DataFrame, targets: DataFrame, keys: list[str], slot_ms: int, forward: bool = True
+) -> DataFrame:
+    """Add ``found`` to the probes: the closest target at or after (or before) each of them.
+
+    Both tables have the keys and a position (at, tie); targets also have a struct
+    ``value``. A key's timeline is cut into slots. Rows are ordered within a slot
+    only; what lies beyond it comes from a table with one row per key and slot.
+    """
+    sign = 1 if forward else -1
+    slot = F.expr(f"at div {slot_ms}")
+    columns = [c for c in probes.columns if c not in (*keys, "at", "tie")]
+    left = probes.select(
+        *keys, slot.alias("slot"), "at", "tie", F.lit(0).alias("is_target"),
+        F.struct(*columns).alias("probe"), F.lit(None).cast(targets.schema["value"].dataType).alias("value"),
+    )
+    right = targets.select(
+        *keys, slot.alias("slot"), "at", "tie", F.lit(1).alias("is_target"),
+        F.lit(None).cast(left.schema["probe"].dataType).alias("probe"), "value",
+    )
+    both = left.unionByName(right)
+    # away from the end the search runs towards, so the last target seen is the closest
+    toward = [F.desc("at"), F.desc("tie")] if forward else [F.asc("at"), F.asc("tie")]
+    inside = Window.partitionBy(*keys, "slot").orderBy(*toward, F.desc("is_target")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    placed = both.withColumn("near", F.last("value", ignorenulls=True).over(inside)).filter("is_target = 0")
+    edge = F.struct((F.col("at") * sign).alias("a"), (F.col("tie") * sign).alias("t"))
+    slots = both.groupBy(*keys, "slot").agg(
+        F.min_by("value", F.when(F.col("is_target") == 1, edge)).alias("edge")
+    )
+    beyond = Window.partitionBy(*keys).orderBy(F.desc("slot") if forward else F.asc("slot")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    carried = slots.select(*keys, "slot", F.last("edge", ignorenulls=True).over(beyond).alias("far"))
+    return placed.join(carried, [*keys, "slot"]).select(
+        *keys, "at", "tie", "probe.*", F.coalesce("near", "far").alias("found")
+    )

@@ -27,8 +27,9 @@ def with_row_numbers(df: DataFrame, order: list[str], name: str = "number") -> D
         .select("_part", "_before")
     )
     within = F.col("_pos").bitwiseAND(F.lit((1 << PARTITION_SHIFT) - 1))
+    # bounded: at most one row per shuffle partition
     return (
-        stable.join(offsets, "_part")
+        stable.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_before") + within + 1)
         .drop("_pos", "_part", "_before")
     )

@@ -8,10 +8,29 @@ from faultline.functions.text import col, filled, let, trim
 NUMERIC_TEXT = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
+def parse(text) -> Column:
+    """The one JSON value a text consists of, else null.
+
+    The parser stops after the first value, so the text is parsed as an array
+    element: anything behind the value is an error there. Only a text with a
+    closing bracket could end that array early; it must also fit as a member.
+    """
+    raw = col(text)
+    whole = ~raw.contains("]") | F.try_parse_json(
+        F.concat(F.lit('{"v":'), raw, F.lit("}"))
+    ).isNotNull()
+    return let(
+        F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))),
+        lambda a: F.when(
+            F.try_variant_get(a, "$[1]", "variant").isNull() & whole,
+            F.try_variant_get(a, "$[0]", "variant"),
+        ),
+    )
+
+
 def parse_object(text) -> Column:
     """The JSON object in a text; null for anything else, valid or not."""
-    body = trim(text)
-    return F.when(body.startswith("{"), F.try_parse_json(body))
+    return let(trim(text), lambda body: F.when(body.startswith("{"), parse(body)))
 
 
 def at(value, path: str) -> Column:

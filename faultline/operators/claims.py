@@ -8,6 +8,13 @@ whatever happened before. The timeline of a key is cut at such claims into
 independent sessions, so a key is never folded in one piece just because it is
 popular. Cutting needs no sort of a whole key: it works on counts per key and
 time slot, which merge before the shuffle.
+
+A session of ordinary size is folded in order by one task. A session above
+``FOLD_LIMIT`` events, say one signature that holds a third of a very large
+table without a pause, is solved as a chain instead: every event knows which
+event would change the claim next, and the events that really did are reached
+from the first claim by pointer doubling. All steps of that are joins and
+windows over time slots, so the session is spread over the cluster.
 """
 
 from collections.abc import Iterator
@@ -17,9 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import schemas as S
+from faultline.functions.nearest import nearest
+from faultline.sources.checkpoints import checkpointed
 
 KEY = ["repo", "signature_hash"]
 SLOT_MS = S.RECENT_TRIAGE_MS
+SLOT = f"ts div {SLOT_MS}"
+FOLD_LIMIT = 2_000_000
+CHAIN = [*KEY, "session"]
 VERDICT = (
     "repo string, signature_hash string, failure_id string, ts long, kind string, event_id long,"
     " verdict string, holder string, claimed_at long, completed_at long"
@@ -77,16 +89,17 @@ def fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def with_sessions(events: DataFrame) -> DataFrame:
-    """Add ``slot`` and ``session``: the first slot of the run of busy slots a row is in.
+def session_slots(events: DataFrame) -> DataFrame:
+    """One row per key and busy slot: its session, named by the run's first slot, and its size.
 
     A run starts at a slot whose predecessor is empty and whose first event is a
     claim; on a tie the run is simply not cut. The window runs over busy slots,
     not over events.
     """
-    slotted = events.withColumn("slot", F.expr(f"ts div {SLOT_MS}"))
+    slotted = events.withColumn("slot", F.expr(SLOT))
     is_claim = F.col("kind") == "claim"
     slots = slotted.groupBy(*KEY, "slot").agg(
+        F.count("*").alias("n"),
         F.min(F.when(is_claim, F.col("ts"))).alias("claim_ts"),
         F.min(F.when(~is_claim, F.col("ts"))).alias("other_ts"),
     )
@@ -97,16 +110,124 @@ def with_sessions(events: DataFrame) -> DataFrame:
     runs = slots.withColumn("start", F.when(starts, F.col("slot"))).withColumn(
         "session", F.last("start", ignorenulls=True).over(order)
     )
-    return slotted.join(runs.select(*KEY, "slot", "session"), [*KEY, "slot"])
+    size = F.sum("n").over(Window.partitionBy(*KEY, "session"))
+    return runs.select(*KEY, "slot", "session", size.alias("size"))
+
+
+def with_sessions(events: DataFrame, slots: DataFrame) -> DataFrame:
+    found = events.withColumn("slot", F.expr(SLOT)).join(slots, [*KEY, "slot"])
+    return found.select(*CHAIN, "size", "failure_id", "ts", "kind", "event_id")
+
+
+def folded(sessions: DataFrame) -> DataFrame:
+    ordered = sessions.drop("size").repartition(*CHAIN)
+    return ordered.sortWithinPartitions(*CHAIN, "ts", "event_id").mapInPandas(fold_sorted, VERDICT)
+
+
+def next_changes(rows: DataFrame) -> DataFrame:
+    """For each event, the event that would change the claim next if this one set it.
+
+    After a claim: a release by its holder before the claim is stale, a forget, or
+    the first claim once it is stale. After a release: a further release by the
+    holder while the claim is kept, a forget, or the first claim once the
+    suppression is over. After a forget: the next claim.
+    """
+    kind, ts = F.col("kind"), F.col("ts")
+    value = F.struct("ts", "event_id").alias("value")
+
+    def of(name, keys):
+        return rows.filter(kind == name).select(*keys, ts.alias("at"), F.col("event_id").alias("tie"), value)
+
+    wait = F.when(kind == "claim", S.STALE_CLAIM_MS).when(kind == "release", S.RECENT_TRIAGE_MS)
+    lowest = F.lit(-(2**62))
+    own = ["failure_id", "kind", "ts", "event_id"]
+    claims = nearest(
+        rows.select(
+            *CHAIN, *own, F.coalesce(ts + wait, ts).alias("at"),
+            F.when(kind == "forget", F.col("event_id") + 1).otherwise(lowest).alias("tie"),
+        ),
+        of("claim", CHAIN), CHAIN, SLOT_MS,
+    ).withColumnRenamed("found", "claim").drop("at", "tie")
+    after = [ts.alias("at"), (F.col("event_id") + 1).alias("tie")]
+    forgets = nearest(
+        claims.select(*CHAIN, *own, "claim", *after), of("forget", CHAIN), CHAIN, SLOT_MS
+    ).withColumnRenamed("found", "forget").drop("at", "tie")
+    holder = [*CHAIN, "failure_id"]
+    releases = nearest(
+        forgets.select(*CHAIN, *own, "claim", "forget", *after), of("release", holder), holder, SLOT_MS
+    ).withColumnRenamed("found", "release").drop("at", "tie")
+    gap = F.col("release.ts") - ts
+    counts = F.when(kind == "claim", gap < S.STALE_CLAIM_MS).when(kind == "release", gap <= S.CLAIM_RETENTION_MS)
+    release = F.when(counts, F.col("release"))
+    forget = F.when(kind != "forget", F.col("forget"))
+    return releases.select(
+        *CHAIN, "event_id", F.array_min(F.array("claim", release, forget))["event_id"].alias("next")
+    )
+
 
+def reached(jumps: DataFrame, start: DataFrame) -> DataFrame:
+    """Events on the chain that begins at ``start``, by pointer doubling."""
+    jumps = checkpointed(jumps.filter("next IS NOT NULL"))
+    known, count = checkpointed(start), 0
+    while (size := known.count()) > count:
+        count = size
+        step_to = known.join(jumps, [*CHAIN, "event_id"]).select(*CHAIN, F.col("next").alias("event_id"))
+        known = checkpointed(known.union(step_to).distinct())
+        second = jumps.select(*CHAIN, F.col("event_id").alias("next"), F.col("next").alias("far"))
+        jumps = checkpointed(jumps.join(second, [*CHAIN, "next"]).select(*CHAIN, "event_id", F.col("far").alias("next")))
+    return known
 
-def claim_verdicts(events: DataFrame) -> DataFrame:
-    """Every event with its verdict, the holder it met and the claim state after it."""
-    sessions = with_sessions(events)
-    ordered = sessions.select(
-        *KEY, "session", "failure_id", "ts", "kind", "event_id"
-    ).repartition(*KEY, "session").sortWithinPartitions(*KEY, "session", "ts", "event_id")
-    return ordered.mapInPandas(fold_sorted, VERDICT)
+
+def chained(sessions: DataFrame) -> DataFrame:
+    """Verdicts of very large sessions; same result as the fold."""
+    rows = checkpointed(sessions.drop("size"))
+    order = F.struct("ts", "event_id")
+    start = rows.filter("kind = 'claim'").groupBy(*CHAIN).agg(F.min_by("event_id", order).alias("event_id"))
+    changes = reached(next_changes(rows), start).join(rows, [*CHAIN, "event_id"])
+    # one claim per ten minutes at most survives, so this window is over few rows
+    so_far = Window.partitionBy(*CHAIN).orderBy("ts", "event_id")
+    claimed = F.last(F.when(F.col("kind") == "claim", F.col("ts")), ignorenulls=True).over(so_far)
+    state = F.struct(
+        F.col("kind"), F.col("failure_id").alias("holder"), claimed.alias("claimed_at"),
+        F.when(F.col("kind") == "release", F.col("ts")).alias("completed_at"), "event_id",
+    )
+    targets = changes.select(*CHAIN, F.col("ts").alias("at"), F.col("event_id").alias("tie"), state.alias("value"))
+    probes = rows.select(*CHAIN, "failure_id", "ts", "kind", "event_id", F.col("ts").alias("at"), F.col("event_id").alias("tie"))
+    s, kind = F.col("found"), F.col("kind")
+    changed = s["event_id"] == F.col("event_id")
+    live = F.when(s["kind"] == "claim", F.col("ts") - s["claimed_at"] < S.STALE_CLAIM_MS).when(
+        s["kind"] == "release", F.col("ts") - s["completed_at"] <= S.CLAIM_RETENTION_MS
+    )
+    verdict = (
+        F.when(kind == "forget", "forgotten")
+        .when(changed & (kind == "claim"), "new")
+        .when(changed, "released")
+        .when(kind == "release", "not_holder")
+        .when(s["kind"] == "claim", "in_flight")
+        .otherwise("recently_triaged")
+    )
+    out = nearest(probes, targets, CHAIN, SLOT_MS, forward=False)
+    return out.select(
+        *KEY, "failure_id", "ts", "kind", "event_id", verdict.alias("verdict"),
+        F.when(verdict.isin("new", "released", "in_flight", "recently_triaged"), s["holder"]).alias("holder"),
+        F.when(live, s["claimed_at"]).alias("claimed_at"),
+        F.when(live, s["completed_at"]).alias("completed_at"),
+    )
+
+
+def claim_verdicts(events: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """Every event with its verdict, the holder it met and the claim state after it.
+
+    The size of the largest session is looked up first, from counts per time
+    slot; only sessions above the limit take the chained way.
+    """
+    slots = session_slots(events)
+    sessions = with_sessions(events, slots)
+    largest = slots.agg(F.max("size")).first()[0]
+    if largest is None or largest <= fold_limit:
+        return folded(sessions)
+    small = folded(sessions.filter(F.col("size") <= fold_limit))
+    return small.unionByName(chained(sessions.filter(F.col("size") > fold_limit)))
 
 
 def current_claims(verdicts: DataFrame) -> DataFrame:

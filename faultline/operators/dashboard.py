@@ -45,10 +45,10 @@ def merged_triage(failures: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
     def run_text(key):
-        return let(F.try_parse_json(F.col(f"run_{key}")), lambda v: F.when(V.is_string(v), V.as_string(v)))
+        return let(V.parse(F.col(f"run_{key}")), lambda v: F.when(V.is_string(v), V.as_string(v)))
 
     def run_number(key):
-        return let(F.try_parse_json(F.col(f"run_{key}")), lambda v: F.when(V.is_number(v), V.as_double(v)))
+        return let(V.parse(F.col(f"run_{key}")), lambda v: F.when(V.is_number(v), V.as_double(v)))
 
     cited = F.filter(
         F.col("cited_failure_ids"), lambda x: (x != "") & (x != F.col("id"))

@@ -20,7 +20,7 @@ def parse_cited(text) -> Column:
     def strings(v):
         return F.transform(F.filter(V.elements(v), V.is_string), V.as_string)
 
-    return F.coalesce(let(F.try_parse_json(col(text)), strings), F.array().cast("array<string>"))
+    return F.coalesce(let(V.parse(col(text)), strings), F.array().cast("array<string>"))
 
 
 def parse_cited_ids(df: DataFrame, text: str = "cited_text") -> DataFrame:

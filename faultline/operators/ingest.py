@@ -57,7 +57,7 @@ def body_reason(raw, payload) -> Column:
     return (
         F.when(col(raw).isNull() | (body == ""), "body is required")
         .when(payload.isNotNull(), None)
-        .when(F.try_parse_json(body).isNull(), "body is not valid JSON")
+        .when(V.parse(body).isNull(), "body is not valid JSON")
         .otherwise("body is not a JSON object")
     )
 

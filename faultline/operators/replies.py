@@ -57,7 +57,7 @@ def response_text(response) -> Column:
             ),
         )
 
-    return F.coalesce(let(F.try_parse_json(col(response)), pick), F.lit(""))
+    return F.coalesce(let(V.parse(col(response)), pick), F.lit(""))
 
 
 def reply_text(df: DataFrame, response: str = "response") -> DataFrame:
@@ -118,7 +118,7 @@ def extract_reply_json(df: DataFrame, reply: str = "reply") -> DataFrame:
     def best(found):
         def is_triage(s):
             return let(
-                F.try_parse_json(s),
+                V.parse(s),
                 lambda v: V.at(v, "rootCause").isNotNull() | V.at(v, "root_cause").isNotNull(),
             )
 
@@ -283,7 +283,7 @@ def frame_token(line, key: str = "response") -> Column:
         )
 
     def from_payload(p):
-        return F.when((p != "") & (p != "[DONE]"), let(F.try_parse_json(p), token))
+        return F.when((p != "") & (p != "[DONE]"), let(V.parse(p), token))
 
     data = F.when(col(line).startswith("data:"), trim(F.substring(col(line), 6, 2**31 - 1)))
     return let(let(data, from_payload), present)

@@ -24,7 +24,7 @@ def scan_transcripts(lines: DataFrame) -> DataFrame:
     """Parsed rows; blank and unparseable lines are skipped."""
     return (
         lines.filter(trim("line") != "")
-        .select("*", F.explode(F.array(F.try_parse_json("line"))).alias("row"))
+        .select("*", F.explode(F.array(V.parse("line"))).alias("row"))
         .filter("row IS NOT NULL")
     )
 

@@ -16,7 +16,7 @@ FAILURES = T.StructType([
     T.StructField("category", T.StringType(), False),
     T.StructField("file_hint", T.StringType(), True),
     T.StructField("excerpt", T.StringType(), False),
-    T.StructField("embedding", T.ArrayType(T.FloatType(), False), False),
+    T.StructField("embedding", T.ArrayType(T.FloatType()), False),
     T.StructField("signature_confidence", T.DoubleType(), False),
     T.StructField("status", T.StringType(), False),
     T.StructField("root_cause", T.StringType(), True),

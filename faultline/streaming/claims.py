@@ -20,7 +20,7 @@ class ClaimProcessor(StatefulProcessor):
         self.handle = handle
         self.claim = handle.getValueState("claim", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         saved = self.claim.get() if self.claim.exists() else None
         state = tuple(saved) if saved is not None else None
         for row in sorted(rows, key=lambda r: (r.ts, r.event_id)):
@@ -48,7 +48,7 @@ class ClaimProcessor(StatefulProcessor):
         )
         self.handle.registerTimer(expiry)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.claim.clear()
         return iter([])
 

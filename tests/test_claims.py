@@ -63,6 +63,17 @@ def test_batch_matches_brute_force(spark, seed, n, span, ties):
     assert got == brute_force(events)
 
 
+@pytest.mark.parametrize("seed,n,span,ties", [(4, 250, 1500, True), (5, 300, 2500, False)])
+def test_large_sessions_match_the_fold(spark, seed, n, span, ties):
+    """With a tiny limit nearly every session takes the chained way."""
+    events = random_events(seed, n, span, ties=ties)
+    df = spark.createDataFrame(events, SCHEMA).repartition(5)
+    fold = {r.event_id: tuple(r) for r in claims.claim_verdicts(df).collect()}
+    chain = {r.event_id: tuple(r) for r in claims.claim_verdicts(df, fold_limit=3).collect()}
+    assert chain == fold
+    assert {e: v[6] for e, v in chain.items()} == brute_force(events)
+
+
 def test_a_burst_has_one_winner(spark):
     events = [("r", "h", f"f{i}", 1000 + i, "claim", i) for i in range(12)]
     rows = claims.claim_verdicts(spark.createDataFrame(events, SCHEMA)).collect()
