@@ -54,13 +54,15 @@ REWRITES = [
     (r"[ \t]{2,}", " "),
 ]
 
-# ---- fixed values: words that make a raw line worth classifying -------------
-TRIGGERS = (
-    "error|fail|exception|kill|denied|refus|unable|cannot|could not|missing|timeout|timed out"
-    "|not found|no matching|unauthori|forbidden|traceback|fatal|credential|memory|heap|exit code"
-    "|cancel|exceed|deadline|reformat|problems|violation|ERR!|etimedout|enotfound|eai_again"
-    r"|eacces|eperm|econnreset|ehostunreach|enetunreach|[✕✖✗×●]|expect\(|assert"
-)
+# ---- fixed values: words that make a raw line worth classifying, in any case --
+TRIGGER_WORDS = [
+    "error", "fail", "exception", "kill", "denied", "refus", "unable", "cannot", "could not",
+    "missing", "timeout", "timed out", "not found", "no matching", "unauthori", "forbidden",
+    "traceback", "fatal", "credential", "memory", "heap", "exit code", "cancel", "exceed",
+    "deadline", "reformat", "problems", "violation", "err!", "etimedout", "enotfound",
+    "eai_again", "eacces", "eperm", "econnreset", "ehostunreach", "enetunreach",
+    "✕", "✖", "✗", "×", "●", "expect(", "assert",
+]
 
 # ---- fixed values: (category, priority, confidence, alternatives) -----------
 # lowest priority wins; at one priority the later line wins
@@ -216,6 +218,46 @@ RULES = [
     ]),
 ]
 
+# One entry per rule: texts of which a lower-cased line must hold at least one for
+# the rule to fire. They only save time; the patterns above decide.
+NEEDED = [
+    ["memory", "heap"],
+    ["oom", "memory"],
+    ["137"],
+    ["killed"],
+    ["timed out", "exceeded", "cannot contact"],
+    ["lost communication", "hudson.remoting"],
+    ["shutdown signal", "canceled", "deadline", "was removed"],
+    ["sending signal", "124"],
+    ["command execution failed", "aborted by"],
+    ["●", "✕", "✗", "×", "::", "<<<"],
+    ["error", "exception", "assert", "expect(", "expected:", "async callback"],
+    ["fail", "errors:"],
+    ["failed", "failures:"],
+    ["failed", "test failures"],
+    ["failed"],
+    ["error ts", "cannot find symbol", "compilation"],
+    [":[<l>,<c>]", ".java:<l>: error", ".kt", "error[e"],
+    ["syntaxerror", "ts", "execution failed"],
+    ["> task"],
+    ["npm err!", "could not", "no matching distribution"],
+    ["could not resolve", "eresolve", "resolutionimpossible", "version solving", "peer dep"],
+    ["cannot find module", "modulenotfounderror", "dependency"],
+    ["problem", "checkstyle", "eslint"],
+    ["error", "<c>: "],
+    ["reformat", "prettier", "execution failed"],
+    ["eacces", "eperm", "403 forbidden", "401 unauthorized", "denied"],
+    ["authentication", "credentials", "not accessible", "status code"],
+    ["not authorized", "sudo:"],
+    ["econn", "ehost", "enet", "enotfound", "eai_again"],
+    ["etimedout"],
+    ["name resolution", "name or service", "connection", "curl:", "wget:"],
+    ["certificate", "sslerror", "timed out", "timeouterror"],
+    ["failed to execute goal"],
+    ["[error]", "error:", "fatal:"],
+    ["exit code", "build fail"],
+]
+
 # ---- fixed values: normalised lines that carry no identity ------------------
 NOISE = [
     r"^[-=_*~#.\s]{3,}$",

@@ -43,10 +43,16 @@ def normalise(line) -> Column:
     return trim(text)
 
 
+def has_any(text, words) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
 def is_candidate(line) -> Column:
+    """Pre-screen of a raw line: plain substring tests, many times cheaper than one pattern."""
     text = col(line)
     size = F.length(text)
-    return (size > 0) & (size < S.CANDIDATE_LINE_CHARS) & text.rlike("(?i)" + P.TRIGGERS)
+    worded = let(F.lower(text), lambda low: has_any(low, P.TRIGGER_WORDS))
+    return (size > 0) & (size < S.CANDIDATE_LINE_CHARS) & worded
 
 
 def candidate_positions(lines) -> Column:
@@ -60,11 +66,15 @@ def candidate_positions(lines) -> Column:
 def rule_of(line) -> Column:
     """Number of the first rule group that fires on a normalised line, else null."""
     text = col(line)
-    branch = None
-    for number, rule in enumerate(P.RULES):
-        test = text.rlike(any_of(rule[3]))
-        branch = F.when(test, number) if branch is None else branch.when(test, number)
-    return branch
+
+    def first_rule(low):
+        branch = None
+        for number, (rule, needed) in enumerate(zip(P.RULES, P.NEEDED, strict=True)):
+            test = has_any(low, needed) & text.rlike(any_of(rule[3]))
+            branch = F.when(test, number) if branch is None else branch.when(test, number)
+        return branch
+
+    return let(F.lower(text), first_rule)
 
 
 def rule_value(number, field: int) -> Column:

@@ -1,5 +1,9 @@
 """SQL fragments for the checking database (RE2 regular expressions, no lookaround)."""
 
+import re
+
+
+
 from faultline.functions import patterns as P
 from faultline.functions.text import WHITESPACE
 from faultline.operators import ingest as I
@@ -272,7 +276,7 @@ LINES = (
 NORMAL = f"SELECT *, {normalise('line')} AS n FROM sh_lines"
 CANDIDATES = (
     f"SELECT log_id, i, line, n FROM sh_normal WHERE length(line) > 0 AND length(line) < 4000"
-    f" AND regexp_matches(line, {quote('(?i)' + P.TRIGGERS)})"
+    f" AND regexp_matches(line, {quote('(?i)' + '|'.join(re.escape(w) for w in P.TRIGGER_WORDS))})"
     " QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY i DESC) <= 200"
 )
 HITS = (

@@ -165,3 +165,41 @@ def test_signature_text_is_distinct_and_bounded(spark, n):
     log = "\n".join(["FAIL src/a.test.ts"] + ["same line here"] * n + [f"other line {c}" for c in "abcdefg"])
     text = prints(spark, [log])[0].text.split("\n")
     assert text == ["FAIL src/a.test.ts", "same line here", "other line a", "other line b", "other line c"]
+
+
+def samples(pattern):
+    """Texts that match a rule's alternatives, built by hand-free expansion of the simple ones."""
+    text = re.sub(r"\(\?i:(.*)\)$", r"\1", pattern).replace("(?!Console)", "").replace(r"(?!0\b)", "")
+    text = text.lstrip("^").rstrip("$").replace(r"\b", "")
+    for a, b in [(r"\d{1,6}", "3"), (r"\d{4,5}", "2345"), (r"\d{3,4}", "123"), (r"\d{2,3}", "12"), (r"\d{1,3}", "7"),
+                 (r"\s{0,4}", " "), (r"\s+", " "), (r"\S{1,200}", "abc"), (r"\S{1,120}", "abc"), (r"\S{1,80}", "abc"),
+                 (r"\S{0,120}", "abc"), (r"\S{0,80}", "abc"), (r"\w{0,80}", ""), (r"\w{0,40}", ""), (r"\w{1,10}", "TERM"),
+                 (r"[\w.-]{1,64}", "host"), (r".{0,80}", " "), (r".{0,60}", " "), (r".{0,40}", " "), (r"\S", "x"),
+                 (r"[: ]{1,3}", " "), ("[Cc]", "C"), ("[EWF]", "E"), ("40[13]", "401"), ("=+", "==="), (r"kts?", "kt"),
+                 ("Tests?", "Tests"), ("Suites?", "Suites"), ("problems?", "problem")]:
+        text = text.replace(a, b)
+    text = text.replace(r"\(", "\x01").replace(r"\)", "\x02")
+    out = [text]
+    while any("(?:" in t or re.search(r"\[[✕✖✗×]+\]", t) for t in out):
+        t = next(t for t in out if "(?:" in t or re.search(r"\[[✕✖✗×]+\]", t))
+        out.remove(t)
+        m = re.search(r"\(\?:([^()]*)\)(\?)?", t) or re.search(r"\[([✕✖✗×]+)\]()", t)
+        options = m.group(1).split("|") if m.group(0).startswith("(") else list(m.group(1))
+        out += [t[: m.start()] + o + t[m.end():] for o in options + ([""] if m.group(2) else [])]
+    flat = [p for t in out for p in t.split("|")]
+    return [re.sub(r"\\(.)", r"\1", t).replace("\x01", "(").replace("\x02", ")") for t in flat]
+
+
+def test_needed_texts_never_hide_a_rule(spark):
+    """Whatever a rule's patterns match also holds one of its needed texts."""
+    from faultline.functions import patterns as P
+
+    lines = sorted({t for rule in P.RULES for p in rule[3] for t in samples(p)})
+    lines += [t.swapcase() for t in lines] + ["[ERROR] " + t for t in lines]
+    df = spark.createDataFrame([(t,) for t in lines], "line string")
+    hits = df.select("line", *[F.col("line").rlike(sig.any_of(rule[3])).alias(f"r{i}") for i, rule in enumerate(P.RULES)]).collect()
+    for i, needed in enumerate(P.NEEDED):
+        matched = [r.line for r in hits if r[f"r{i}"]]
+        assert matched, f"no sample for rule {i}"
+        for line in matched:
+            assert any(w in line.lower() for w in needed), (i, line)
