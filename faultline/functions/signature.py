@@ -16,6 +16,7 @@ from faultline.functions import patterns as P
 from faultline.functions.reuse import once_per_context
 from faultline.functions.text import clip, col, filled, let, trim
 
+FALLBACK_NEAR = 60  # at least the lines a fallback hint looks at
 HINT_CATEGORIES = ["test_failure", "compile_error", "lint_error"]
 
 
@@ -109,9 +110,9 @@ def clip_line(line) -> Column:
     return clip(line, S.SIGNATURE_LINE_CHARS)
 
 
-def informative(lines) -> Column:
-    """Normalised, clipped lines with blanks and noise removed, in order."""
-    kept = F.filter(F.transform(lines, normalise), lambda n: (n != "") & ~is_noise(n))
+def informative(normalised) -> Column:
+    """Clipped lines with blanks and noise removed, in order."""
+    kept = F.filter(normalised, lambda n: (n != "") & ~is_noise(n))
     return F.transform(kept, clip_line)
 
 
@@ -205,14 +206,13 @@ def matched_signature(lines, hit) -> Column:
     )
 
 
-def fallback_text(lines) -> Column:
-    """The last informative lines. The end of the log is tried before the rest."""
-    near = 12 * S.SIGNATURE_LINES
+def fallback_text(lines, near) -> Column:
+    """The last informative lines. ``near``, the normalised end of the log, is tried first."""
     kept = let(
-        informative(last(lines, near)),
+        informative(near),
         lambda tail: F.when(
-            (F.size(tail) >= S.SIGNATURE_LINES) | (F.size(lines) <= near), tail
-        ).otherwise(informative(lines)),
+            (F.size(tail) >= S.SIGNATURE_LINES) | (F.size(lines) <= FALLBACK_NEAR), tail
+        ).otherwise(informative(F.transform(lines, normalise))),
     )
     text = let(kept, lambda k: F.array_join(last(k, S.SIGNATURE_LINES), "\n"))
     return F.coalesce(let(text, lambda t: F.when(t != "", t)), F.lit("unclassified failure"))
@@ -220,9 +220,15 @@ def fallback_text(lines) -> Column:
 
 def fallback_signature(lines) -> Column:
     at = F.greatest(F.size(lines) - S.EXCERPT_AFTER, F.lit(0))
-    hint = let(F.transform(last(lines, S.FALLBACK_HINT_LINES), normalise), file_hint)
-    return _fields(
-        fallback_text(lines), F.lit("unknown"), hint, excerpt(lines, at), F.lit(0.2)
+    return let(
+        F.transform(last(lines, FALLBACK_NEAR), normalise),
+        lambda near: _fields(
+            fallback_text(lines, near),
+            F.lit("unknown"),
+            let(last(near, S.FALLBACK_HINT_LINES), file_hint),
+            excerpt(lines, at),
+            F.lit(0.2),
+        ),
     )
 
 

@@ -75,6 +75,7 @@ def number_text(value) -> Column:
 
 # texts whose JSON type must be looked at: they may be a boolean, an object, an
 # array or a number with trailing zeros
+UNCLEAR_STARTS = [*"tf[{-0123456789"]
 UNCLEAR = r"^(?:true$|false$|[\[{]|-?\d+\.\d*0$)"
 
 
@@ -87,7 +88,7 @@ def one_text(value, path: str) -> Column:
     return let(
         F.try_variant_get(value, steps, "string"),
         lambda s: F.when(
-            s.rlike(UNCLEAR), let(F.try_variant_get(value, steps, "variant"), typed)
+            F.substring(s, 1, 1).isin(UNCLEAR_STARTS) & s.rlike(UNCLEAR), let(F.try_variant_get(value, steps, "variant"), typed)
         ).otherwise(filled(s)),
     )
 

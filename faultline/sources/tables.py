@@ -9,6 +9,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline import schemas as S
 from faultline.operators import failures as ops
@@ -96,6 +97,34 @@ def upsert_into(spark: SparkSession, current: str | None, incoming: DataFrame, p
     return write_failures(ops.upsert_failures(old, incoming), path)
 
 
+def write_changes(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Rows of one micro-batch; writing the batch again replaces it."""
+    S.conform(rows, S.FAILURES).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def current_failures(
+    spark: SparkSession, snapshot: str | None, changes: str, resolutions: str | None = None
+) -> DataFrame:
+    """Snapshot with the micro-batch changes, and the resolutions if named, applied."""
+    old = (
+        read_failures(spark, snapshot, vectors=True)
+        if snapshot
+        else spark.createDataFrame([], S.FAILURES)
+    )
+    schema = T.StructType([*S.FAILURES, T.StructField("batch", T.LongType())])
+    fresh = spark.read.schema(schema).parquet(changes)
+    ordered = fresh.withColumn("seq", F.struct("batch", "last_seen_at")).drop("batch")
+    table = ops.upsert_failures(old, ordered)
+    if resolutions is None:
+        return table
+    return ops.mark_resolved(table, spark.read.parquet(resolutions))
+
+
+def compact(spark: SparkSession, snapshot: str | None, changes: str, path: str) -> str:
+    """Next snapshot. The caller retires the change folders it has read."""
+    return write_failures(current_failures(spark, snapshot, changes), path)
+
+
 def append_runs(steps: DataFrame, path: str) -> None:
     ops.audit_rows(steps).write.mode("append").parquet(path)
 

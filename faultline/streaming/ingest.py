@@ -1,8 +1,11 @@
 """Continuous ingest: deliveries to fingerprinted failures, written once per delivery."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.operators import failures as ops
 from faultline.operators import fingerprint, ingest, triage
 from faultline.sources import tables
 
@@ -31,15 +34,33 @@ def once(deliveries: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return timed.withWatermark("received", lateness).dropDuplicatesWithinWatermark(["delivery_id"])
 
 
-class SnapshotWriter:
-    """foreachBatch sink: each micro-batch makes the next snapshot of the failures table.
+class ChangeWriter:
+    """foreachBatch sink: the new failure rows of each micro-batch, in a folder of their own.
+
+    The cost of a batch depends on the batch, not on the table. A retried batch
+    overwrites its own folder. ``tables.current_failures`` shows the table with the
+    changes applied and ``tables.compact`` folds them into the next snapshot.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        tables.write_changes(triage.assemble_failures(batch), self.path, batch_id)
+
+
+class ResolutionWriter:
+    """foreachBatch sink: resolutions (id, note, at, workflow_id) and their audit rows as one unit.
 
-    Writing is idempotent per batch id: a retried batch upserts the same ids.
+    The folder of resolutions that ``tables.current_failures`` applies is written
+    last, so a resolution is never visible without its audit rows. A retried batch
+    rewrites both folders.
     """
 
-    def __init__(self, path: str, current: str | None = None):
-        self.path, self.current = path, current
+    def __init__(self, path: str, runs: str, failures: Callable[[], DataFrame]):
+        self.path, self.runs, self.failures = path, runs, failures
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        rows = triage.assemble_failures(batch).withColumn("seq", F.col("last_seen_at"))
-        self.current = tables.upsert_into(batch.sparkSession, self.current, rows, self.path)
+        audit = ops.audit_rows(ops.resolve_audit(batch, self.failures()))
+        audit.write.mode("overwrite").parquet(f"{self.runs}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")

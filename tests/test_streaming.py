@@ -46,9 +46,23 @@ def bodies(n):
 def test_ingest_stream_equals_batch(spark, scratch):
     rows = bodies(40)
     stream = stream_of(spark, [rows[:20], rows[20:], rows[15:25]], S.DELIVERIES, scratch)
-    sink = live.SnapshotWriter(f"{scratch}/failures")
-    run(live.accepted(live.once(stream)), scratch, sink=sink)
-    got = {r.id: r for r in tables.read_failures(spark, sink.current).collect()}
+    changes = f"{scratch}/changes"
+    run(live.accepted(live.once(stream)), scratch, sink=live.ChangeWriter(changes))
+    table = tables.current_failures(spark, None, changes)
+    got = {r.id: r for r in table.collect()}
+    snapshot = tables.compact(spark, None, changes, f"{scratch}/failures")
+    assert tables.read_failures(spark, snapshot).count() == len(got)
+    again = tables.current_failures(spark, snapshot, changes)
+    assert again.count() == len(got)
+
+    some = sorted(got)[:3]
+    notes = spark.createDataFrame([(i, " fixed ", NOW, "w") for i in some] + [("nobody", "x", NOW, "w")], "id string, note string, at long, workflow_id string")
+    sink = live.ResolutionWriter(f"{scratch}/resolved", f"{scratch}/runs", lambda: table)
+    sink(notes, 0)
+    sink(notes, 0)
+    closed = tables.current_failures(spark, snapshot, changes, f"{scratch}/resolved")
+    assert sorted(r.id for r in closed.filter("status = 'resolved' AND resolution_note = 'fixed'").collect()) == some
+    assert sorted(r.failure_id for r in tables.read_runs(spark, f"{scratch}/runs").collect()) == some
     batch = live.accepted(spark.createDataFrame(rows, S.DELIVERIES))
     want = {r.delivery_id: r for r in batch.collect()}
     assert set(got) == set(want) and len(got) > 15
