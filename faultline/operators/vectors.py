@@ -130,7 +130,7 @@ def reembed(failures: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def reembed_counts(reembedded: DataFrame) -> DataFrame:
-    done = F.col("pending") & F.col("fresh").isNotNull()
+    done = F.col("pending") & ~X.is_zero("vector")
     return reembedded.agg(
         F.count_if(done).alias("embedded"), F.count_if(X.is_zero("vector")).alias("remaining")
     )

@@ -54,13 +54,15 @@ def _(t):
 
 
 @query("log_tail", """
-SELECT log_id, len(l) AS n_lines, sha256(array_to_string(l, chr(10))) AS digest FROM (
-  SELECT log_id, string_split(right(log_text, 200), chr(10))[-6:] AS l FROM fx_logs)
+SELECT log_id, len(w) AS n_lines, sha256(array_to_string(w, chr(10))) AS digest, len(l) AS cut_lines, sha256(array_to_string(l, chr(10))) AS cut_digest FROM (
+  SELECT log_id, string_split(right(log_text, 512000), chr(10))[-2001:] AS w, string_split(right(log_text, 200), chr(10))[-6:] AS l FROM fx_logs)
 """)
 def _(t):
-    tail = fingerprint.log_tail(t.logs, lines=5, chars=200)
-    return tail.select(
-        "log_id", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("digest")
+    both = t.logs.select("log_id", sig.tail_lines("log_text").alias("lines"), sig.tail_lines("log_text", 5, 200).alias("cut"))
+    return both.select(
+        "log_id",
+        F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("digest"),
+        F.size("cut").alias("cut_lines"), F.sha2(F.array_join("cut", "\n"), 256).alias("cut_digest"),
     )
 
 
@@ -564,11 +566,13 @@ def _(t):
 
 
 @query("reembed", """
-SELECT count(*) FILTER (zero AND id NOT LIKE '%50') AS embedded, count(*) FILTER (zero AND id LIKE '%50') AS remaining FROM (
-  SELECT id, len(list_filter(vector, lambda x: x <> 0)) = 0 AS zero FROM fx_vectors)
+SELECT count(*) FILTER (a.zero AND NOT b.zero) AS embedded, count(*) FILTER (a.zero AND (b.zero OR b.id IS NULL)) AS remaining
+FROM (SELECT id, len(list_filter(vector, lambda x: x <> 0)) = 0 AS zero FROM fx_vectors) a
+LEFT JOIN (SELECT 'v-' || cast(substring(id, 3) AS BIGINT) * 2 AS id, len(list_filter(vector, lambda x: x <> 0)) = 0 AS zero FROM fx_vectors) b ON a.id = b.id
 """)
 def _(t):
-    fresh = t.vectors.filter(~F.col("id").endswith("50")).select("id", F.col("raw").alias("fresh"))
+    twice = (F.substring("id", 3, 20).cast("long") * 2).cast("string")
+    fresh = t.vectors.select(F.concat(F.lit("v-"), twice).alias("id"), F.col("vector").alias("fresh"))
     return vectors.reembed_counts(vectors.reembed(t.vectors, fresh))
 
 

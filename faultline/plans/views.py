@@ -345,15 +345,16 @@ def claim_steps(d):
         [
             ("repo", text("'acme/repo-'", "uid % 4")),
             ("signature_hash", f"substr({d.sha('et')}, 1, 32)"),
-            ("failure_id", text("'f-'", "eid")),
+            ("eid_text", text("eid")),
             ("claimed", "1704067200000 + cast(floor((at_ms - 1704067200000) / 10) AS BIGINT)"),
             ("n", d.expand(2)),
         ],
         [
             ("event_id", "eid * 2 + n"),
+            # the release of an odd event comes from a failure that does not hold the claim
+            ("failure_id", "CASE WHEN n = 1 AND eid % 2 = 1 THEN 'g-' ELSE 'f-' END || eid_text"),
             ("kind", "CASE WHEN n = 0 THEN 'claim' WHEN eid % 29 = 0 THEN 'forget' ELSE 'release' END"),
             ("ts", "CASE WHEN n = 0 THEN claimed ELSE claimed + k * 12000 END"),
-            ("keep", "n = 0 OR eid % 2 = 0 OR eid % 29 = 0"),
         ],
     ]
 
@@ -369,7 +370,6 @@ def approval_steps(d):
             ("reviewer", text("'rev-'", "uid % 7")),
             ("ts", "at_ms + (k * (n + 1) - 5) * 60000"),
             ("event_id", "eid * 2 + n"),
-            ("keep", "et = 'purchase' OR et = 'click' OR n = 0 AND et = 'view'"),
         ],
     ]
 
@@ -477,20 +477,20 @@ def transcript_steps(d):
     ]
 
 
-# name -> (table, steps, columns kept, row filter)
+# name -> (table, steps, columns kept)
 VIEWS = {
-    "fx_failures": ("events", failure_steps, FAILURE_OUT, None),
-    "fx_runs": ("events", run_steps, RUN_OUT, None),
-    "fx_logs": ("events", log_steps, ["log_id", "log_text"], None),
-    "fx_deliveries": ("events", delivery_steps, ["delivery_id", "received_at", "headers", "raw_body"], None),
-    "fx_claims": ("events", claim_steps, ["repo", "signature_hash", "failure_id", "ts", "kind", "event_id"], "keep"),
-    "fx_approvals": ("events", approval_steps, ["failure_id", "approved", "edited_fix", "reviewer", "ts", "event_id"], "keep"),
-    "fx_vectors": ("embeddings", vector_steps, ["id", "repo", "status", "last_seen_at", "signature_text", "vector", "raw"], None),
-    "fx_messages": ("conversations", message_steps, ["repo", "id", "role", "content", "created_at"], None),
-    "fx_replies": ("documents", reply_steps, ["failure_id", "attempt", "category", "signature_text", "reply", "response"], None),
-    "fx_objects": ("documents", reply_steps, ["failure_id", "attempt", "category", "signature_text", "good"], None),
-    "fx_frames": ("conversations", frame_steps, ["stream_id", "seq", "line"], None),
-    "fx_transcripts": ("conversations", transcript_steps, ["session", "line_no", "line"], None),
+    "fx_failures": ("events", failure_steps, FAILURE_OUT),
+    "fx_runs": ("events", run_steps, RUN_OUT),
+    "fx_logs": ("events", log_steps, ["log_id", "log_text"]),
+    "fx_deliveries": ("events", delivery_steps, ["delivery_id", "received_at", "headers", "raw_body"]),
+    "fx_claims": ("events", claim_steps, ["repo", "signature_hash", "failure_id", "ts", "kind", "event_id"]),
+    "fx_approvals": ("events", approval_steps, ["failure_id", "approved", "edited_fix", "reviewer", "ts", "event_id"]),
+    "fx_vectors": ("embeddings", vector_steps, ["id", "repo", "status", "last_seen_at", "signature_text", "vector", "raw"]),
+    "fx_messages": ("conversations", message_steps, ["repo", "id", "role", "content", "created_at"]),
+    "fx_replies": ("documents", reply_steps, ["failure_id", "attempt", "category", "signature_text", "reply", "response"]),
+    "fx_objects": ("documents", reply_steps, ["failure_id", "attempt", "category", "signature_text", "good"]),
+    "fx_frames": ("conversations", frame_steps, ["stream_id", "seq", "line"]),
+    "fx_transcripts": ("conversations", transcript_steps, ["session", "line_no", "line"]),
 }
 
 
@@ -501,13 +501,11 @@ WIDE_TEXT = ["fx_logs", "fx_deliveries", "fx_replies", "fx_objects", "fx_frames"
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table, steps, columns, keep = VIEWS[name]
+    table, steps, columns = VIEWS[name]
     df = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"), ROW_KEYS[table])
     for step in steps(SparkDialect):
         fresh = {n for n, _ in step}
         df = df.selectExpr(*[c for c in df.columns if c not in fresh], *[f"{e} AS {n}" for n, e in step])
-    if keep:
-        df = df.filter(keep)
     if name not in WIDE_TEXT:
         return df.select(*columns)
     # a generator computes the long texts once per row: operators see columns, as on
@@ -516,7 +514,7 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def duck_view(name: str) -> str:
-    table, steps, columns, keep = VIEWS[name]
+    table, steps, columns = VIEWS[name]
     sql = table
     for step in steps(DuckDialect):
         exprs = ", ".join(f"{e} AS {n}" for n, e in step)
@@ -524,5 +522,4 @@ def duck_view(name: str) -> str:
         again = [n for n, _ in step if n in ("event_id", "ts")]
         star = f"* EXCLUDE ({', '.join(again)})" if again else "*"
         sql = f"SELECT {star}, {exprs} FROM {source}"
-    where = f" WHERE {keep}" if keep else ""
-    return f"SELECT {', '.join(columns)} FROM ({sql}){where}"
+    return f"SELECT {', '.join(columns)} FROM ({sql})"

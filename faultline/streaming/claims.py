@@ -14,7 +14,14 @@ STATE = "holder string, claimed_at long, completed_at long"
 
 
 class ClaimProcessor(StatefulProcessor):
-    """One claim per (repo, signature); a timer drops it when it can no longer matter."""
+    """One claim per (repo, signature); a timer drops it when it can no longer matter.
+
+    Spark keeps events up to ``keep_ms`` behind the newest. Those more than
+    ``lateness_ms`` behind are answered ``late`` and leave the claim alone.
+    """
+
+    def __init__(self, lateness_ms: int, keep_ms: int):
+        self.slack = keep_ms - lateness_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -23,8 +30,13 @@ class ClaimProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         saved = self.claim.get() if self.claim.exists() else None
         state = tuple(saved) if saved is not None else None
+        watermark = timerValues.getCurrentWatermarkInMs()
+        bound = watermark + self.slack if watermark > 0 else 0
         for row in sorted(rows, key=lambda r: (r.ts, r.event_id)):
-            state, verdict, holder = step(state, row.failure_id, row.ts, row.kind)
+            if row.ts < bound:
+                verdict, holder = "late", None
+            else:
+                state, verdict, holder = step(state, row.failure_id, row.ts, row.kind)
             yield Row(
                 repo=key[0], signature_hash=key[1], failure_id=row.failure_id, ts=row.ts,
                 kind=row.kind, event_id=row.event_id, verdict=verdict, holder=holder,
@@ -56,16 +68,21 @@ class ClaimProcessor(StatefulProcessor):
         pass
 
 
-def claim_verdicts(events: DataFrame, lateness: str = "1 minute") -> DataFrame:
+def claim_verdicts(
+    events: DataFrame, lateness_ms: int = S.MINUTE_MS, keep_ms: int = S.HOUR_MS
+) -> DataFrame:
     """Streaming verdicts for claim, release and forget events.
 
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
-    Events are applied in event-time order within a micro-batch; an event older
-    than the watermark is dropped by Spark before it reaches the claim.
+    Events are applied in event-time order within a micro-batch. An event that is
+    late by more than ``lateness_ms`` comes out with the verdict ``late``; one that
+    is late by more than ``keep_ms`` is dropped by Spark and counted in its metrics.
     """
-    timed = events.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", lateness)
+    timed = events.withColumn("at", F.timestamp_millis("ts")).withWatermark(
+        "at", f"{keep_ms} milliseconds"
+    )
     return timed.groupBy(*KEY).transformWithState(
-        statefulProcessor=ClaimProcessor(),
+        statefulProcessor=ClaimProcessor(lateness_ms, keep_ms),
         outputStructType=VERDICT,
         outputMode="Append",
         timeMode="EventTime",

@@ -81,6 +81,15 @@ def test_claim_stream_equals_batch(spark, scratch):
     assert got == want
 
 
+def test_late_claims_are_answered_apart(spark, scratch):
+    minute = S.MINUTE_MS
+    first = [("r", "h", "a", NOW, "claim", 1), ("r", "h", "a", NOW + minute, "release", 2), ("r", "x", "b", NOW + 40 * minute, "claim", 3)]
+    second = [("r", "h", "c", NOW + 20 * minute, "claim", 4), ("r", "h", "d", NOW + 41 * minute, "claim", 5)]
+    run(live_claims.claim_verdicts(stream_of(spark, [first, second], SCHEMA, scratch)), scratch)
+    got = {r.event_id: r.verdict for r in spark.read.parquet(f"{scratch}/out").collect()}
+    assert got == {1: "new", 2: "released", 3: "new", 4: "late", 5: "new"}
+
+
 def test_approval_gate(spark, scratch):
     minute = S.MINUTE_MS
     pending = [("a", NOW), ("b", NOW), ("c", NOW)]
