@@ -65,7 +65,7 @@ def prior_blocks(targets: DataFrame, neighbours: DataFrame, now_ms: int) -> Data
     near = neighbours.filter(F.col("rank") <= MAX_SIMILAR)
     blocks = near.groupBy(F.col("query_id").alias("failure_id")).agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), "\n"
+            F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["text"]), "\n"
         ).alias("entries")
     )
     some = text_lines(PRIOR_OPEN, PRIOR_NOTE, F.col("entries"), PRIOR_CLOSE)
@@ -108,7 +108,7 @@ def recent_blocks(failures: DataFrame, now_ms: int) -> DataFrame:
         .filter(F.col("rank") <= MAX_RECENT)
         .select("repo", F.struct("rank", line.alias("text")).alias("e"))
     )
-    listed = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"])
+    listed = F.transform(F.sort_array(F.collect_list("e")), lambda e: e["text"])
     return newest.groupBy("repo").agg(
         F.concat(F.lit("RECENT FAILURES (newest first):\n"), F.array_join(listed, "\n")).alias("recent")
     )

@@ -291,7 +291,7 @@ def frame_token(line, key: str = "response") -> Column:
 
 def ordered_text(df: DataFrame, keys, order, piece) -> DataFrame:
     entry = F.struct(F.col(order).alias("o"), F.col(piece).alias("p"))
-    parts = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["p"])
+    parts = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["p"])
     return df.groupBy(*keys).agg(F.array_join(parts, "").alias(piece))
 
 

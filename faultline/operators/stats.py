@@ -53,7 +53,7 @@ def repo_stats(failures: DataFrame, now_ms: int, days: int = 7) -> DataFrame:
     flakes = (
         top_flakes(failures, now_ms, days)
         .groupBy("repo")
-        .agg(F.array_sort(F.collect_list(flake)).alias("top_flakes"))
+        .agg(F.sort_array(F.collect_list(flake)).alias("top_flakes"))
     )
     empty = F.array().cast("array<struct<rank:int,signature_hash:string,signature_text:string,count:bigint>>")
     return (

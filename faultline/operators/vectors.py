@@ -67,7 +67,7 @@ def top_k_similar(
     """
     k = max(1, min(k, S.MAX_NEIGHBOURS))
     entry = F.struct("bucket", "rank", "id", F.col("vector").alias("cv"))
-    per_repo = candidates.groupBy("repo").agg(F.array_sort(F.collect_list(entry)).alias("memory"))
+    per_repo = candidates.groupBy("repo").agg(F.sort_array(F.collect_list(entry)).alias("memory"))
 
     def scored(c, i):
         return F.struct(
@@ -80,7 +80,7 @@ def top_k_similar(
         F.transform(F.col("memory"), scored),
         lambda h: (-h["minus"] >= min_score) & (h["id"] != F.col("query_id")),
     )
-    best = F.slice(F.array_sort(hits), 1, k)
+    best = F.slice(F.sort_array(hits), 1, k)
     return (
         queries.join(per_repo, "repo")
         .select("query_id", "repo", F.posexplode(best).alias("place", "hit"))
@@ -150,23 +150,37 @@ def validate_vectors(df: DataFrame, dims: int = S.EMBEDDING_DIMS, vector: str =
     return df.withColumn("valid", F.coalesce(X.is_valid(vector, dims), F.lit(False)))
 
 
-def hashed_vector(text, dims: int) -> Column:
-    """Built-in vector source: word counts hashed into ``dims`` buckets, unit length.
+def word_bucket(word, dims: int) -> Column:
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % dims
 
-    Built-in expressions only; a bucket's value is the number of words in it.
-    """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    return let(
-        buckets,
-        lambda bs: X.normalise(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(dims - 1)),
-                lambda d: F.size(F.filter(bs, lambda b: b == d)).cast("double"),
-            )
-        ),
+
+def dense_counts(buckets, dims: int) -> Column:
+    """Array of ``dims`` counts from sorted bucket numbers, in one pass over them."""
+    n = F.size(buckets)
+    ends = F.filter(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: (i == n - 1) | (F.get(buckets, i) != F.get(buckets, i + 1)),
     )
 
+    def runs(ends):
+        def piece(end, j):
+            before = F.when(j > 0, F.get(ends, j - 1)).otherwise(-1)
+            gap = F.get(buckets, end) - F.when(j > 0, F.get(buckets, before)).otherwise(-1) - 1
+            zeros = F.array_repeat(F.lit(0.0), gap.cast("int"))
+            return F.concat(zeros, F.array((end - before).cast("double")))
+
+        rest = F.array_repeat(F.lit(0.0), (dims - 1 - F.get(buckets, n - 1)).cast("int"))
+        return F.concat(F.flatten(F.transform(ends, piece)), rest)
+
+    return F.when(n > 0, let(ends, runs)).otherwise(F.array_repeat(F.lit(0.0), dims))
+
+
+def hashed_vector(text, dims: int) -> Column:
+    """Built-in vector source: word counts hashed into ``dims`` buckets, unit length."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    buckets = F.sort_array(F.transform(words, lambda w: word_bucket(w, dims)))
+    return X.normalise(let(buckets, lambda bs: dense_counts(bs, dims)))
+
 
 def unit_rows(block: np.ndarray) -> np.ndarray:
     """Rows scaled to unit length; rows without a direction become zeros."""

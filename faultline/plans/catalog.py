@@ -42,7 +42,7 @@ class Tables:
 
 
 def needed(sql: str, seen: list[str]) -> list[str]:
-    for name in re.findall(r"\b(?:fx|sh)_\w+", sql):
+    for name in re.findall(r"\b(?:fx|sh|sd)_\w+", sql):
         if name in seen:
             continue
         if name in views.VIEWS:

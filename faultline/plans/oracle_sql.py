@@ -213,7 +213,13 @@ def reason() -> str:
 RE2_REWRITES = {
     11: (r"(^|[^\w.$-])(?:/[\w.+@%-]+)+/([\w.+@%-]+/[\w.+@%-]+)", r"\1\2"),
     12: (r"\b[A-Za-z]:(?:\\[\w.+@%-]+)*\\([\w.+@%-]+)\\([\w.+@%-]+)", r"\1/\2"),
-    26: (r"\b[0-9][0-9a-f]{6,63}\b", "<HEX>"),
+    # at least one digit among 7 to 64 hex characters, by the place of the first digit
+    26: (
+        r"\b(?:"
+        + "|".join(f"[a-f]{{{i}}}[0-9][0-9a-f]{{{6 - i},{63 - i}}}" for i in range(7))
+        + r"|[a-f]{7,62}[0-9][0-9a-f]{0,56})\b",
+        "<HEX>",
+    ),
 }
 
 
@@ -358,3 +364,13 @@ SHARED = {
         " lambda x: json_extract_string(x, '$')) ELSE cast([] AS VARCHAR[]) END AS cited_failure_ids FROM fx_failures"
     ),
 }
+
+# the log tables once more, over whole documents
+DOCUMENTS = "(SELECT doc_id AS log_id, text AS log_text FROM documents)"
+SHARED.update(
+    {
+        name.replace("sh_", "sd_"): sql.replace("sh_", "sd_").replace("fx_logs", DOCUMENTS)
+        for name, sql in list(SHARED.items())
+        if "fx_" not in sql.replace("fx_logs", "") and name not in ("sh_github", "sh_jenkins", "sh_gitlab", "sh_manual")
+    }
+)

@@ -125,7 +125,7 @@ def _(t):
     return fingerprint.fallback_signatures(t.logs)
 
 
-@query("fingerprint_documents")
+@query("fingerprint_documents", "SELECT * FROM sd_signatures")
 def _(t):
     """Whole documents as logs: almost all take the fallback branch."""
     docs = t.raw("documents").select(F.col("doc_id").alias("log_id"), F.col("text").alias("log_text"))
@@ -589,17 +589,27 @@ def _(t):
     return vectors.validate_vectors(t.vectors, DIMS).select("id", "valid")
 
 
-@query("embed_signatures")
+@query("embed_signatures", r"""
+SELECT id, position, round(cast(cast(c * (1 / sqrt(sum(c * c) OVER (PARTITION BY id))) AS FLOAT) AS DOUBLE), 5) AS x FROM (
+  SELECT id, cast('0x' || substring(md5(w), 1, 8) AS BIGINT) % 384 AS position, cast(count(*) AS DOUBLE) AS c FROM (
+    SELECT id, unnest(regexp_split_to_array(lower(signature_text), '[^\p{L}\p{N}_]+')) AS w FROM fx_failures) WHERE w <> '' GROUP BY ALL)
+""")
 def _(t):
-    return vectors.embed_texts(t.failures.select("id", "signature_text"))
+    out = vectors.embed_texts(t.failures.select("id", "signature_text"))
+    values = out.select("id", F.posexplode("vector").alias("position", "x")).filter("x <> 0")
+    return values.select("id", F.col("position").cast("long").alias("position"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
-@query("decode_vectors")
+@query("decode_vectors", f"""
+SELECT id, 256 AS n_bytes, 64 AS dims, round(cast(u[8] AS DOUBLE), 5) AS eighth FROM (
+  SELECT id, {_unit} AS u FROM (SELECT id, v, list_dot_product(v, v) AS s FROM (
+    SELECT id, list_transform(vector, lambda x: cast(x AS DOUBLE)) AS v FROM fx_vectors)))
+""")
 def _(t):
     coded = vectors.encode_vectors(t.vectors.select("id", "vector"), DIMS)
     return vectors.decode_vectors(coded, DIMS).select(
         "id", F.length("blob").alias("n_bytes"), F.size("decoded").alias("dims"),
-        F.abs(F.col("decoded")[7] - F.col("vector")[7]).alias("error"),
+        F.round(F.col("decoded")[7].cast("double"), 5).alias("eighth"),
     )
 
 
@@ -870,13 +880,32 @@ def _(t):
     return out.select("failure_id", cause.alias("root_cause"), "attempt", "last_reply")
 
 
-@query("triage_from_replies")
+catalog.SHARED["sh_chosen"] = """
+SELECT c.failure_id, object, last_reply, category, signature_text, coalesce(json_extract_string(object, '$.rootCause'), json_extract_string(object, '$.analysis')) AS jc,
+  json_extract_string(object, '$.headline') AS jh FROM (
+  SELECT failure_id, arg_min(object, attempt) FILTER (object IS NOT NULL) AS object, arg_max(reply, attempt) AS last_reply FROM sh_reply_objects GROUP BY failure_id) c
+JOIN fx_failures f ON f.id = c.failure_id
+"""
+_body = O.trim("regexp_replace(last_reply, '```(json)?', '', 'g')")
+_fix = f"coalesce(nullif({O.trim('json_extract_string(object, ' + chr(39) + '$.suggestedFix' + chr(39) + ')')}, ''), '{replies.NO_FIX}')"
+
+
+@query("triage_from_replies", f"""
+SELECT failure_id, CASE WHEN object IS NOT NULL THEN {O.clip(_cause, 1200)} WHEN {_body} <> '' THEN '{replies.UNPARSED_CAUSE}' || {O.clip(_body, 1000)} ELSE '{replies.NO_OUTPUT}' END AS root_cause,
+  CASE WHEN object IS NOT NULL THEN {O.clip(_fix, 2000)} ELSE '{replies.UNPARSED_FIX}' END AS suggested_fix,
+  CASE WHEN object IS NOT NULL THEN {_share} ELSE 0.1 END AS confidence,
+  CASE WHEN object IS NOT NULL THEN {_flake} ELSE category IN ('infra_timeout', 'network_error', 'oom') END AS is_likely_flake,
+  CASE WHEN object IS NOT NULL THEN {_cited} ELSE '' END AS cited_failure_ids,
+  CASE WHEN object IS NOT NULL THEN {O.clip(f"coalesce(nullif({O.trim('jh')}, ''), {_cause})", 120)} ELSE {O.clip(O.spaces('signature_text'), 120)} END AS headline
+FROM sh_chosen
+""")
 def _(t):
     known = t.failures.select(
         F.col("id").alias("failure_id"), "category", "signature_text",
         F.array(*[F.lit(i) for i in ALLOWED]).alias("allowed"),
     )
-    return replies.triage_from_replies(t.replies, known)
+    out = replies.triage_from_replies(t.replies, known)
+    return out.withColumn("cited_failure_ids", listed("cited_failure_ids"))
 
 
 _bare = "regexp_replace(text, '^[\"'']|[\"'']$', '', 'g')"
