@@ -154,32 +154,51 @@ def word_bucket(word, dims: int) -> Column:
     return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % dims
 
 
-def dense_counts(buckets, dims: int) -> Column:
-    """Array of ``dims`` counts from sorted bucket numbers, in one pass over them."""
+def unit_counts(buckets, dims: int) -> Column:
+    """Unit vector of bucket counts from sorted bucket numbers, in one pass over them."""
     n = F.size(buckets)
     ends = F.filter(
         F.sequence(F.lit(0), n - 1),
         lambda i: (i == n - 1) | (F.get(buckets, i) != F.get(buckets, i + 1)),
     )
 
+    def zeros(count):
+        return F.array_repeat(F.lit(0.0).cast("float"), count.cast("int"))
+
     def runs(ends):
-        def piece(end, j):
+        def run(end, j):
             before = F.when(j > 0, F.get(ends, j - 1)).otherwise(-1)
-            gap = F.get(buckets, end) - F.when(j > 0, F.get(buckets, before)).otherwise(-1) - 1
-            zeros = F.array_repeat(F.lit(0.0), gap.cast("int"))
-            return F.concat(zeros, F.array((end - before).cast("double")))
+            return F.struct(
+                F.get(buckets, end).alias("bucket"),
+                F.when(j > 0, F.get(buckets, before)).otherwise(-1).alias("previous"),
+                (end - before).cast("double").alias("count"),
+            )
+
+        return F.transform(ends, run)
+
+    def dense(found):
+        squares = F.aggregate(found, F.lit(0.0), lambda acc, r: acc + r["count"] * r["count"])
+
+        def scaled(share):
+            pieces = F.transform(
+                found,
+                lambda r: F.concat(
+                    zeros(r["bucket"] - r["previous"] - 1),
+                    F.array((r["count"] * share).cast("float")),
+                ),
+            )
+            return F.concat(F.flatten(pieces), zeros(dims - 1 - F.get(buckets, n - 1)))
 
-        rest = F.array_repeat(F.lit(0.0), (dims - 1 - F.get(buckets, n - 1)).cast("int"))
-        return F.concat(F.flatten(F.transform(ends, piece)), rest)
+        return let(1 / F.sqrt(squares), scaled)
 
-    return F.when(n > 0, let(ends, runs)).otherwise(F.array_repeat(F.lit(0.0), dims))
+    return F.when(n > 0, let(let(ends, runs), dense)).otherwise(zeros(F.lit(dims)))
 
 
 def hashed_vector(text, dims: int) -> Column:
     """Built-in vector source: word counts hashed into ``dims`` buckets, unit length."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     buckets = F.sort_array(F.transform(words, lambda w: word_bucket(w, dims)))
-    return X.normalise(let(buckets, lambda bs: dense_counts(bs, dims)))
+    return let(buckets, lambda bs: unit_counts(bs, dims))
 
 
 def unit_rows(block: np.ndarray) -> np.ndarray:
