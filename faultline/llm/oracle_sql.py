@@ -15,6 +15,74 @@ r AS (
 SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10
 """
 
+LINE_WORDS = "len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))"
+
+OP2 = f"""
+WITH a AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS ln FROM documents WHERE text <> ''),
+w AS (SELECT doc_id, ln, line, {LINE_WORDS} AS words FROM a),
+n AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, ln) AS pos,
+         sum(words) OVER (PARTITION BY doc_id ORDER BY ln) AS upto FROM w WHERE words > 0),
+r AS (
+  SELECT x.pos AS s, y.pos AS e FROM n AS x JOIN n AS y ON x.doc_id = y.doc_id AND y.pos >= x.pos
+  WHERE y.upto - y.words < x.upto - x.words + 50 AND y.upto >= x.upto - x.words + 50
+  UNION
+  SELECT x.pos, y.pos FROM n AS x JOIN n AS y ON x.doc_id = y.doc_id AND y.pos >= x.pos
+  WHERE x.upto - x.words <= y.upto - 50 AND x.upto > y.upto - 50),
+c AS (
+  SELECT s, e, string_agg(line, chr(10) ORDER BY pos) AS run
+  FROM r JOIN n ON n.pos BETWEEN s AND e GROUP BY s, e),
+g AS (
+  SELECT DISTINCT n.pos FROM (SELECT *, min(s) OVER (PARTITION BY run) AS head FROM c) AS x
+  JOIN n ON n.pos BETWEEN s AND e WHERE s > head),
+m AS (
+  SELECT w.doc_id, w.ln, w.line, CASE WHEN n.pos IS NULL THEN NULL ELSE g.pos IS NOT NULL END AS gone
+  FROM w LEFT JOIN n ON n.doc_id = w.doc_id AND n.ln = w.ln LEFT JOIN g ON g.pos = n.pos),
+k AS (
+  SELECT doc_id, ln, line, coalesce(
+    last_value(gone IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ln),
+    first_value(gone IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ln
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), false) AS gone FROM m),
+t AS (
+  SELECT doc_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY ln) FILTER (NOT gone) AS kept
+  FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines,
+       CASE WHEN coalesce(kept, '') = '' THEN 0 ELSE len(string_split(kept, chr(10))) END AS n_kept,
+       sha256(coalesce(kept, '')) AS text_sha256
+FROM documents AS d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+OP3 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+t AS (
+  SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM d),
+h AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM t),
+c AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM h CROSS JOIN (VALUES (0), (1), (2)) AS o(k)
+  WHERE n > 1 GROUP BY r),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+    CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(length(regexp_replace(text, '[^!]', '', 'g')) AS BIGINT) AS n_bangs
+  FROM d LEFT JOIN c ON c.r = d.r),
+v AS (
+  SELECT * EXCLUDE (lines), CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM m),
+b AS (
+  SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT
+    + 4 * (100 * n_symbols > 20 * n_words)::INT + 8 * (100 * n_dup_lines > 50 * n_lines)::INT
+    + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 20 * n_words)::INT
+    + 64 * (100 * n_bangs > 30 * n_words)::INT AS BIGINT) AS fail_bits FROM v)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, fail_bits = 0 AS kept FROM b
+"""
+
 OP5 = f"""
 WITH d AS (
   SELECT doc_id, source, len({WORDS}) AS size,
@@ -57,5 +125,7 @@ FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.pos = m.pos
 
 ORACLES = {
     "op1_topk_codes": OP1,
+    "op2_line_dedup": OP2,
+    "op3_quality_rules": OP3,
     "op5_mix_sources": OP5,
 }

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import mixing, multiindex
+from faultline.llm import linededup, mixing, multiindex, quality
 from faultline.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,21 @@ def op1_topk_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.search(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(documents(spark, sf_dir))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
     "op1_topk_codes": op1_topk_codes,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op5_mix_sources": op5_mix_sources,
 }
