@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import linededup, mixing, multiindex, quality
+from faultline.llm import linededup, mixing, multiindex, quality, tokens
 from faultline.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,9 +28,14 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(documents(spark, sf_dir))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk_codes": op1_topk_codes,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_mix_sources": op5_mix_sources,
+    "op9_sentencepiece": op9_sentencepiece,
 }
