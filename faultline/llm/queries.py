@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import linededup, mixing, multiindex, quality, tokens
+from faultline.llm import language, linededup, mixing, multiindex, pii, quality, tokens
 from faultline.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +24,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(documents(spark, sf_dir))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(documents(spark, sf_dir))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(documents(spark, sf_dir))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(documents(spark, sf_dir))
 
@@ -36,6 +44,8 @@ QUERIES: dict[str, Query] = {
     "op1_topk_codes": op1_topk_codes,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_personal_data": op4_personal_data,
     "op5_mix_sources": op5_mix_sources,
+    "op6_language": op6_language,
     "op9_sentencepiece": op9_sentencepiece,
 }
