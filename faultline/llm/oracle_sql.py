@@ -1,5 +1,7 @@
 """Checking SQL of the corpus operators, for DuckDB."""
 
+from faultline.llm.licences import TEMPLATES
+
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP1 = """
@@ -123,9 +125,37 @@ SELECT d.doc_id, d.size, m.source_size, m.target,
 FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.pos = m.pos
 """
 
+ALNUM = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+TEMPLATE_ROWS = ", ".join(
+    "({}, '{}', '{}')".format(n, name, text.replace("'", "''")) for n, (name, text) in enumerate(TEMPLATES)
+)
+
+OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {ALNUM} AS w FROM documents),
+s AS (
+  SELECT r, i, list_slice(w, i + 1, i + 5) AS g FROM (SELECT r, w, unnest(range(len(w) - 4)) AS i FROM d)),
+k AS (SELECT n, licence, {ALNUM} AS w FROM (VALUES {TEMPLATE_ROWS}) AS v(n, licence, text)),
+p AS (
+  SELECT DISTINCT n, licence, len(w) - 4 AS t, list_slice(w, i + 1, i + 5) AS g
+  FROM (SELECT n, licence, w, unnest(range(len(w) - 4)) AS i FROM k)),
+z AS (SELECT n, count(*) AS shingles FROM p GROUP BY n),
+h AS (
+  SELECT r, p.n, licence, p.g, CAST(floor(i / t) AS BIGINT) - back AS win
+  FROM s JOIN p ON s.g = p.g CROSS JOIN (VALUES (0), (1)) AS o(back)),
+f AS (
+  SELECT r, n, licence, win FROM h WHERE win >= 0 GROUP BY r, n, licence, win
+  HAVING count(DISTINCT g) >= 0.8 * (SELECT shingles FROM z WHERE z.n = h.n)),
+a AS (
+  SELECT r, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) AS n_windows
+  FROM f GROUP BY r)
+SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_windows, 0) AS n_windows
+FROM d LEFT JOIN a ON a.r = d.r
+"""
+
 ORACLES = {
     "op1_topk_codes": OP1,
     "op2_line_dedup": OP2,
     "op3_quality_rules": OP3,
     "op5_mix_sources": OP5,
+    "op7_licence_scan": OP7,
 }
