@@ -36,13 +36,13 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def by_pieces(work: Callable[[pa.Array], pa.Array]) -> Callable:
+def by_pieces(work: Callable[[pa.Array], pa.Array], limit: int = PIECE_BYTES) -> Callable:
     """Applies ``work`` to the pieces of each batch; null texts come as empty ones."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             texts = batch.fill_null("") if batch.null_count else batch
-            done = [work(piece) for piece in pieces(texts)] or [work(texts)]
+            done = [work(piece) for piece in pieces(texts, limit)] or [work(texts)]
             yield pa.concat_arrays(done)
 
     return run

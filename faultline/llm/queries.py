@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import language, licences, linededup, mixing, multiindex, pii, quality, tokens
+from faultline.llm import language, licences, linededup, mixing, multiindex, ngramjoin, pii, quality, tokens
 from faultline.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_report(documents(spark, sf_dir))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join_report(documents(spark, sf_dir))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(documents(spark, sf_dir))
 
@@ -52,5 +56,6 @@ QUERIES: dict[str, Query] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_language": op6_language,
     "op7_licence_scan": op7_licence_scan,
+    "op8_ngram_join": op8_ngram_join,
     "op9_sentencepiece": op9_sentencepiece,
 }
