@@ -120,7 +120,7 @@ def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
         doubled = numbered(pairs, ["head", "next"])
         ranks = checkpointed(pairs.join(doubled, ["head", "next"]).select("pos", *TEXT, "rank"))
         width *= 2
-    return found
+    return asked.select("start", "end") if found is None else found
 
 
 def kept_spans(lines: DataFrame, copies: DataFrame) -> DataFrame:
@@ -159,12 +159,15 @@ def with_kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     first, lines = line_sequence(keyed)
     lines = checkpointed(lines)
-    spans = kept_spans(lines, later_copies(lines, min_words)) if not lines.isEmpty() else None
+    spans = None
+    if not lines.isEmpty():
+        copies = checkpointed(later_copies(lines, min_words))  # keeps the later plans small
+        spans = checkpointed(kept_spans(lines, copies))
     decided = first.withColumn("_first", F.lit(True))
     if spans is None:
         decided = decided.withColumn("kept", F.lit(None).cast("array<struct<from:int,to:int>>"))
     else:
-        decided = decided.join(spans, TEXT, "left")
+        decided = checkpointed(decided.join(spans, TEXT, "left"))
     again = Window.partitionBy(*TEXT, "_id").orderBy("_f1")
     rows = docs.select(F.struct("*").alias("_row"), *text_key(text_of()), order_id())
     rows = rows.withColumn("_copy", F.row_number().over(again)).join(decided, [*TEXT, "_id"], "left")
@@ -190,10 +193,19 @@ def with_kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The same rows and columns, with the lines of later copies deleted from the texts."""
     done = with_kept_lines(docs, min_words)
-    columns = {"text": F.col("_kept")}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.length("_kept").cast("long")
-    return done.select(*[columns.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return picked(done, docs.columns)
+
+
+def picked(done: DataFrame, names: list[str]) -> DataFrame:
+    columns = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    return done.select(*[columns.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names])
+
+
+def remaining(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """As ``deduplicated``, without the documents that lost their whole text."""
+    done = with_kept_lines(docs, min_words)
+    lost = (F.col("_kept") == "") & (F.col("_row.text") != "")
+    return picked(done.filter(~F.coalesce(lost, F.lit(False))), docs.columns)
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
