@@ -1,8 +1,69 @@
-"""The corpus pipeline: language, line dedup, near duplicates, mixing, tokens."""
+"""The corpus pipeline: language, line dedup, near duplicates, mixing, tokens.
 
+Every stage reads what the one before has written as Parquet in the shared folder of
+``spark.checkpoint.dir``, works on all of it and returns the columns of documents;
+the last one adds the token ids.
+"""
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from faultline.llm import language, linededup, mixing, ngramjoin, tokens
+from faultline.sources.checkpoints import checkpoint_dir
+
+CLEAR = 0.35  # the least score of a language; four equal chances have 0.25
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, or without a clear language, go."""
+    held = docs.select(F.struct("*").alias("_row"), "text")
+    named = language.identified(held, language.learn(docs), "_language")
+    clear = (F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= CLEAR)
+    return named.filter(clear).select("_row.*")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs go, and the documents that have nothing else."""
+    return linededup.remaining(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngramjoin.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text; the text is what they decode to."""
+    held = docs.select(F.struct("*").alias("_row"), "text")
+    done = tokens.tokenized(held, column="_tokens")
+    columns = {"text": F.col("_tokens.decoded")}
+    return done.select(
+        *[columns.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns],
+        F.size("_tokens.ids").cast("long").alias("n_tokens"),
+        F.col("_tokens.ids").alias("token_ids"),
+    )
+
+
+STAGES = [
+    ("language", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("mix", mix_sources),
+    ("tokens", encode),
+]
+# SQL knows neither the network nor the tokenizer; tests hold the stages against brute force
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
