@@ -122,7 +122,8 @@ def nearest_codes(
         covered = F.lit(radius == width) | (F.col("kth") <= count * (radius + 1) - 1)
         complete = state.filter(covered).select("query")
         near = near.select("query", "code", "distance", "rows")
-        settled = near.join(complete, "query", "left_semi")
+        # stored round by round, so no plan grows with the rounds
+        settled = checkpointed(near.join(complete, "query", "left_semi"))
         done = settled if done is None else done.unionByName(settled)
         open_ = state.filter(~F.coalesce(covered, F.lit(False))).select(
             "query", F.coalesce("kth", "limit").alias("limit")
@@ -167,7 +168,7 @@ def search(
     others = F.filter(F.col("near"), lambda x: ~x["_n"].eqNullSafe(F.col("_own")))
     ranked = (
         asked.join(lists, asked.code == lists.query)
-        .withColumn("_own", F.element_at(own, 1)["_n"])
+        .withColumn("_own", F.get(own, F.lit(0))["_n"])
         .withColumn("near", F.slice(others, 1, k))
     )
     return ranked.select(
