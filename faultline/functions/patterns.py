@@ -79,8 +79,7 @@ RULES = [
         r"(?i:Container .{0,60}(?:was )?OOM)",
     ]),
     ("oom", 12, 0.9, [
-        r"(?i:exit(?:ed)? (?:with )?(?:code|status)[: ]{1,3}137\b)",
-        r"(?i:exit code 137\b|code=137\b|status 137\b)",
+        r"(?i:exit(?:ed)? (?:with )?(?:code|status)[: ]{1,3}137\b|exit code 137\b|code=137\b|status 137\b)",
     ]),
     ("oom", 13, 0.75, [r"(?:^|:\s)(?:<N> )?Killed\b", r"(?i:\bsignal: killed\b)"]),
     ("infra_timeout", 15, 1.0, [
@@ -100,8 +99,7 @@ RULES = [
     ]),
     ("infra_timeout", 17, 0.85, [
         r"(?i:timeout: sending signal \w{1,10} to command)",
-        r"(?i:exit(?:ed)? (?:with )?(?:code|status)[: ]{1,3}124\b)",
-        r"(?i:exit code 124\b)",
+        r"(?i:exit(?:ed)? (?:with )?(?:code|status)[: ]{1,3}124\b|exit code 124\b)",
     ]),
     ("infra_timeout", 17, 0.8, [
         r"^(?:\[ERROR\] )?FATAL: command execution failed",

@@ -14,14 +14,31 @@ from pyspark.sql import functions as F
 from faultline import schemas as S
 from faultline.functions import patterns as P
 from faultline.functions.reuse import once_per_context
-from faultline.functions.text import clip, col, filled, let, trim
+from faultline.functions.text import SPACE_CLASS, clip, col, filled, let, trim
 
 FALLBACK_NEAR = 60  # at least the lines a fallback hint looks at
 HINT_CATEGORIES = ["test_failure", "compile_error", "lint_error"]
 
 
+def spaced(pattern: str) -> str:
+    """The pattern with ``\\s`` and ``\\S`` read as all white space, not as ASCII only."""
+    inside, out, at = False, [], 0
+    wide = SPACE_CLASS[1:-1]
+    while at < len(pattern):
+        piece = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        if piece == r"\s":
+            out.append(wide if inside else f"[{wide}]")
+        elif piece == r"\S":
+            out.append(f"[^{wide}]")
+        else:
+            out.append(piece)
+            inside = piece == "[" or (inside and piece != "]")
+        at += len(piece)
+    return "".join(out)
+
+
 def any_of(alternatives) -> str:
-    return "|".join(f"(?:{p})" for p in alternatives)
+    return spaced("|".join(f"(?:{p})" for p in alternatives))
 
 
 def tail_lines(log, lines: int = S.TAIL_LINES, chars: int = S.TAIL_CHARS) -> Column:
@@ -40,7 +57,7 @@ def first(array) -> Column:
 
 def normalise(line) -> Column:
     """One line without anything that changes between two runs of one failure."""
-    text = reduce(lambda s, rw: F.regexp_replace(s, rw[0], rw[1]), P.REWRITES, col(line))
+    text = reduce(lambda s, rw: F.regexp_replace(s, spaced(rw[0]), rw[1]), P.REWRITES, col(line))
     return trim(text)
 
 
@@ -142,7 +159,7 @@ def signature_text(forward) -> Column:
 def extracted(lines, pattern: str, must_contain: str) -> Column:
     found = F.transform(
         F.filter(lines, lambda x: x.contains(must_contain)),
-        lambda x: F.regexp_extract(x, pattern, 1),
+        lambda x: F.regexp_extract(x, spaced(pattern), 1),
     )
     return F.filter(found, lambda x: x != "")
 
@@ -156,7 +173,7 @@ def file_hint(lines) -> Column:
         files,
         lambda fs: F.coalesce(
             first(extracted(lines, P.PYTEST_NODE, ".py::")),
-            first(F.filter(fs, lambda f: f.rlike(P.TEST_FILE))),
+            first(F.filter(fs, lambda f: f.rlike(spaced(P.TEST_FILE)))),
             first(extracted(lines, P.JAVA_CLASS, "(")),
             first(fs),
             first(F.transform(extracted(lines, P.BULLET_TITLE, "●"), trim)),

@@ -19,9 +19,7 @@ STATUS_LABELS = {
     "open": "open", "awaiting_approval": "awaiting you", "triaged": "triaged",
     "resolved": "resolved", "dismissed": "dismissed",
 }
-RESULT_KEYS = [
-    "rootCause", "suggestedFix", "confidence", "isLikelyFlake", "citedFailureIds", "headline",
-]
+RESULT_KEYS = ["rootCause", "suggestedFix", "confidence", "headline"]
 
 
 def merged_triage(failures: DataFrame, runs: DataFrame) -> DataFrame:
@@ -45,7 +43,8 @@ def merged_triage(failures: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
     def run_text(key):
-        return let(V.parse(F.col(f"run_{key}")), lambda v: F.when(V.is_string(v), V.as_string(v)))
+        text = let(V.parse(F.col(f"run_{key}")), lambda v: F.when(V.is_string(v), V.as_string(v)))
+        return let(text, present)
 
     def run_number(key):
         return let(V.parse(F.col(f"run_{key}")), lambda v: F.when(V.is_number(v), V.as_double(v)))

@@ -133,7 +133,10 @@ def percent(share) -> Column:
 
 
 def postback_outbox(results: DataFrame, has_credentials: bool, product: str = "Triage") -> DataFrame:
-    """What would be posted for each result; nothing is sent."""
+    """What would be posted for each result; nothing is sent.
+
+    A result that lacks one of the posted parts is not ready: its reason is ``no_result``.
+    """
     no_url = F.coalesce(F.col("run_url"), F.lit("")) == ""
     body = F.concat(
         F.lit("**"), F.col("headline"), F.lit("**\n\n**Root cause** — "), F.col("root_cause"),
@@ -141,7 +144,7 @@ def postback_outbox(results: DataFrame, has_credentials: bool, product: str = "T
         F.lit(f"\n\n_{product} · confidence "), percent(F.col("confidence")), F.lit("%_"),
     )
     if has_credentials:
-        reason = F.when(no_url, "no_run_url").otherwise("ready")
+        reason = F.when(no_url, "no_run_url").when(body.isNull(), "no_result").otherwise("ready")
         detail = F.lit(None).cast("string")
         text = F.when(~no_url, body)
     else:

@@ -71,7 +71,7 @@ def top_k_similar(
 
     def scored(c, i):
         return F.struct(
-            (-F.round(X.similarity(F.col("vector"), c["cv"]), 12)).alias("minus"),
+            (-X.similarity(F.col("vector"), c["cv"])).alias("minus"),
             i.alias("place"),
             c["id"].alias("id"),
         )
@@ -89,7 +89,7 @@ def top_k_similar(
             "repo",
             (F.col("place") + 1).alias("rank"),
             F.col("hit.id").alias("id"),
-            (-F.col("hit.minus")).alias("score"),
+            F.round(-F.col("hit.minus"), 12).alias("score"),
         )
     )
 
@@ -210,6 +210,16 @@ def unit_rows(block: np.ndarray) -> np.ndarray:
     return (safe * np.where(np.isfinite(scale), scale, 0)).astype("float32")
 
 
+def not_embedded(df: DataFrame, text: str = "signature_text") -> DataFrame:
+    """The rows ``embed_texts`` leaves out, with the reason."""
+    return (
+        embedding_inputs(df, text)
+        .filter(~F.coalesce("usable", F.lit(False)))
+        .drop("input", "usable")
+        .withColumn("reason", F.lit("blank_text"))
+    )
+
+
 Embedder = Callable[[list[str]], "np.ndarray"]
 
 
@@ -219,7 +229,8 @@ def embed_texts(
 ) -> DataFrame:
     """Add ``vector`` from a user-supplied batch function, or from word hashing.
 
-    The function gets at most fifty texts at a time and runs inside the tasks.
+    The function gets at most fifty texts at a time and runs inside the tasks. Texts
+    without content get no vector; ``not_embedded`` names them.
     """
     ready = embedding_inputs(df, text).filter("usable")
     if embedder is None:

@@ -408,7 +408,7 @@ SELECT repo, signature_hash, signature_text, cast(count AS BIGINT) AS count, ran
     FROM fx_failures WHERE last_seen_at >= {NOW - 7 * S.DAY_MS} GROUP BY repo, signature_hash HAVING sum(occurrence_count) >= 3)) WHERE rank <= 10
 """
 catalog.SHARED["sh_flakes"] = _flakes
-catalog.SHARED["sh_counts"] = catalog.ORACLES["repo_counts"].split("MATERIALIZED", 1)[0] and f"""
+catalog.SHARED["sh_counts"] = f"""
 SELECT repo, count(*) FILTER (status IN ('open', 'awaiting_approval', 'triaged')) AS open_count,
   count(*) FILTER (status = 'resolved') AS resolved_count FROM fx_failures WHERE last_seen_at >= {NOW - 7 * S.DAY_MS} GROUP BY repo
 """
@@ -779,7 +779,7 @@ _posted = """'**' || headline || '**' || chr(10) || chr(10) || '**Root cause** 
 @query("postback_outbox", f"""
 SELECT id, run_url, CASE WHEN run_url IS NULL THEN 'no_run_url' ELSE 'no_credentials' END AS reason,
   'would POST triage to ' || run_url AS detail, cast(NULL AS VARCHAR) AS body FROM fx_failures
-UNION ALL SELECT id, run_url, CASE WHEN run_url IS NULL THEN 'no_run_url' ELSE 'ready' END, NULL,
+UNION ALL SELECT id, run_url, CASE WHEN run_url IS NULL THEN 'no_run_url' WHEN {_posted} IS NULL THEN 'no_result' ELSE 'ready' END, NULL,
   CASE WHEN run_url IS NOT NULL THEN {_posted} END FROM fx_failures
 """)
 def _(t):
@@ -1009,10 +1009,10 @@ _detail = "(SELECT *, cast(trim(detail) AS JSON) AS d FROM fx_runs WHERE trim(de
 
 
 @query("merged_triage", f"""
-SELECT f.id, coalesce(f.root_cause, r.root_cause) AS root_cause, coalesce(f.suggested_fix, r.suggested_fix) AS suggested_fix,
+SELECT f.id, coalesce(f.root_cause, nullif(r.root_cause, '')) AS root_cause, coalesce(f.suggested_fix, nullif(r.suggested_fix, '')) AS suggested_fix,
   coalesce(f.confidence, r.confidence) AS confidence, f.is_likely_flake,
   array_to_string(list_filter(cited_failure_ids, lambda x: x <> '' AND x <> f.id)[1:8], ',') AS cited_failure_ids,
-  coalesce(f.headline, CASE WHEN json_type(r.headline) = 'VARCHAR' THEN json_extract_string(r.headline, '$') END) AS headline
+  coalesce(f.headline, CASE WHEN json_type(r.headline) = 'VARCHAR' THEN nullif(json_extract_string(r.headline, '$'), '') END) AS headline
 FROM sh_failures f LEFT JOIN (
   SELECT failure_id, arg_min(json_extract_string(d, '$.rootCause'), (created_at, id)) FILTER (json_type(d, '$.rootCause') <> 'NULL') AS root_cause,
     arg_min(json_extract_string(d, '$.suggestedFix'), (created_at, id)) FILTER (json_type(d, '$.suggestedFix') <> 'NULL') AS suggested_fix,

@@ -203,3 +203,19 @@ def test_needed_texts_never_hide_a_rule(spark):
         assert matched, f"no sample for rule {i}"
         for line in matched:
             assert any(w in line.lower() for w in needed), (i, line)
+
+
+@pytest.mark.parametrize("space", ["﻿", " ", " ", "　"])
+def test_every_white_space_counts(spark, space):
+    logs = [
+        f"{space}2024-02-03T04:05:06.1Z ##[error]Process completed with exit code 3.",
+        "2024-02-03T04:05:06.1Z ##[error]Process completed with exit code 3.",
+        f"●{space}cart › totals fails\nTests: 1 failed",
+        "● cart › totals fails\nTests: 1 failed",
+        f"FAIL{space}src/cart.test.ts",
+        "FAIL src/cart.test.ts",
+    ]
+    found = prints(spark, logs)
+    for odd, plain in zip(found[::2], found[1::2]):
+        assert (odd.category, odd.confidence) == (plain.category, plain.confidence)
+    assert found[0].hash == found[1].hash
