@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 8 << 20  # a piece holds at most so much text, or one text
+PIECE_BYTES = 4 << 20  # a piece holds at most so much text, or one text
 
 
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[pa.Array]:
