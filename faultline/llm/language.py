@@ -11,8 +11,8 @@ into windows from end to end, in fixed-length blocks of windows; the mean log
 probability over the windows, weighted by their bytes, gives the language.
 
 What is learned comes from a bounded sample: at most ``PER_LANGUAGE`` documents of
-a language, at most ``MAX_ROWS`` in all, the first by md5 of the id, with
-``WINDOWS`` windows each, so the driver holds a few megabytes at any table size.
+a language, at most ``MAX_ROWS`` in all, chosen by hashes of the id, with ``WINDOWS``
+windows each, so the driver holds a few megabytes at any table size.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is
 every text when no row has a label to learn from; rows without a label are
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.arrow import by_pieces, bytes_of
-from faultline.llm.common import id_text, remainder
+from faultline.llm.common import id_text, remainder, small_side
+from faultline.sources.checkpoints import checkpointed
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -52,25 +53,35 @@ class Network:
 
 
 def sample_windows(docs: DataFrame) -> DataFrame:
-    """(lang, window): the training windows as text."""
-    first = Window.partitionBy("lang").orderBy("_order")
+    """(lang, window): the training windows as text.
+
+    A language with many documents is thinned by a hash of the id to about twice the
+    bound before the exact choice, so the choice never gathers a whole language.
+    """
     divisor, kept_out = HELD_OUT
-    rows = (
-        docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .filter(remainder(divisor) != kept_out)
-        .select("lang", "text", F.md5(F.concat(F.lit("lang:"), id_text())).alias("_order"))
-        .withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= PER_LANGUAGE)
-        .orderBy("_n", "_order")
-        .limit(MAX_ROWS)
-    )
+    labelled = docs.filter(F.col("lang").isNotNull() & (remainder(divisor) != kept_out))
+    totals = checkpointed(labelled.groupBy("lang").agg(F.count("*").alias("_total")))
+    chance = F.pmod(F.xxhash64(F.lit("lang"), id_text()), F.lit(1 << 31)) / F.lit(float(1 << 31))
     step = F.greatest(F.lit(1), F.floor(F.length("text") / WINDOWS)).cast("int")
     starts = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: i * step + 1),
         lambda at: at <= F.length("text"),
     )
-    return rows.select(
-        "lang", F.explode(F.transform(starts, lambda at: F.substring("text", at, WINDOW))).alias("window")
+    first = Window.partitionBy("lang").orderBy("_order", "_windows")
+    return (
+        labelled.join(small_side(totals), "lang")
+        .filter(chance * F.col("_total") < 2 * PER_LANGUAGE)
+        .filter(F.col("text").rlike(r"\p{L}"))
+        .select(
+            "lang",
+            F.md5(F.concat(F.lit("lang:"), id_text())).alias("_order"),
+            F.transform(starts, lambda at: F.substring("text", at, WINDOW)).alias("_windows"),
+        )
+        .withColumn("_n", F.row_number().over(first))
+        .filter(F.col("_n") <= PER_LANGUAGE)
+        .orderBy("_n", "_order")
+        .limit(MAX_ROWS)
+        .select("lang", F.explode("_windows").alias("window"))
     )
 
 
