@@ -157,8 +157,7 @@ def with_kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = docs.select(
         F.col("text").alias("_text"), *text_key(text_of()), order_id()
     )
-    first, lines = line_sequence(keyed)
-    lines = checkpointed(lines)
+    first, lines = line_sequence(keyed)  # the numbering has stored them
     spans = None
     if not lines.isEmpty():
         copies = checkpointed(later_copies(lines, min_words))  # keeps the later plans small
@@ -215,7 +214,7 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         text = F.coalesce(F.col(name), F.lit(""))
         return F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
 
-    return with_kept_lines(docs, min_words).select(
+    return with_kept_lines(docs.select("doc_id", "text"), min_words).select(
         F.col("_row.doc_id").alias("doc_id"),
         count("_row.text").alias("n_lines"),
         count("_kept").alias("n_kept"),
