@@ -35,6 +35,7 @@ id are equal sets; an empty table gives an empty result. Only ``doc_id`` and
 """
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,12 +52,16 @@ from faultline.sources.checkpoints import checkpointed
 PERCENT = 80  # of the union that the intersection of linked sets has at least
 SIZE_CLASSES = 20  # trees per e-fold of set size
 BLOCK = 256  # sets in one prefix tree
-PIECE = 2 << 20  # bytes of text worked on together
-CHUNK = 4_000_000  # shingles among which a task looks for frequent ones
-LOCAL, FREQUENT = 4, 8  # sightings in a chunk and over all chunks from which a level is kept
+ROWS = 256  # lists turned into Python numbers at a time
+PIECE = 1 << 20  # bytes of text worked on together
+CHUNK = 1_500_000  # shingles among which a task looks for frequent ones
+LOCAL, FREQUENT = 3, 8  # sightings in a chunk and over all chunks from which a level is kept
 LEVELS = 1_000_000  # frequent shingles that carry a level: 9 MB on every worker at most
 
 
+ROW = ["_r1", "_r2"]
+
+
 def prefix_length(n):
     """Shingles of a set of size n of which linked sets share one."""
     return n - (n * PERCENT + 99) // 100 + 1
@@ -77,7 +82,12 @@ def set_keys(docs: DataFrame) -> DataFrame:
         return run(batches)
 
     keyed = F.arrow_udf(apply, "n long, f long, g long")(F.col("text"))
-    return docs.select("doc_id", keyed.alias("k")).select("doc_id", "k.*")
+    return docs.select("doc_id", *row_names(), keyed.alias("k")).select("doc_id", *ROW, "k.*")
+
+
+def row_names() -> list[Column]:
+    """A row by two independent hashes of its id and text."""
+    return [F.xxhash64(F.lit(k), "doc_id", "text").alias(name) for k, name in enumerate(ROW)]
 
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
@@ -259,11 +269,25 @@ def tree_pairs(shared: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFr
     placed = checkpointed(
         shared.select("token", "f").join(labels.withColumnRenamed("node", "f"), "f", "left").select("token", "f", label.alias("label"))
     )
-    by_label = placed.groupBy("token", "label").agg(F.count("*").alias("n"))
+    by_label = placed.groupBy("token", "label").agg(
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("f")).alias("x"),
+        F.bit_xor(F.xxhash64("f", F.lit(1))).alias("y"),
+    )
     open_ = (
         by_label.groupBy("token")
-        .agg(F.count("*").alias("labels"), F.sum("n").alias("sets"), F.max(F.struct("n", "label"))["label"].alias("major"))
+        .agg(
+            F.count("*").alias("labels"),
+            F.sum("n").alias("sets"),
+            F.max(F.struct("n", "label"))["label"].alias("major"),
+            F.bit_xor("x").alias("x"),
+            F.bit_xor("y").alias("y"),
+        )
         .filter("labels > 1")
+        # buckets with the same sets are one: that of the smallest shingle, which is also
+        # the first common one of the pairs that have any other of them as their first
+        .groupBy("sets", "x", "y")
+        .agg(F.min("token").alias("token"), F.min("major").alias("major"))
         .select("token", "major", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks"))
     )
     inside = placed.join(open_, "token")
@@ -272,11 +296,10 @@ def tree_pairs(shared: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFr
     walkers = inside.filter("label <> major").select(
         "token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "f", "label", F.lit(True).alias("walks")
     )
-    later = F.filter("tokens", lambda t: t > F.col("token"))
     rows = (
         members.unionByName(walkers)
         .join(lists, "f")
-        .select("token", "block", "walks", "f", "label", "n", "last", later.alias("tokens"))
+        .select("token", "block", "walks", "f", "label", "n", "last", "tokens")
         .repartition("token", "block")
         .sortWithinPartitions("token", "block", "walks")
     )
@@ -286,7 +309,7 @@ def tree_pairs(shared: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFr
 def walk_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walks group after group of rows sorted by bucket and block, members before walkers."""
     here, tree, out = None, None, []
-    for batch in batches:
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         columns = [batch.column(k).to_pylist() for k in range(8)]
         for token, block, walks, f, label, n, last, tokens in zip(*columns):
             if (token, block) != here:
@@ -294,7 +317,7 @@ def walk_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not walks:
                 tree.add(f, label, n, last, tokens)
             else:
-                out += [(min(f, g), max(f, g)) for g in tree.walk(f, label, n, last, tokens)]
+                out += [(min(f, g), max(f, g)) for g in tree.walk(token, f, label, n, last, tokens)]
         if out:
             pairs = sorted(set(out))
             yield pa.RecordBatch.from_arrays(
@@ -304,7 +327,7 @@ def walk_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Tree:
-    """Prefix trees of ordered shingle lists behind the shingle of their bucket.
+    """Prefix trees of the ordered shingle lists of a bucket.
 
     There is one tree for each class of set sizes, since the overlap that a link
     needs beyond the prefixes depends on both sizes.
@@ -324,17 +347,25 @@ class Tree:
         widen(at, n, 0)
         at[1].append((f, label, n, last))
 
-    def walk(self, f: int, label: int, n: int, last: int, tokens: list[int]) -> list[int]:
-        """Sets of other components whose list may belong to a link with this one."""
+    def walk(
+        self, bucket: int, f: int, label: int, n: int, last: int, tokens: list[int]
+    ) -> list[int]:
+        """Sets of other components whose list may belong to a link with this one.
+
+        A pair is looked at in the bucket of its first common shingle only, so a branch
+        that meets an own shingle before the bucket's is left.
+        """
         place = {token: k for k, token in enumerate(tokens)}
+        size_of = len(tokens)
         found = []
-        stack = [(root, 1, 0) for root in self.roots.values()]  # node, met so far, own passed
+        # node, met so far, own shingles that can still be met
+        stack = [(root, 0, size_of - place[bucket]) for root in self.roots.values()]
         while stack:
-            node, met, passed = stack.pop()
+            node, met, left = stack.pop()
             branches, sets, way, least, most = node
             if most * 100 < n * PERCENT or least * PERCENT > n * 100:
                 continue
-            if met + min(way, len(tokens) - passed) < least_met(n, least, most):
+            if met + min(way, left) < least_met(n, least, most):
                 continue
             for g, other, size, end in sets:
                 if other == label or g == f:
@@ -347,7 +378,13 @@ class Tree:
                     found.append(g)
             for token, branch in branches.items():
                 k = place.get(token)
-                stack.append((branch, met, passed) if k is None else (branch, met + 1, k + 1))
+                if token < bucket:
+                    if k is None:
+                        stack.append((branch, met, left))
+                elif k is None:
+                    stack.append((branch, met, size_of - bisect_left(tokens, token)))
+                else:
+                    stack.append((branch, met + 1, size_of - k - 1))
         return found
 
 
@@ -407,3 +444,21 @@ def join_report(docs: DataFrame) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of one document of every component: that with the smallest id, null ids last.
+
+    Rows equal in id and text are one document. Documents without a word stay.
+    """
+    keys, labels = labelled(docs)
+    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), *ROW)
+    classes = keys.filter("n > 0").groupBy("f").agg(F.min(place).alias("_place"))
+    named = classes.join(labels.withColumnRenamed("node", "f"), "f", "left").select(
+        F.coalesce("label", "f").alias("label"), "_place"
+    )
+    chosen = named.groupBy("label").agg(F.min("_place").alias("_place")).select(*[f"_place.{c}" for c in ROW])
+    stay = checkpointed(chosen.unionByName(keys.filter("n = 0").select(*ROW)).distinct())
+    once = Window.partitionBy(*ROW).orderBy(ROW[0])
+    rows = docs.select(F.struct("*").alias("_row"), *row_names()).join(stay, ROW, "left_semi")
+    return rows.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*")
