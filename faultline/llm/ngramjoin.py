@@ -266,8 +266,13 @@ def whole_sets(docs: DataFrame, keys: DataFrame, names: DataFrame, order) -> Dat
 def tree_pairs(shared: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b): pairs of different components that a walk through the prefix trees lets pass."""
     label = F.coalesce("label", "f")
+    occurrences = lists.select(
+        "f", "n", "last", F.size("tokens").alias("_size"), F.posexplode("tokens").alias("_place", "token")
+    ).withColumn("left", F.col("_size") - F.col("_place"))
     placed = checkpointed(
-        shared.select("token", "f").join(labels.withColumnRenamed("node", "f"), "f", "left").select("token", "f", label.alias("label"))
+        occurrences.join(labels.withColumnRenamed("node", "f"), "f", "left").select(
+            "token", "f", "n", "last", "left", label.alias("label")
+        )
     )
     by_label = placed.groupBy("token", "label").agg(
         F.count("*").alias("n"),
@@ -292,20 +297,86 @@ def tree_pairs(shared: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFr
     )
     inside = placed.join(open_, "token")
     block = F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")
-    members = inside.select("token", block.alias("block"), "f", "label", F.lit(False).alias("walks"))
+    narrow = ["f", "label", "n", "last", "left"]
+    members = inside.select("token", block.alias("block"), F.lit(False).alias("walks"), *narrow)
     walkers = inside.filter("label <> major").select(
-        "token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "f", "label", F.lit(True).alias("walks")
+        "token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("walks"), *narrow
     )
-    rows = (
+    group = ["token", "block"]
+    screened = (
         members.unionByName(walkers)
-        .join(lists, "f")
-        .select("token", "block", "walks", "f", "label", "n", "last", "tokens")
-        .repartition("token", "block")
-        .sortWithinPartitions("token", "block", "walks")
+        .repartition(*group)
+        .sortWithinPartitions(*group, "walks")
+        .mapInArrow(screen_groups, SCREENED)
+    )
+    rows = (
+        screened.join(lists.select("f", "tokens"), "f")
+        .select(*group, "walks", "f", "label", "n", "last", "tokens")
+        .repartition(*group)
+        .sortWithinPartitions(*group, "walks")
     )
     return rows.mapInArrow(walk_groups, "a long, b long").distinct()
 
 
+SCREENED = "token long, block int, walks boolean, f long, label long, n long, last long"
+
+
+def screen_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted groups that have a partner by sizes and what is left of both lists alone.
+
+    Only these fetch their lists. A group has few members; walkers pass one by one.
+    """
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 4]
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCREENED.split(", ")])
+
+    here, screen, out = None, Screen(), []
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+        for row in zip(*columns):
+            if row[:2] != here:
+                out += screen.needed_members()
+                here, screen = row[:2], Screen()
+            if not row[2]:
+                screen.members.append(row)
+            elif screen.has_partner(row):
+                out.append(row[:7])
+        if len(out) > 10_000:
+            yield batch_of(out)
+            out = []
+    out += screen.needed_members()
+    if out:
+        yield batch_of(out)
+
+
+class Screen:
+    """The members of a group, as rows of ``screen_groups``."""
+
+    def __init__(self):
+        self.members: list[tuple] = []
+        self.table, self.used = None, None
+
+    def has_partner(self, row: tuple) -> bool:
+        if not self.members:
+            return False
+        if self.table is None:
+            self.table = np.array([r[4:] for r in self.members], np.int64).T
+            self.used = np.zeros(len(self.members), bool)
+        label, n, last, left = self.table
+        own_label, own_n, own_last, own_left = row[4:]
+        behind = np.where(own_last <= last, own_n, n)
+        wanted = -(-(own_n + n) * PERCENT // (100 + PERCENT))
+        good = (label != own_label) & (n * 100 >= own_n * PERCENT) & (n * PERCENT <= own_n * 100)
+        good &= np.minimum(left, own_left) + (behind * PERCENT + 99) // 100 - 1 >= wanted
+        self.used |= good
+        return bool(good.any())
+
+    def needed_members(self) -> list[tuple]:
+        return [] if self.used is None else [r[:7] for r, u in zip(self.members, self.used) if u]
+
+
 def walk_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walks group after group of rows sorted by bucket and block, members before walkers."""
     here, tree, out = None, None, []
