@@ -213,20 +213,32 @@ def star_pairs(shared: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """The pairs whose sizes and lists allow a link."""
-    left = lists.select([F.col(c).alias(f"{c}_a") for c in lists.columns]).withColumnRenamed("f_a", "a")
-    right = lists.select([F.col(c).alias(f"{c}_b") for c in lists.columns]).withColumnRenamed("f_b", "b")
-    met = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    """The pairs whose sizes and lists allow a link.
+
+    Sizes alone decide for most pairs; only the others fetch their lists.
+    """
+
+    def side(columns: list[str], name: str) -> DataFrame:
+        renamed = [F.col(c).alias(f"{c}_{name}") for c in columns]
+        return sized.select(F.col("f").alias(name), *renamed)
+
+    sized = lists.withColumn("size", F.size("tokens"))
+    narrow = ["n", "last", "size"]
     # what is behind the prefix that ends first bounds the rest of the intersection
     rest = F.when(F.col("last_a") <= F.col("last_b"), rest_after(F.col("n_a"))).otherwise(rest_after(F.col("n_b")))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
+    wanted = needed(F.col("n_a"), F.col("n_b")) - rest
+    screened = (
+        pairs.join(side(narrow, "a"), "a")
+        .join(side(narrow, "b"), "b")
         .filter(F.col("n_a") * 100 >= F.col("n_b") * PERCENT)
         .filter(F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
-        .filter(met + rest >= needed(F.col("n_a"), F.col("n_b")))
-        .select("a", "b")
+        .select("a", "b", wanted.alias("wanted"), F.least("size_a", "size_b").alias("most"))
+        .filter("most >= wanted")
+        .drop("most")
     )
+    met = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    listed = screened.join(side(["tokens"], "a"), "a").join(side(["tokens"], "b"), "b")
+    return listed.filter(met >= F.col("wanted")).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
