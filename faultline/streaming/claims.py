@@ -3,11 +3,11 @@
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from faultline import schemas as S
 from faultline.operators.claims import KEY, VERDICT, step
+from faultline.streaming.late import watermarked
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "holder string, claimed_at long, completed_at long"
@@ -16,8 +16,8 @@ STATE = "holder string, claimed_at long, completed_at long"
 class ClaimProcessor(StatefulProcessor):
     """One claim per (repo, signature); a timer drops it when it can no longer matter.
 
-    Spark keeps events up to ``keep_ms`` behind the newest. Those more than
-    ``lateness_ms`` behind are answered ``late`` and leave the claim alone.
+    Events more than ``lateness_ms`` behind the newest are answered ``late``, however
+    late they are, and leave the claim alone.
     """
 
     def __init__(self, lateness_ms: int, keep_ms: int):
@@ -74,14 +74,11 @@ def claim_verdicts(
     """Streaming verdicts for claim, release and forget events.
 
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
-    Events are applied in event-time order within a micro-batch. An event that is
-    late by more than ``lateness_ms`` comes out with the verdict ``late``; one that
-    is late by more than ``keep_ms`` is dropped by Spark and counted in its metrics.
+    Events are applied in event-time order within a micro-batch. Every event gets a
+    verdict: one that is late by more than ``lateness_ms``, however much, comes out as
+    ``late``. A claim that has expired is forgotten ``keep_ms`` later.
     """
-    timed = events.withColumn("at", F.timestamp_millis("ts")).withWatermark(
-        "at", f"{keep_ms} milliseconds"
-    )
-    return timed.groupBy(*KEY).transformWithState(
+    return watermarked(events, "ts", keep_ms).groupBy(*KEY).transformWithState(
         statefulProcessor=ClaimProcessor(lateness_ms, keep_ms),
         outputStructType=VERDICT,
         outputMode="Append",

@@ -1,9 +1,17 @@
 """Live counters and day-grain partial counts."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from faultline import schemas as S
+from faultline.streaming.late import watermarked
+
+DAY_KEY = "repo", "signature_hash", "signature_text", "day_ms"
+PARTIAL = "occurrence_count long, last_seen_at long, open_count long, resolved_count long"
 
 
 def live_counters(failures: DataFrame) -> DataFrame:
@@ -15,20 +23,63 @@ def live_counters(failures: DataFrame) -> DataFrame:
     )
 
 
-def daily_signatures(failures: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Per repo, signature and day: occurrences and the latest time, once a day is closed."""
-    timed = failures.withColumn("at", F.timestamp_millis("last_seen_at")).withWatermark("at", lateness)
-    return (
-        timed.groupBy("repo", "signature_hash", "signature_text", F.window("at", "1 day"))
-        .agg(
-            F.sum("occurrence_count").alias("occurrence_count"),
-            F.max("last_seen_at").alias("last_seen_at"),
-            F.count_if(F.col("status").isin(S.OPEN_STATUSES)).alias("open_count"),
-            F.count_if(F.col("status") == "resolved").alias("resolved_count"),
+class DayProcessor(StatefulProcessor):
+    """The sums of one signature and day, given out when the day is closed; later rows at once."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", PARTIAL)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        closes = None if key[3] is None else key[3] + S.DAY_MS
+        open_day = closes is not None and closes > timerValues.getCurrentWatermarkInMs()
+        saved = tuple(self.sums.get()) if open_day and self.sums.exists() else (None, None, 0, 0)
+        count, last, opened, resolved = saved
+        for row in rows:
+            if row.occurrence_count is not None:
+                count = (count or 0) + row.occurrence_count
+            if row.last_seen_at is not None:
+                last = row.last_seen_at if last is None else max(last, row.last_seen_at)
+            opened += row.status in S.OPEN_STATUSES
+            resolved += row.status == "resolved"
+        if not open_day:
+            yield self.partial(key, (count, last, opened, resolved))
+            return
+        self.sums.update((count, last, opened, resolved))
+        self.handle.registerTimer(closes)
+
+    def partial(self, key, sums) -> Row:
+        count, last, opened, resolved = sums
+        return Row(
+            repo=key[0], signature_hash=key[1], signature_text=key[2], day_ms=key[3],
+            occurrence_count=count, last_seen_at=last, open_count=opened, resolved_count=resolved,
         )
-        .withColumn("day", F.col("window.start"))
-        .drop("window")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.sums.exists():
+            yield self.partial(key, tuple(self.sums.get()))
+            self.sums.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def daily_signatures(failures: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """Per repo, signature and day: occurrences and the latest time, once a day is closed.
+
+    Rows of a closed day come out as further partials of it, one for each micro-batch:
+    a reader adds the counts of a day up. Rows without a time have no day. Needs the
+    RocksDB state store.
+    """
+    timed = watermarked(failures, "last_seen_at", int(pd.Timedelta(lateness).total_seconds() * 1000))
+    day_ms = (F.floor(F.col("last_seen_at") / S.DAY_MS) * S.DAY_MS).cast("long")
+    days = timed.withColumn("day_ms", day_ms).groupBy(*DAY_KEY).transformWithState(
+        statefulProcessor=DayProcessor(),
+        outputStructType=f"repo string, signature_hash string, signature_text string, day_ms long, {PARTIAL}",
+        outputMode="Append",
+        timeMode="EventTime",
     )
+    return days.withColumn("day", F.timestamp_millis("day_ms")).drop("day_ms")
 
 
 def counts_from_days(days: DataFrame, since_day) -> DataFrame:

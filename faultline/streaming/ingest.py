@@ -1,13 +1,15 @@
 """Continuous ingest: deliveries to fingerprinted failures, written once per delivery."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from faultline.operators import failures as ops
 from faultline.operators import fingerprint, ingest, triage
 from faultline.sources import tables
+from faultline.streaming.late import watermarked
 
 PASSED = ["delivery_id", "received_at", "require_approval", *ingest.INCOMING]
 
@@ -28,10 +30,46 @@ def refused(deliveries: DataFrame) -> DataFrame:
     )
 
 
+class OnceProcessor(StatefulProcessor):
+    """The first row of an id; a timer forgets the id when repeats are no longer expected."""
+
+    def __init__(self, lateness_ms: int, columns: list[str]):
+        self.lateness_ms, self.columns = lateness_ms, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for row in rows:
+            if not self.seen.exists():
+                at = max(row.received_at or 0, timerValues.getCurrentWatermarkInMs())
+                self.seen.update((at,))
+                self.handle.registerTimer(at + self.lateness_ms)
+                yield Row(**{c: row[c] for c in self.columns})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def once(deliveries: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Drop repeats of a delivery id that arrive within the lateness bound."""
-    timed = deliveries.withColumn("received", F.timestamp_millis("received_at"))
-    return timed.withWatermark("received", lateness).dropDuplicatesWithinWatermark(["delivery_id"])
+    """Drop repeats of a delivery id that arrive within the lateness bound.
+
+    A delivery is never dropped for being late; one whose repeat comes after the bound
+    comes out twice and refreshes its failure. Needs the RocksDB state store.
+    """
+    lateness_ms = int(pd.Timedelta(lateness).total_seconds() * 1000)
+    timed = watermarked(deliveries, "received_at", lateness_ms, "received")
+    return timed.groupBy("delivery_id").transformWithState(
+        statefulProcessor=OnceProcessor(lateness_ms, deliveries.columns),
+        outputStructType=deliveries.schema,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
 
 
 class ChangeWriter:
