@@ -13,14 +13,29 @@ from pyspark.sql import functions as F
 from faultline.llm import language, linededup, mixing, ngramjoin, tokens
 from faultline.sources.checkpoints import checkpoint_dir
 
-CLEAR = 0.35  # the least score of a language; four equal chances have 0.25
+CLEAR = 0.35  # the least score among four languages; four equal chances have 0.25
+
+
+def clear_score(languages: int) -> float:
+    """The mark for a number of languages: as far above equal chances, by odds, as ``CLEAR`` among four."""
+    if languages < 2:
+        return 0.0
+    odds = 3 * CLEAR / (1 - CLEAR) / (languages - 1)
+    return odds / (1 + odds)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or without a clear language, go."""
+    """Texts without a letter, or without a clear language, go.
+
+    Without labels to learn from no language is unclear: every text with a letter stays.
+    """
+    network = language.learn(docs)
+    if network is None:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     held = docs.select(F.struct("*").alias("_row"), "text")
-    named = language.identified(held, language.learn(docs), "_language")
-    clear = (F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= CLEAR)
+    named = language.identified(held, network, "_language")
+    least = clear_score(len(network.languages))
+    clear = (F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= least)
     return named.filter(clear).select("_row.*")
 
 
