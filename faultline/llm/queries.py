@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import language, licences, linededup, maxent, mixing, multiindex, ngramjoin, pii, quality, tokens
+from faultline.llm import language, licences, linededup, maxent, merkle, mixing, multiindex, ngramjoin, pii, quality, tokens
 from faultline.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_report(documents(spark, sf_dir))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk_codes": op1_topk_codes,
     "op2_line_dedup": op2_line_dedup,
@@ -63,4 +67,5 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_lm_score": op10_lm_score,
+    "op13_manifest": op13_manifest,
 }
