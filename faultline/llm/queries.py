@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import language, licences, linededup, maxent, merkle, mixing, multiindex, ngramjoin, pii, quality, tokens
+from faultline.llm import hardneg, language, licences, linededup, maxent, merkle, mixing, multiindex, ngramjoin, pii
+from faultline.llm import quality, tokens
 from faultline.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_report(documents(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.negatives_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(documents(spark, sf_dir))
 
@@ -67,5 +72,6 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_lm_score": op10_lm_score,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_manifest": op13_manifest,
 }
