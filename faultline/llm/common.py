@@ -48,11 +48,12 @@ def with_values(rows: DataFrame, table: DataFrame, key: str, count: str = "n") -
 
     Keys with more than one in ``BROADCAST_ROWS`` of all rows are broadcast; by their
     share there are never more than ``BROADCAST_ROWS`` of them. The others are joined
-    by shuffle, where none of them can be hot. Null keys find nothing.
+    by shuffle, where none of them can be hot. Rows with a null key find nothing and
+    take no part in the shuffle.
     """
     total = table.agg(F.sum(count)).first()[0] or 0
     frequent = F.col(count) * BROADCAST_ROWS > total
     near = rows.join(F.broadcast(table.filter(frequent).withColumn("_found", F.lit(True))), key, "left")
-    found = near.filter("_found").drop("_found")
-    rest = near.filter("_found IS NULL").select(*rows.columns).join(table.filter(~frequent), key, "left")
-    return found.unionByName(rest)
+    settled = near.filter(F.col("_found") | F.col(key).isNull()).drop("_found")
+    rest = near.filter(F.col("_found").isNull() & F.col(key).isNotNull()).select(*rows.columns)
+    return settled.unionByName(rest.join(table.filter(~frequent), key, "left"))

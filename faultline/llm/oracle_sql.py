@@ -152,6 +152,83 @@ SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_windows, 0) AS n_w
 FROM d LEFT JOIN a ON a.r = d.r
 """
 
+CRC32 = """
+WITH RECURSIVE bits AS (
+  SELECT 0 AS step, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS c FROM range(256) AS t(n)
+  UNION ALL SELECT step + 1, n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+  FROM bits WHERE step < 8),
+crc AS (SELECT list(c ORDER BY n) AS steps FROM bits WHERE step = 8)"""
+
+ORDER = 4  # characters of context
+REST = "CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+GRAMS = "\n".join(
+    f"""g{k} AS (
+  SELECT right(gram, {k + 1}) AS gram, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b
+  FROM g GROUP BY ALL),"""
+    for k in range(ORDER + 1)
+)
+CHANCE = """CASE WHEN sum({0}) OVER w > 0
+    THEN (CAST({0} AS DOUBLE) + CAST(count_if({0} > 0) OVER w AS DOUBLE) * {1})
+         / (CAST(sum({0}) OVER w AS DOUBLE) + CAST(count_if({0} > 0) OVER w AS DOUBLE)) ELSE {1} END"""
+CHANCES = "\n".join(
+    f"""p{k} AS (
+  SELECT x.gram, {CHANCE.format("x.a", "y.pa" if k else "(1e0 / 71)")} AS pa,
+         {CHANCE.format("x.b", "y.pb" if k else "(1e0 / 71)")} AS pb
+  FROM g{k} AS x {f"JOIN p{k - 1} AS y ON y.gram = right(x.gram, {k})" if k else ""}
+  WINDOW w AS (PARTITION BY left(x.gram, {k}))),"""
+    for k in range(ORDER + 1)
+)
+
+OP11 = f"""
+{CRC32},
+h AS (
+  SELECT page_id, url, {REST} AS rest,
+         translate(regexp_extract({REST}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract({REST}, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM pages),
+r AS (
+  SELECT *, CASE WHEN {FITS.format("example.net", "/en/")} THEN 'example.net/en/'
+                 WHEN {FITS.format("example.com", "/de/")} THEN 'example.com/de/'
+                 WHEN {FITS.format("org", "/fr/")} THEN 'org/fr/'
+                 WHEN {FITS.format("net", "/")} THEN 'net/' END AS rule FROM h),
+u AS (
+  SELECT url, any_value(rule) IN ('example.net/en/', 'org/fr/') AS good,
+         xor(4294967295, list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(octet_length(encode(url))),
+             lambda i: CAST(('0x' || substr(hex(encode(url)), 2 * i + 1, 2)) AS BIGINT))),
+           lambda a, x: xor(a >> 8, any_value(steps)[(xor(a, x) & 255) + 1]))) % 5 = 0 AS held,
+         repeat(chr(2), {ORDER}) || regexp_replace(
+           translate(any_value(rest), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x20-\\x7e]', chr(4), 'g') || chr(3) AS chars
+  FROM r CROSS JOIN crc WHERE contains(url, '://') GROUP BY url),
+o AS (
+  SELECT url, good, held, substr(chars, CAST(i AS BIGINT), {ORDER + 1}) AS gram
+  FROM (SELECT *, unnest(range(1, length(chars) - {ORDER - 1})) AS i FROM u)),
+g AS (
+  SELECT gram, count(*) FILTER (good AND NOT held) AS a, count(*) FILTER (NOT good AND NOT held) AS b FROM o GROUP BY gram),
+{GRAMS}
+{CHANCES}
+l AS (SELECT gram, CAST(round(ln(pa / pb) * 1000000) AS BIGINT) AS ratio FROM p{ORDER}),
+s AS (
+  SELECT url, any_value(good) AS good, any_value(held) AS held,
+         CAST(sum(ratio) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS score
+  FROM o JOIN l ON l.gram = o.gram GROUP BY url),
+z AS (SELECT *, CAST(floor(score / 10000) AS BIGINT) AS step FROM s),
+c AS (SELECT step, count_if(good) AS good, count_if(NOT good) AS bad FROM z WHERE held AND good IS NOT NULL GROUP BY step),
+e AS (
+  SELECT step, coalesce(lag(step) OVER (ORDER BY step) + 1, step) AS free,
+         CAST(coalesce(sum(good) OVER below, 0) AS DOUBLE) * CAST(sum(bad) OVER () AS DOUBLE)
+         + CAST(sum(bad) OVER () - coalesce(sum(bad) OVER below, 0) AS DOUBLE) * CAST(sum(good) OVER () AS DOUBLE) AS errors,
+         sum(good) OVER () > 0 AND sum(bad) OVER () > 0 AS known
+  FROM c WINDOW below AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (
+  SELECT coalesce((SELECT CAST(ceil((step + free) / 2) AS BIGINT) FROM e WHERE known ORDER BY errors, step LIMIT 1), 0) AS mark)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN step >= mark THEN 'allow' ELSE 'block' END AS verdict, score / 1000000 AS score
+FROM r LEFT JOIN z ON z.url = r.url CROSS JOIN m
+"""
+
 OP12 = """
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -179,13 +256,6 @@ QUALIFY row_number() OVER w <= 10
 
 FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
 LEAF = " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text"))
-CRC32 = """
-WITH RECURSIVE bits AS (
-  SELECT 0 AS step, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS c FROM range(256) AS t(n)
-  UNION ALL SELECT step + 1, n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
-  FROM bits WHERE step < 8),
-crc AS (SELECT list(c ORDER BY n) AS steps FROM bits WHERE step = 8)"""
-
 OP13 = f"""
 {CRC32},
 d AS (
@@ -238,6 +308,7 @@ ORACLES = {
     "op3_quality_rules": OP3,
     "op5_mix_sources": OP5,
     "op7_licence_scan": OP7,
+    "op11_url_filter": OP11,
     "op12_hard_negatives": OP12,
     "op13_manifest": OP13,
 }

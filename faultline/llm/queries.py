@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import hardneg, language, licences, linededup, maxent, merkle, mixing, multiindex, ngramjoin, pii
-from faultline.llm import quality, tokens
+from faultline.llm import quality, tokens, urlfilter
 from faultline.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_report(documents(spark, sf_dir))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.url_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.negatives_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_lm_score": op10_lm_score,
+    "op11_url_filter": op11_url_filter,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_manifest": op13_manifest,
 }
