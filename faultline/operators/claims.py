@@ -1,41 +1,50 @@
 """Duplicate suppression: one winner per (repo, signature) and time window.
 
 Input events: repo, signature_hash, failure_id, ts (epoch ms), kind (claim,
-release or forget), event_id. Events of a key apply in (ts, event_id) order.
-
-A claim that follows a quiet gap of at least the suppression window always wins,
-whatever happened before. The timeline of a key is cut at such claims into
-independent sessions, so a key is never folded in one piece just because it is
-popular. Cutting needs no sort of a whole key: it works on counts per key and
-time slot, which merge before the shuffle.
-
-A session of ordinary size is folded in order by one task. A session above
-``FOLD_LIMIT`` events, say one signature that holds a third of a very large
-table without a pause, is solved as a chain instead: every event knows which
-event would change the claim next, and the events that really did are reached
-from the first claim by pointer doubling. All steps of that are joins and
-windows over time slots, so the session is spread over the cluster.
+release or forget), event_id. Events of a key apply in (ts, event_id) order;
+events without a time are left out.
+
+Only few events change a claim, and from each of them the next one that does is
+known without looking at those between: the first claim once the claim is stale
+or the suppression over, a release by the holder before that, or a forget. So a
+batch of sorted events is folded from change to change by binary search, and
+the verdicts of all its rows follow from the change each row stands behind.
+
+The events are sorted by range once, over all keys, so that every task has as
+many rows as any other, whatever the keys; a key with a third of all rows lies
+in many tasks. Each task first folds its rows as if no claim were held at its
+start. That is exact for every key but the first, and for the first one too from
+a forget, or a claim after a quiet gap, on: both clear what was before. What a
+task cannot know is the claim its first key holds at its start. That claim is
+carried over, one row per task where a key just crosses the border of two tasks.
+Where a key fills whole tasks without a forget or gap, the carry passes over the
+first claim of each millisecond and the releases, again from change to change.
+With the claims at their starts all tasks fold their rows for good.
 """
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline import schemas as S
-from faultline.functions.nearest import nearest
+from faultline.functions.ordering import PARTITION_SHIFT
 from faultline.sources.checkpoints import checkpointed
 
 KEY = ["repo", "signature_hash"]
-SLOT_MS = S.RECENT_TRIAGE_MS
-SLOT = f"ts div {SLOT_MS}"
-FOLD_LIMIT = 2_000_000
-CHAIN = [*KEY, "session"]
+EVENT = [*KEY, "failure_id", "ts", "kind", "event_id"]
 VERDICT = (
     "repo string, signature_hash string, failure_id string, ts long, kind string, event_id long,"
     " verdict string, holder string, claimed_at long, completed_at long"
 )
+STATE = "holder string, claimed_at long, completed_at long"
+PASSED = "array<struct<ts:bigint,kind:string,failure_id:string>>"
+HEAD = f"repo string, signature_hash string, part long, seq long, role string, {STATE}, passed {PASSED}"
+CLAIM, RELEASE, FORGET = 0, 1, 2
+NEVER = 1 << 62
 
 
 def step(state, failure_id, ts, kind):
@@ -63,171 +72,281 @@ def step(state, failure_id, ts, kind):
     return (failure_id, ts, None), "new", failure_id
 
 
-def fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Run the state over rows sorted by session and order; only one state is held."""
-    current, state = None, None
-    for batch in batches:
-        verdicts, holders, claimed, completed = [], [], [], []
-        rows = zip(
-            batch["repo"], batch["signature_hash"], batch["session"], batch["failure_id"],
-            batch["ts"], batch["kind"],
-        )
-        for repo, signature, session, failure_id, ts, kind in rows:
-            if (repo, signature, session) != current:
-                current, state = (repo, signature, session), None
-            state, verdict, by = step(state, failure_id, ts, kind)
-            verdicts.append(verdict)
-            holders.append(by)
-            claimed.append(None if state is None else state[1])
-            completed.append(None if state is None else state[2])
-        out = batch.drop(columns="session")
-        yield out.assign(
-            verdict=verdicts,
-            holder=pd.Series(holders, dtype="object", index=out.index),
-            claimed_at=pd.Series(claimed, dtype="Int64", index=out.index),
-            completed_at=pd.Series(completed, dtype="Int64", index=out.index),
+class Events:
+    """A run of sorted events as arrays, with for each place the next one of every kind."""
+
+    def __init__(self, ts: np.ndarray, kind: np.ndarray, failure: np.ndarray, segment: np.ndarray):
+        """``failure``: a number per failure id; ``segment``: a number per key, ascending."""
+        self.size = len(ts)
+        self.ts, self.kind, self.failure, self.segment = ts, kind, failure, segment
+        self.times = ts.tolist()
+        places = np.arange(self.size)
+
+        def following(found):
+            at = np.append(np.where(found, places, NEVER), NEVER)
+            return np.minimum.accumulate(at[::-1])[::-1].tolist()
+
+        self.claim, self.forget = following(kind == CLAIM), following(kind == FORGET)
+        # the next release of the same failure, in the order of key, failure and place
+        order = np.lexsort((places, failure, segment))
+        same = np.append((np.diff(failure[order]) == 0) & (np.diff(segment[order]) == 0), False)
+        releases = np.where(kind[order] == RELEASE, np.arange(self.size), NEVER)
+        later = np.append(np.minimum.accumulate(releases[::-1])[::-1][1:], NEVER)
+        group = np.cumsum(np.append(False, ~same[:-1])) if self.size else places
+        inside = later < NEVER
+        inside[inside] = group[later[inside].astype(np.int64)] == group[inside]
+        release = np.full(self.size, NEVER)
+        release[order[inside]] = order[later[inside].astype(np.int64)]
+        self.release = release.tolist()
+
+    def segments(self) -> Iterator[tuple[int, int]]:
+        bounds = np.flatnonzero(np.diff(self.segment)) + 1
+        yield from zip([0, *bounds.tolist()], [*bounds.tolist(), self.size])
+
+    def first_release(self, failure: int, end: int) -> int:
+        found = np.flatnonzero((self.kind[:end] == RELEASE) & (self.failure[:end] == failure))
+        return int(found[0]) if len(found) else NEVER
+
+    def changes(self, start: int, end: int, state):
+        """Places that change the claim, with the claim behind them, from ``state`` at ``start`` on.
+
+        A state is (failure, claimed_at, completed_at) or None.
+        """
+        release = self.first_release(state[0], end) if state else NEVER
+        place = start
+        while place < end:
+            if state is None:
+                found = self.claim[place]
+            else:
+                failure, claimed, completed = state
+                free = claimed + S.STALE_CLAIM_MS if completed is None else completed + S.RECENT_TRIAGE_MS
+                found = self.claim[bisect_left(self.times, free, place, end)]
+                if release < end:
+                    since = self.times[release] - (claimed if completed is None else completed)
+                    if since < S.STALE_CLAIM_MS if completed is None else since <= S.CLAIM_RETENTION_MS:
+                        found = min(found, release)
+                found = min(found, self.forget[place])
+            if found >= end:
+                return
+            at, kind, failure = self.times[found], self.kind[found], int(self.failure[found])
+            if kind == FORGET:
+                state, release = None, NEVER
+            elif kind == CLAIM:
+                state, release = (failure, at, None), self.release[found]
+            else:
+                state, release = (failure, state[1], at), self.release[found]
+            yield found, state
+            place = found + 1
+
+    def settled(self, start: int, end: int, before: int | None) -> int:
+        """The first place whose outcome does not depend on what was held at ``start``."""
+        ts = self.ts[start:end]
+        gaps = np.diff(ts, prepend=ts[0] if before is None else before) >= S.RECENT_TRIAGE_MS
+        kind = self.kind[start:end]
+        clear = np.flatnonzero((kind == FORGET) | ((kind == CLAIM) & gaps))
+        return start + int(clear[0]) if len(clear) else end
+
+
+class Batch(Events):
+    """The events of an Arrow batch; ``previous`` is the key the batch before ended with."""
+
+    def __init__(self, batch: pa.RecordBatch, previous=None):
+        self.batch = batch
+        coded = [batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy() for c in KEY]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for codes in coded:
+            new[1:] |= np.diff(codes) != 0
+        failures = batch.column("failure_id").dictionary_encode(null_encoding="encode")
+        self.names = failures.dictionary.to_pylist()
+        kinds = batch.column("kind").to_pylist()
+        kind = np.array([{"release": RELEASE, "forget": FORGET}.get(k, CLAIM) for k in kinds], dtype=np.int8)
+        super().__init__(
+            batch.column("ts").to_numpy(), kind, failures.indices.to_numpy().astype(np.int64), np.cumsum(new)
         )
+        self.continues = previous is not None and self.key(0) == previous
 
+    def key(self, place: int):
+        return tuple(self.batch.column(c)[place].as_py() for c in KEY)
 
-def session_slots(events: DataFrame) -> DataFrame:
-    """One row per key and busy slot: its session, named by the run's first slot, and its size.
+    def coded(self, state):
+        """A named state in the numbers of this batch; a holder it does not know has none of them."""
+        if state is None:
+            return None
+        code = self.names.index(state[0]) if state[0] in self.names else -1
+        return (code, *state[1:])
 
-    A run starts at a slot whose predecessor is empty and whose first event is a
-    claim; on a tie the run is simply not cut. The window runs over busy slots,
-    not over events.
-    """
-    slotted = events.withColumn("slot", F.expr(SLOT))
-    is_claim = F.col("kind") == "claim"
-    slots = slotted.groupBy(*KEY, "slot").agg(
-        F.count("*").alias("n"),
-        F.min(F.when(is_claim, F.col("ts"))).alias("claim_ts"),
-        F.min(F.when(~is_claim, F.col("ts"))).alias("other_ts"),
-    )
-    order = Window.partitionBy(*KEY).orderBy("slot")
-    previous = F.lag("slot").over(order)
-    claim_first = F.col("claim_ts") < F.coalesce("other_ts", F.lit(2**63 - 1))
-    starts = previous.isNull() | ((F.col("slot") - previous > 1) & claim_first)
-    runs = slots.withColumn("start", F.when(starts, F.col("slot"))).withColumn(
-        "session", F.last("start", ignorenulls=True).over(order)
-    )
-    size = F.sum("n").over(Window.partitionBy(*KEY, "session"))
-    return runs.select(*KEY, "slot", "session", size.alias("size"))
+    def named(self, state, held=None):
+        if state is None:
+            return None
+        return (held[0] if state[0] == -1 else self.names[state[0]], *state[1:])
 
+    def fold(self, held):
+        """All changes, as (place, state), and the state at the end; ``held``: the state at the start."""
+        found, state = [], None
+        for start, end in self.segments():
+            state = self.coded(held) if start == 0 and self.continues else None
+            for change in self.changes(start, end, state):
+                found.append(change)
+                state = change[1]
+        return found, self.named(state, held)
 
-def with_sessions(events: DataFrame, slots: DataFrame) -> DataFrame:
-    found = events.withColumn("slot", F.expr(SLOT)).join(slots, [*KEY, "slot"])
-    return found.select(*CHAIN, "size", "failure_id", "ts", "kind", "event_id")
 
+def non_empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b for b in batches if b.num_rows)
 
-def folded(sessions: DataFrame) -> DataFrame:
-    ordered = sessions.drop("size").repartition(*CHAIN)
-    return ordered.sortWithinPartitions(*CHAIN, "ts", "event_id").mapInPandas(fold_sorted, VERDICT)
 
+def table_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
 
-def next_changes(rows: DataFrame) -> DataFrame:
-    """For each event, the event that would change the claim next if this one set it.
 
-    After a claim: a release by its holder before the claim is stale, a forget, or
-    the first claim once it is stale. After a release: a further release by the
-    holder while the claim is kept, a forget, or the first claim once the
-    suppression is over. After a forget: the next claim.
-    """
-    kind, ts = F.col("kind"), F.col("ts")
-    value = F.struct("ts", "event_id").alias("value")
-
-    def of(name, keys):
-        return rows.filter(kind == name).select(*keys, ts.alias("at"), F.col("event_id").alias("tie"), value)
-
-    wait = F.when(kind == "claim", S.STALE_CLAIM_MS).when(kind == "release", S.RECENT_TRIAGE_MS)
-    lowest = F.lit(-(2**62))
-    own = ["failure_id", "kind", "ts", "event_id"]
-    claims = nearest(
-        rows.select(
-            *CHAIN, *own, F.coalesce(ts + wait, ts).alias("at"),
-            F.when(kind == "forget", F.col("event_id") + 1).otherwise(lowest).alias("tie"),
-        ),
-        of("claim", CHAIN), CHAIN, SLOT_MS,
-    ).withColumnRenamed("found", "claim").drop("at", "tie")
-    after = [ts.alias("at"), (F.col("event_id") + 1).alias("tie")]
-    forgets = nearest(
-        claims.select(*CHAIN, *own, "claim", *after), of("forget", CHAIN), CHAIN, SLOT_MS
-    ).withColumnRenamed("found", "forget").drop("at", "tie")
-    holder = [*CHAIN, "failure_id"]
-    releases = nearest(
-        forgets.select(*CHAIN, *own, "claim", "forget", *after), of("release", holder), holder, SLOT_MS
-    ).withColumnRenamed("found", "release").drop("at", "tie")
-    gap = F.col("release.ts") - ts
-    counts = F.when(kind == "claim", gap < S.STALE_CLAIM_MS).when(kind == "release", gap <= S.CLAIM_RETENTION_MS)
-    release = F.when(counts, F.col("release"))
-    forget = F.when(kind != "forget", F.col("forget"))
-    return releases.select(
-        *CHAIN, "event_id", F.array_min(F.array("claim", release, forget))["event_id"].alias("next")
-    )
+HEAD_ARROW = pa.schema([
+    ("repo", pa.string()), ("signature_hash", pa.string()), ("part", pa.int64()), ("seq", pa.int64()),
+    ("role", pa.string()), ("holder", pa.string()), ("claimed_at", pa.int64()), ("completed_at", pa.int64()),
+    ("passed", pa.list_(pa.struct([("ts", pa.int64()), ("kind", pa.string()), ("failure_id", pa.string())]))),
+])
+CARRIED_ARROW = pa.schema([
+    ("part", pa.int64()), ("holder", pa.string()), ("claimed_at", pa.int64()), ("completed_at", pa.int64()),
+])
 
 
-def reached(jumps: DataFrame, start: DataFrame) -> DataFrame:
-    """Events on the chain that begins at ``start``, by pointer doubling."""
-    jumps = checkpointed(jumps.filter("next IS NOT NULL"))
-    known, count = checkpointed(start), 0
-    while (size := known.count()) > count:
-        count = size
-        step_to = known.join(jumps, [*CHAIN, "event_id"]).select(*CHAIN, F.col("next").alias("event_id"))
-        known = checkpointed(known.union(step_to).distinct())
-        second = jumps.select(*CHAIN, F.col("event_id").alias("next"), F.col("next").alias("far"))
-        jumps = checkpointed(jumps.join(second, [*CHAIN, "next"]).select(*CHAIN, "event_id", F.col("far").alias("next")))
-    return known
+def described(state) -> dict:
+    return dict(zip(("holder", "claimed_at", "completed_at"), state or (None, None, None)))
 
 
-def chained(sessions: DataFrame) -> DataFrame:
-    """Verdicts of very large sessions; same result as the fold."""
-    rows = checkpointed(sessions.drop("size"))
-    order = F.struct("ts", "event_id")
-    start = rows.filter("kind = 'claim'").groupBy(*CHAIN).agg(F.min_by("event_id", order).alias("event_id"))
-    changes = reached(next_changes(rows), start).join(rows, [*CHAIN, "event_id"])
-    # one claim per ten minutes at most survives, so this window is over few rows
-    so_far = Window.partitionBy(*CHAIN).orderBy("ts", "event_id")
-    claimed = F.last(F.when(F.col("kind") == "claim", F.col("ts")), ignorenulls=True).over(so_far)
-    state = F.struct(
-        F.col("kind"), F.col("failure_id").alias("holder"), claimed.alias("claimed_at"),
-        F.when(F.col("kind") == "release", F.col("ts")).alias("completed_at"), "event_id",
-    )
-    targets = changes.select(*CHAIN, F.col("ts").alias("at"), F.col("event_id").alias("tie"), state.alias("value"))
-    probes = rows.select(*CHAIN, "failure_id", "ts", "kind", "event_id", F.col("ts").alias("at"), F.col("event_id").alias("tie"))
-    s, kind = F.col("found"), F.col("kind")
-    changed = s["event_id"] == F.col("event_id")
-    live = F.when(s["kind"] == "claim", F.col("ts") - s["claimed_at"] < S.STALE_CLAIM_MS).when(
-        s["kind"] == "release", F.col("ts") - s["completed_at"] <= S.CLAIM_RETENTION_MS
-    )
-    verdict = (
-        F.when(kind == "forget", "forgotten")
-        .when(changed & (kind == "claim"), "new")
-        .when(changed, "released")
-        .when(kind == "release", "not_holder")
-        .when(s["kind"] == "claim", "in_flight")
-        .otherwise("recently_triaged")
+def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the carry needs of one task: its first key takes a claim, its last key gives one.
+
+    While the first key lasts and nothing has settled it, the events that could change
+    a claim are passed on too.
+    """
+    first, previous, before, state, seq, open_ = None, None, None, None, 0, True
+    for raw in non_empty(batches):
+        batch = Batch(raw, previous)
+        part = raw.column("_part")[0].as_py()
+        _, state = batch.fold(state)
+        if first is None:
+            first = batch.key(0)
+            yield table_of([{**dict(zip(KEY, first)), "part": part, "seq": 0, "role": "takes"}], HEAD_ARROW)
+        if open_ and batch.key(0) == first:
+            _, end = next(batch.segments())
+            until = batch.settled(0, end, before)
+            seq += 1
+            yield table_of(
+                [{**dict(zip(KEY, first)), "part": part, "seq": seq, "role": "passes", "passed": thinned(batch, until)}],
+                HEAD_ARROW,
+            )
+            open_ = until == batch.size
+        else:
+            open_ = False
+        previous, before = batch.key(batch.size - 1), batch.times[-1]
+    if first is not None and not open_:
+        row = {**dict(zip(KEY, previous)), "part": part, "seq": seq + 1, "role": "gives", **described(state)}
+        yield table_of([row], HEAD_ARROW)
+
+
+def thinned(batch: Batch, until: int) -> list[dict]:
+    """The first claim of each millisecond and all releases, in order."""
+    times, kinds = batch.ts[:until], batch.kind[:until]
+    claims = np.flatnonzero(kinds == CLAIM)
+    firsts = claims[np.append(True, np.diff(times[claims]) > 0)[: len(claims)]]
+    kept = np.sort(np.append(firsts, np.flatnonzero(kinds == RELEASE))).tolist()
+    return [
+        {
+            "ts": batch.times[k], "kind": "claim" if kinds[k] == CLAIM else "release",
+            "failure_id": batch.names[batch.failure[k]],
+        }
+        for k in kept
+    ]
+
+
+def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The claim held at the start of each task, from the outlines sorted by key and task."""
+    key, state = None, None
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            own = (row["repo"], row["signature_hash"])
+            if own != key:
+                key, state = own, None
+            if row["role"] == "takes":
+                if state is not None:
+                    found.append({"part": row["part"], **described(state)})
+            elif row["role"] == "gives":
+                state = (row["holder"], row["claimed_at"], row["completed_at"]) if row["claimed_at"] is not None else None
+            elif row["passed"]:
+                passed = pa.RecordBatch.from_pylist([
+                    {"repo": own[0], "signature_hash": own[1], **event} for event in row["passed"]
+                ])
+                _, state = Batch(passed, own).fold(state)
+        yield table_of(found, CARRIED_ARROW)
+
+
+def verdicts_of(batch: Batch, held):
+    """Verdict, holder, claimed_at and completed_at of every row, and the state at the end."""
+    found, state = batch.fold(held)
+    at_start = batch.coded(held) if batch.continues else None
+    places = [-1] + [p for p, _ in found]
+    states = [at_start] + [s for _, s in found]
+    behind = np.searchsorted(places, np.arange(batch.size), side="right") - 1
+    place = np.array(places)[behind]
+    known = np.array([s is not None for s in states])[behind]
+    # a change only counts within its key
+    known &= batch.segment == np.where(place < 0, 0, batch.segment[place])
+    holder = np.array([s[0] if s else -1 for s in states])[behind]
+    claimed = np.array([s[1] if s else 0 for s in states], dtype=np.int64)[behind]
+    completed = np.array([-NEVER if s is None or s[2] is None else s[2] for s in states], dtype=np.int64)[behind]
+    running = completed == -NEVER
+    live = known & np.where(
+        running, batch.ts - claimed < S.STALE_CLAIM_MS, batch.ts - np.where(running, 0, completed) <= S.CLAIM_RETENTION_MS
     )
-    out = nearest(probes, targets, CHAIN, SLOT_MS, forward=False)
-    return out.select(
-        *KEY, "failure_id", "ts", "kind", "event_id", verdict.alias("verdict"),
-        F.when(verdict.isin("new", "released", "in_flight", "recently_triaged"), s["holder"]).alias("holder"),
-        F.when(live, s["claimed_at"]).alias("claimed_at"),
-        F.when(live, s["completed_at"]).alias("completed_at"),
+    changed = place == np.arange(batch.size)
+    is_claim = batch.kind == CLAIM
+    verdict = np.select(
+        [batch.kind == FORGET, is_claim & changed, is_claim & running, is_claim, changed],
+        ["forgotten", "new", "in_flight", "recently_triaged", "released"], "not_holder",
     )
+    names = pa.array([*batch.names, held[0] if held else None], pa.string())
+    shown = is_claim | (changed & (batch.kind == RELEASE))
+    codes = pa.array(np.where(holder < 0, len(batch.names), holder), pa.int64(), mask=~shown)
+    columns = [
+        pa.array(verdict.tolist(), pa.string()), names.take(codes),
+        pa.array(claimed, pa.int64(), mask=~live), pa.array(completed, pa.int64(), mask=~live | running),
+    ]
+    return columns, state
+
+
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The verdicts of one task, from the claim held at its start."""
+    previous, state = None, None
+    for raw in non_empty(batches):
+        if previous is None and raw.column("claimed_at")[0].is_valid:
+            state = tuple(raw.column(c)[0].as_py() for c in ("holder", "claimed_at", "completed_at"))
+            previous = tuple(raw.column(c)[0].as_py() for c in KEY)
+        batch = Batch(raw, previous)
+        columns, state = verdicts_of(batch, state if batch.continues else None)
+        previous = batch.key(batch.size - 1)
+        yield pa.RecordBatch.from_arrays(
+            [raw.column(c) for c in EVENT] + columns,
+            names=[*EVENT, "verdict", "holder", "claimed_at", "completed_at"],
+        )
 
 
-def claim_verdicts(events: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def claim_verdicts(events: DataFrame) -> DataFrame:
     """Every event with its verdict, the holder it met and the claim state after it.
 
-    The size of the largest session is looked up first, from counts per time
-    slot; only sessions above the limit take the chained way.
+    The sorted events are checkpointed, as a lost executor must not move the borders of
+    the tasks. The claims carried are at most one row per task, so they are broadcast.
     """
-    slots = session_slots(events)
-    sessions = with_sessions(events, slots)
-    largest = slots.agg(F.max("size")).first()[0]
-    if largest is None or largest <= fold_limit:
-        return folded(sessions)
-    small = folded(sessions.filter(F.col("size") <= fold_limit))
-    return small.unionByName(chained(sessions.filter(F.col("size") > fold_limit)))
+    timed = events.select(*EVENT).filter("ts IS NOT NULL")
+    ordered = timed.sort(*KEY, "ts", "event_id", "kind", "failure_id")
+    part = F.shiftright(F.monotonically_increasing_id(), PARTITION_SHIFT)
+    rows = checkpointed(ordered.withColumn("_part", part))
+    heads = rows.mapInArrow(outline, HEAD)
+    carried = heads.repartition(*KEY).sortWithinPartitions(*KEY, "part", "seq").mapInArrow(
+        carry, f"part long, {STATE}"
+    )
+    held = rows.join(F.broadcast(carried.withColumnRenamed("part", "_part")), "_part", "left")
+    return held.mapInArrow(answer, VERDICT)
 
 
 def current_claims(verdicts: DataFrame) -> DataFrame:

@@ -642,13 +642,36 @@ WITH RECURSIVE r AS (
 """
 
 
-@query("claim_verdicts", CLAIM_SQL + """
+_verdicts = """
 SELECT repo, signature_hash, failure_id, ts, kind, event_id, verdict, seen_by AS holder, claimed_at, completed_at FROM r WHERE rn > 0
-""")
+"""
+
+
+@query("claim_verdicts", CLAIM_SQL + _verdicts)
 def _(t):
     return claims.claim_verdicts(t.claims)
 
 
+# one key with a quarter of all events, without a pause, and claims that are forgotten all the time
+_hot_key = "CASE WHEN repo = 'acme/repo-0' THEN 'hot' ELSE signature_hash END"
+_storm_kind = "CASE WHEN event_id % 3 = 0 THEN 'forget' ELSE kind END"
+for _name, _column, _value in (("hot", "signature_hash", _hot_key), ("storm", "kind", _storm_kind)):
+    catalog.SHARED[f"sh_{_name}_rows"] = f"""
+SELECT *, row_number() OVER (PARTITION BY repo, signature_hash ORDER BY ts, event_id) AS rn
+FROM (SELECT * REPLACE ({_value} AS {_column}) FROM fx_claims)
+"""
+
+
+@query("claim_verdicts_hot", CLAIM_SQL.replace("sh_claim_rows", "sh_hot_rows") + _verdicts)
+def _(t):
+    return claims.claim_verdicts(t.claims.withColumn("signature_hash", F.expr(_hot_key)))
+
+
+@query("claim_verdicts_storm", CLAIM_SQL.replace("sh_claim_rows", "sh_storm_rows") + _verdicts)
+def _(t):
+    return claims.claim_verdicts(t.claims.withColumn("kind", F.expr(_storm_kind)))
+
+
 _current = """
 SELECT repo, signature_hash, owner AS failure_id, claimed_at, completed_at FROM (
   SELECT * FROM r WHERE verdict IN ('new', 'released', 'forgotten')

@@ -11,75 +11,102 @@ from faultline.streaming.late import watermarked
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "holder string, claimed_at long, completed_at long"
+WAITING = "events array<struct<event_id:bigint,failure_id:string,kind:string>>"
+HELD_BACK = 1000  # rows of a key sorted into the state at once
 
 
 class ClaimProcessor(StatefulProcessor):
-    """One claim per (repo, signature); a timer drops it when it can no longer matter.
+    """One claim per (repo, signature), changed in event-time order whatever the order of arrival.
 
-    Events more than ``lateness_ms`` behind the newest are answered ``late``, however
-    late they are, and leave the claim alone.
+    An event waits in the state until the watermark has passed it, as nothing but late
+    events can come before it then; a timer at its time answers it. Events wait by
+    millisecond, in chunks, so that neither a micro-batch nor a key is ever held in one
+    piece. A last timer drops a claim when it can no longer matter.
     """
 
-    def __init__(self, lateness_ms: int, keep_ms: int):
-        self.slack = keep_ms - lateness_ms
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.claim = handle.getValueState("claim", STATE)
+        self.chunks = handle.getMapState("chunks", "ts long", "chunks long")
+        self.waiting = handle.getMapState("waiting", "ts long, chunk long", WAITING)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        saved = self.claim.get() if self.claim.exists() else None
-        state = tuple(saved) if saved is not None else None
-        watermark = timerValues.getCurrentWatermarkInMs()
-        bound = watermark + self.slack if watermark > 0 else 0
-        for row in sorted(rows, key=lambda r: (r.ts, r.event_id)):
-            if row.ts < bound:
-                verdict, holder = "late", None
-            else:
-                state, verdict, holder = step(state, row.failure_id, row.ts, row.kind)
-            yield Row(
-                repo=key[0], signature_hash=key[1], failure_id=row.failure_id, ts=row.ts,
-                kind=row.kind, event_id=row.event_id, verdict=verdict, holder=holder,
-                claimed_at=None if state is None else state[1],
-                completed_at=None if state is None else state[2],
-            )
-        self.save(state)
-
-    def save(self, state) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        watermark, taken, count = timerValues.getCurrentWatermarkInMs(), {}, 0
+        for row in rows:
+            if row.ts is None or row.ts < watermark:
+                yield self.answered(key, row.ts, row, "late", None, None)
+                continue
+            taken.setdefault(row.ts, []).append((row.event_id, row.failure_id, row.kind))
+            count += 1
+            if count % HELD_BACK == 0:
+                self.wait(taken)
+                taken = {}
+        self.wait(taken)
+
+    def wait(self, taken) -> None:
+        for ts, events in taken.items():
+            chunk = self.chunks.getValue((ts,))[0] if self.chunks.containsKey((ts,)) else 0
+            self.waiting.updateValue((ts, chunk), (events,))
+            self.chunks.updateValue((ts,), (chunk + 1,))
+            self.handle.registerTimer(ts + 1)  # events of this very time may still come
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        ts = expiredTimerInfo.getExpiryTimeInMs() - 1
+        state = tuple(self.claim.get()) if self.claim.exists() else None
+        before = state
+        for event in self.due(ts):
+            state, verdict, holder = step(state, event[1], ts, event[2])
+            row = Row(event_id=event[0], failure_id=event[1], kind=event[2])
+            yield self.answered(key, ts, row, verdict, holder, state)
+        if state is not None and ts + 1 >= self.end(state):
+            state = None
         if state is None:
-            self.claim.clear()
-            return
-        self.claim.update(state)
+            if before is not None:
+                self.claim.clear()
+        elif state != before:
+            self.claim.update(state)
+            self.handle.registerTimer(self.end(state))
+
+    def due(self, ts: int) -> list:
+        """The events of one millisecond in the order of their ids; they no longer wait."""
+        events = []
+        if self.chunks.containsKey((ts,)):
+            for chunk in range(self.chunks.getValue((ts,))[0]):
+                events.extend(tuple(e) for e in self.waiting.getValue((ts, chunk))[0])
+                self.waiting.removeKey((ts, chunk))
+            self.chunks.removeKey((ts,))
+        # the batch operator's order: nulls first, then kind and failure among equal ids
+        return sorted(events, key=lambda e: [(x is not None, x) for x in (e[0], e[2], e[1])])
+
+    @staticmethod
+    def end(state) -> int:
         _, claimed, completed = state
-        expiry = (
-            claimed + S.STALE_CLAIM_MS
-            if completed is None
-            else completed + S.CLAIM_RETENTION_MS + 1
+        return claimed + S.STALE_CLAIM_MS if completed is None else completed + S.CLAIM_RETENTION_MS + 1
+
+    @staticmethod
+    def answered(key, ts, row, verdict, holder, state) -> Row:
+        return Row(
+            repo=key[0], signature_hash=key[1], failure_id=row.failure_id, ts=ts, kind=row.kind,
+            event_id=row.event_id, verdict=verdict, holder=holder,
+            claimed_at=None if state is None else state[1], completed_at=None if state is None else state[2],
         )
-        self.handle.registerTimer(expiry)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.claim.clear()
-        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def claim_verdicts(
-    events: DataFrame, lateness_ms: int = S.MINUTE_MS, keep_ms: int = S.HOUR_MS
-) -> DataFrame:
+def claim_verdicts(events: DataFrame, lateness_ms: int = S.MINUTE_MS) -> DataFrame:
     """Streaming verdicts for claim, release and forget events.
 
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
-    Events are applied in event-time order within a micro-batch. Every event gets a
-    verdict: one that is late by more than ``lateness_ms``, however much, comes out as
-    ``late``. A claim that has expired is forgotten ``keep_ms`` later.
+    Events that are at most ``lateness_ms`` behind the newest one are applied in the
+    order of (ts, event_id), in whatever micro-batches and order they arrive, and get the
+    verdicts of the batch operator once the watermark has passed them. Events further
+    behind, and events without a time, are answered ``late`` at once and leave the claim
+    alone, however late they are.
     """
-    return watermarked(events, "ts", keep_ms).groupBy(*KEY).transformWithState(
-        statefulProcessor=ClaimProcessor(lateness_ms, keep_ms),
+    return watermarked(events, "ts", lateness_ms).groupBy(*KEY).transformWithState(
+        statefulProcessor=ClaimProcessor(),
         outputStructType=VERDICT,
         outputMode="Append",
         timeMode="EventTime",

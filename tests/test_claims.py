@@ -63,15 +63,57 @@ def test_batch_matches_brute_force(spark, seed, n, span, ties):
     assert got == brute_force(events)
 
 
-@pytest.mark.parametrize("seed,n,span,ties", [(4, 250, 1500, True), (5, 300, 2500, False)])
-def test_large_sessions_match_the_fold(spark, seed, n, span, ties):
-    """With a tiny limit nearly every session takes the chained way."""
-    events = random_events(seed, n, span, ties=ties)
-    df = spark.createDataFrame(events, SCHEMA).repartition(5)
-    fold = {r.event_id: tuple(r) for r in claims.claim_verdicts(df).collect()}
-    chain = {r.event_id: tuple(r) for r in claims.claim_verdicts(df, fold_limit=3).collect()}
-    assert chain == fold
-    assert {e: v[6] for e, v in chain.items()} == brute_force(events)
+def folded(events):
+    """Verdict, holder and claim of every event, one event after the other."""
+    out, states = {}, {}
+    for repo, signature, failure, ts, kind, event in sorted(events, key=lambda e: (e[3], e[5])):
+        key = repo, signature
+        states[key], verdict, holder = state, _, _ = claims.step(states.get(key), failure, ts, kind)
+        out[event] = verdict, holder, *(state[1:] if state else (None, None))
+    return out
+
+
+def one_key(seed, n, pause, released, forgotten):
+    """Claims of one key, ``pause`` ms apart at most, some released (also again) or forgotten."""
+    rng, events, ts = random.Random(seed), [], 0
+    for i in range(n):
+        ts += rng.randrange(pause)
+        events.append(("r", "hot", f"f{i}", ts, "claim", 10 * i))
+        if rng.random() < released:
+            for j in range(rng.choice([1, 1, 2, 5])):
+                events.append(("r", "hot", f"f{i}", ts + rng.randrange(20) * MINUTE, "release", 10 * i + 1 + j))
+        if rng.random() < forgotten:
+            events.append(("r", "hot", f"f{i}", ts, "forget", 10 * i + 9))
+    return events
+
+
+@pytest.mark.parametrize("rows", [10_000, 50])
+@pytest.mark.parametrize(
+    "n,pause,released,forgotten", [(1500, 2000, 0.5, 0), (1500, 60_000, 0.7, 0.01), (2000, 100, 0.1, 0), (1500, 30_000, 0.3, 0.3)]
+)
+def test_one_key_in_many_tasks(spark, n, pause, released, forgotten, rows):
+    """A key that fills whole tasks, with and without what settles a claim, in small batches too."""
+    events = one_key(n + rows, n, pause, released, forgotten) + [("a", "b", "x", 5, "claim", -1), ("z", "b", "x", 5, "claim", -2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        answered = claims.claim_verdicts(spark.createDataFrame(events, SCHEMA).repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.event_id: (r.verdict, r.holder, r.claimed_at, r.completed_at) for r in answered} == folded(events)
+
+
+def test_odd_events(spark):
+    events = [
+        (None, "h", None, 1, "claim", 1), (None, "h", None, 2, "release", 2), ("r", None, "a", 1, "claim", 3),
+        ("r", None, "b", 1, "claim", 3), ("r", "h", "a", None, "claim", 4), ("r", "h", "a", 9, "release", None),
+    ]
+    rows = claims.claim_verdicts(spark.createDataFrame(events, SCHEMA)).collect()
+    got = sorted((str(r.event_id), str(r.failure_id), r.verdict, str(r.holder)) for r in rows)
+    assert got == [
+        ("1", "None", "new", "None"), ("2", "None", "released", "None"), ("3", "a", "new", "a"),
+        ("3", "b", "in_flight", "a"), ("None", "a", "not_holder", "None"),
+    ]
+    assert claims.claim_verdicts(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_a_burst_has_one_winner(spark):

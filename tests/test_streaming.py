@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,22 +72,46 @@ def test_ingest_stream_equals_batch(spark, scratch):
     assert refused.count() + len(want) == 40
 
 
+FAR = [("end", "end", "end", NOW + 10_000 * S.DAY_MS, "claim", -1)]  # moves the watermark past all other events
+
+
+def answers(spark, batches, path, **options):
+    """The verdicts of all events in the batches, read when the watermark has passed them."""
+    run(live_claims.claim_verdicts(stream_of(spark, [*batches, FAR], SCHEMA, path), **options), path)
+    return {r.event_id: r for r in spark.read.parquet(f"{path}/out").collect() if r.repo != "end"}
+
+
 def test_claim_stream_equals_batch(spark, scratch):
     events = sorted(random_events(11, 120, 2000), key=lambda e: (e[3], e[5]))
     cut = [events[: len(events) // 3], events[len(events) // 3 : 200], events[200:]]
-    stream = stream_of(spark, cut, SCHEMA, scratch)
-    run(live_claims.claim_verdicts(stream), scratch)
-    got = {r.event_id: r.verdict for r in spark.read.parquet(f"{scratch}/out").collect()}
+    got = {i: r.verdict for i, r in answers(spark, cut, scratch).items()}
     want = {r.event_id: r.verdict for r in claims.claim_verdicts(spark.createDataFrame(events, SCHEMA)).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_claims_in_any_order_and_cut(spark, scratch, seed):
+    """Rows out of order within the lateness, also across micro-batches, equal times and ids included."""
+    rng = random.Random(seed)
+    events = random_events(seed, 150, 300, ties=True)
+    events += [events[3], (*events[5][:4], "forget", events[5][5])]
+    lateness = 40 * S.MINUTE_MS
+    order = sorted(events, key=lambda e: e[3] + rng.randrange(lateness))
+    cut, batches = sorted(rng.sample(range(1, len(order)), 6)), []
+    for start, end in zip([0, *cut], [*cut, len(order)]):
+        batches.append(rng.sample(order[start:end], end - start))
+    run(live_claims.claim_verdicts(stream_of(spark, [*batches, FAR], SCHEMA, scratch), lateness), scratch)
+    stream = spark.read.parquet(f"{scratch}/out").filter("repo <> 'end'")
+    batch = claims.claim_verdicts(spark.createDataFrame(events, SCHEMA))
+    columns = batch.columns
+    assert sorted(map(str, stream.select(columns).collect())) == sorted(map(str, batch.collect()))
+
+
 def test_late_claims_are_answered_apart(spark, scratch):
     minute = S.MINUTE_MS
     first = [("r", "h", "a", NOW, "claim", 1), ("r", "h", "a", NOW + minute, "release", 2), ("r", "x", "b", NOW + 40 * minute, "claim", 3)]
     second = [("r", "h", "c", NOW + 20 * minute, "claim", 4), ("r", "h", "d", NOW + 41 * minute, "claim", 5)]
-    run(live_claims.claim_verdicts(stream_of(spark, [first, second], SCHEMA, scratch)), scratch)
-    got = {r.event_id: r.verdict for r in spark.read.parquet(f"{scratch}/out").collect()}
+    got = {i: r.verdict for i, r in answers(spark, [first, second], scratch).items()}
     assert got == {1: "new", 2: "released", 3: "new", 4: "late", 5: "new"}
 
 

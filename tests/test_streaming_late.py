@@ -3,11 +3,9 @@
 from pyspark.sql import functions as F
 
 from faultline import schemas as S
-from faultline.streaming import claims as live_claims
 from faultline.streaming import counters
 from faultline.streaming import ingest as live
-from tests.test_claims import SCHEMA
-from tests.test_streaming import NOW, bodies, run, stream_of
+from tests.test_streaming import NOW, answers, bodies, run, stream_of
 
 
 def test_every_late_claim_is_answered(spark, scratch):
@@ -18,8 +16,7 @@ def test_every_late_claim_is_answered(spark, scratch):
         [("r", "y", "c", NOW + 101 * hour, "claim", 3)],
         [("r", "h", "d", NOW + 96 * hour, "claim", 4), ("r", "z", "e", NOW - 99 * hour, "claim", 5)],
     ]
-    run(live_claims.claim_verdicts(stream_of(spark, batches, SCHEMA, scratch)), scratch)
-    got = sorted((r.event_id, r.verdict) for r in spark.read.parquet(f"{scratch}/out").collect())
+    got = sorted((i, r.verdict) for i, r in answers(spark, batches, scratch).items())
     assert got == [(1, "new"), (2, "new"), (3, "new"), (4, "late"), (5, "late")]
 
 
