@@ -18,8 +18,8 @@ other labels in the score windows these positives set.
 Defined results: rows with a null id, label or vector, or with a null or non-finite
 component take no part; a component that a shorter vector lacks counts as zero; ties
 are ordered by id; rows that share an anchor's id are not its positives or negatives;
-repeated rows count as often as they occur, repeated anchors once; a score beyond the
-range of a long is returned as the end of that range; an anchor without positives, and
+repeated rows count as often as they occur, repeated anchors once; the score of a
+positive beyond the range of a long counts as the end of that range; an anchor without positives, and
 a positive without a row in its window, give no row. Other columns are not read.
 """
 
@@ -227,8 +227,9 @@ def hard_negatives(
     )
     blocks = (max(1, ceil(numbered.count() / anchor_block)), max(1, ceil(usable.count() / row_block)))
     # rows of one id may be very many, so blocks are dealt by place, not by id
-    dealt = usable.withColumn(
-        "row_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks[1])).cast("int")
+    dealt = usable.select(
+        *[F.col(c).alias(c) for c in usable.columns],  # columns of their own, apart from the anchors'
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks[1])).cast("int").alias("row_block"),
     )
     best = against_all(anchors, dealt, blocks, positives_in(scale, positives), BEST)
     chosen = checkpointed(first_by_score(best, ["anchor"], "score", "id", positives))

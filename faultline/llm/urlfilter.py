@@ -29,7 +29,7 @@ URL to train on, nothing is learned: scores are zero and the other URLs are allo
 without a labelled URL left to calibrate on, for one of the two, the mark is zero.
 Characters outside printable ASCII count as one character.
 Equal URLs teach once and are judged alike; repeated rows stay. Other columns are not
-read. A very long URL is one row of its grams, in linear time.
+read. A very long URL is read in linear time; its grams carry a number, not its text.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -160,12 +160,16 @@ def mark(held_out: DataFrame) -> DataFrame:
 
 
 def distinct_urls(pages: DataFrame, order: int) -> DataFrame:
-    """Every URL once: n (rows), label and fold, and what the models read (null without ``://``)."""
+    """Every URL once: a number, n (rows), label and fold, and what the models read (null without ``://``).
+
+    To be checkpointed, as the numbers depend on the order of the rows.
+    """
     rest = behind_scheme()
     once = pages.filter("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("n"))
     rule = rule_of(host_of(rest), path_of(rest))
     return once.select(
-        "url", "n", (~blocks(rule)).alias("is_accepted"), (F.crc32("url") % FOLDS == 0).alias("held_out"),
+        F.monotonically_increasing_id().alias("id"), "url", "n",
+        (~blocks(rule)).alias("is_accepted"), (F.crc32("url") % FOLDS == 0).alias("held_out"),
         F.when(F.instr("url", "://") > 0, characters(rest, order)).alias("text"),
     )
 
@@ -173,7 +177,7 @@ def distinct_urls(pages: DataFrame, order: int) -> DataFrame:
 def scored_urls(urls: DataFrame, order: int = ORDER) -> DataFrame:
     """url, n, is_accepted, held_out, score: the mean log ratio in millionths, as a double."""
     taught = ~F.col("held_out")
-    all_grams = urls.select("url", "is_accepted", "held_out", F.explode(grams(F.col("text"), order)).alias("gram"))
+    all_grams = urls.select("id", "is_accepted", "held_out", F.explode(grams(F.col("text"), order)).alias("gram"))
     counts = checkpointed(
         all_grams.groupBy("gram").agg(
             F.count("*").alias("n"),
@@ -186,10 +190,10 @@ def scored_urls(urls: DataFrame, order: int = ORDER) -> DataFrame:
         nothing = F.when(F.col("text").isNotNull(), 0.0)
         return urls.select("url", "n", "is_accepted", "held_out", nothing.alias("score"))
     weights = checkpointed(log_ratios(counts, order).join(counts.select("gram", "n"), "gram"))
-    valued = with_values(all_grams.select("url", "gram"), weights, "gram")
-    sums = valued.groupBy("url").agg(F.sum("ratio").alias("total"), F.count("*").alias("length"))
+    valued = with_values(all_grams.select("id", "gram"), weights, "gram")
+    sums = valued.groupBy("id").agg(F.sum("ratio").alias("total"), F.count("*").alias("length"))
     score = F.col("total").cast("double") / F.col("length").cast("double")
-    return urls.select("url", "n", "is_accepted", "held_out").join(sums, "url", "left").select(
+    return urls.select("id", "url", "n", "is_accepted", "held_out").join(sums, "id", "left").select(
         "url", "n", "is_accepted", "held_out", score.alias("score")
     )
 
