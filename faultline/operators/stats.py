@@ -11,12 +11,16 @@ def in_window(failures: DataFrame, now_ms: int, days: int) -> DataFrame:
     return failures.filter(F.col("last_seen_at") >= now_ms - days * S.DAY_MS)
 
 
-def repo_counts(failures: DataFrame, now_ms: int, days: int = 7) -> DataFrame:
+def status_counts() -> list:
     status = F.col("status")
-    return in_window(failures, now_ms, days).groupBy("repo").agg(
+    return [
         F.count_if(status.isin(S.OPEN_STATUSES)).alias("open_count"),
         F.count_if(status == "resolved").alias("resolved_count"),
-    )
+    ]
+
+
+def repo_counts(failures: DataFrame, now_ms: int, days: int = 7) -> DataFrame:
+    return in_window(failures, now_ms, days).groupBy("repo").agg(*status_counts())
 
 
 def top_flakes(
@@ -30,6 +34,11 @@ def top_flakes(
         .groupBy("repo", "signature_hash", "signature_text")
         .agg(F.sum("occurrence_count").alias("count"), F.max("last_seen_at").alias("seen"))
     )
+    return ranked_flakes(per_text, limit)
+
+
+def ranked_flakes(per_text: DataFrame, limit: int = S.TOP_FLAKES) -> DataFrame:
+    """The flakes of every repo from counts per text, in any number of parts."""
     per_signature = (
         per_text.groupBy("repo", "signature_hash")
         .agg(

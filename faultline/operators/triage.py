@@ -1,10 +1,12 @@
 """Triage outcomes: approval window, result edits, new rows, audit steps, outbox."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import schemas as S
+from faultline.functions.ordering import with_row_numbers
 from faultline.functions.text import filled, fixed
+from faultline.sources.checkpoints import checkpointed
 
 # fixed value
 EXPIRED_NOTE = (
@@ -128,6 +130,87 @@ def step_attempts(runs: DataFrame) -> DataFrame:
     )
 
 
+PAIR_BLOCK = 4096  # rows scanned by one window
+STEP = ["failure_id", "step"]
+
+
+def step_pairs(runs: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """Every attempt of a step as a row: what started it, what ended it, and how it stands.
+
+    Rows of a (failure, step) follow each other by (created_at, id). A ``started`` row is
+    closed by the row behind it if that is a terminal one; then ``state`` is its status.
+    A start that another start follows is ``abandoned``, the last one is ``open``. A
+    terminal row that closes nothing is ``unstarted``. ``attempt`` counts the starts, so
+    a retry is an attempt above one; it is null for unstarted rows. Null ids and steps
+    are keys of their own.
+
+    The rows are numbered over all keys and scanned in blocks, so a failure with very
+    many rows is many blocks: what crosses a border is one row per block.
+    """
+    kept = runs.select(*STEP, "id", "status", "created_at", "duration_ms")
+    numbered = with_row_numbers(kept, [*STEP, "created_at", "id"], "n")
+    place = numbered.withColumn("block", F.expr(f"(n - 1) div {block}"))
+    begins = (F.col("status") == "started").cast("long")
+    within = Window.partitionBy("block").orderBy("n")
+    so_far = Window.partitionBy("block", *STEP).orderBy("n")
+    row = F.struct(*STEP, "id", "status", "created_at", "duration_ms")
+    scanned = place.select(
+        "block", "n", row.alias("own"), F.lead(row).over(within).alias("next"),
+        F.sum(begins).over(so_far).alias("starts"),
+    )
+    # one row per block: its first row, its last row and the starts of its last key
+    ends = checkpointed(
+        scanned.groupBy("block").agg(
+            F.min_by("own", "n").alias("first"), F.max_by(F.struct("own", "starts"), "n").alias("last")
+        )
+    )
+    key = [F.col(f"last.own.{c}") for c in STEP]
+    earlier = F.sum("last.starts").over(Window.partitionBy(*key).orderBy("block"))
+    before = ends.select((F.col("block") + 1).alias("block"), F.col("last.own").alias("previous"), earlier.alias("carried"))
+    after = ends.select((F.col("block") - 1).alias("block"), F.col("first").alias("following"))
+    borders = ends.select("block", "first").join(before, "block", "left").join(after, "block", "left").select(
+        "block", "following", F.when(same_step("first", "previous"), F.col("carried")).alias("carried"),
+        F.struct(*[F.col(f"first.{c}") for c in STEP]).alias("head"),
+    )
+    joined = scanned.join(borders, "block")
+    more = F.when(same_step("own", "head"), F.coalesce("carried", F.lit(0))).otherwise(0)
+    paired = joined.select(
+        "n", "own", F.coalesce("next", "following").alias("next"), (F.col("starts") + more).alias("attempt")
+    )
+    own, following = F.col("own"), F.col("next")
+    started, ended = own["status"] == "started", following["status"] != "started"
+    closes = started & same_step("own", "next") & ended
+    state = (
+        F.when(closes, following["status"]).when(same_step("own", "next"), "abandoned").otherwise("open")
+    )
+    opened = F.when(started, attempt_row(own, F.when(closes, following), state, F.col("attempt")))
+    orphan = F.when(ended & ~closes, attempt_row(None, following, F.lit("unstarted"), F.lit(None)))
+    first = F.when((F.col("n") == 1) & ~started, attempt_row(None, own, F.lit("unstarted"), F.lit(None)))
+    rows = F.filter(F.array(opened, orphan, first), lambda x: x.isNotNull())
+    return paired.select(F.inline(rows))
+
+
+def same_step(a: str, b: str) -> Column:
+    """Whether two rows belong to one key; false where one of them is missing."""
+    equal = F.lit(True)
+    for name in STEP:
+        equal = equal & F.col(f"{a}.{name}").eqNullSafe(F.col(f"{b}.{name}"))
+    return F.col(a).isNotNull() & F.col(b).isNotNull() & equal
+
+
+def attempt_row(start: Column | None, end: Column | None, state: Column, attempt: Column) -> Column:
+    def of(row, name, kind):
+        return (F.lit(None) if row is None else row[name]).cast(kind)
+
+    key = end if start is None else start
+    return F.struct(
+        *[key[c].alias(c) for c in STEP], attempt.cast("long").alias("attempt"), state.alias("state"),
+        of(start, "id", "string").alias("started_id"), of(end, "id", "string").alias("ended_id"),
+        of(start, "created_at", "long").alias("started_at"), of(end, "created_at", "long").alias("ended_at"),
+        of(end, "duration_ms", "long").alias("duration_ms"),
+    )
+
+
 def percent(share) -> Column:
     return fixed(F.floor(share * 100 + 0.5).cast("double"), 0)
 

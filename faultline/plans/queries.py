@@ -8,7 +8,7 @@ from faultline.functions import signature as sig
 from faultline.functions import variants as V
 from faultline.functions.text import present
 from faultline.operators import (
-    claims, context, dashboard, failures, fingerprint, history, ingest, replies, stats,
+    claims, context, dashboard, failures, fingerprint, history, ingest, replies, rollup, stats,
     transcripts, triage, vectors,
 )
 from faultline.plans import catalog, oracle_sql as O, views
@@ -419,6 +419,31 @@ def _(t):
     return stats.top_flakes(t.failures, NOW)
 
 
+# a window that begins and ends within a day, after a last day that is not closed; a tenth of the rows came late
+EDGE = views.NOW_MS - 5 * S.HOUR_MS - 13 * S.MINUTE_MS - 1
+CLOSED = EDGE // S.DAY_MS * S.DAY_MS - S.DAY_MS
+
+
+def closed_days(t):
+    """Day partials as a stream writes them: one set from rows in time, one from late rows."""
+    late = F.pmod(F.hash("id"), F.lit(10)) == 0
+    closed = t.failures.filter(F.col("last_seen_at") < CLOSED)
+    return rollup.day_partials(closed.filter(~late)).unionByName(rollup.day_partials(closed.filter(late)))
+
+
+@query("top_flakes_from_days", _flakes.replace(str(NOW - 7 * S.DAY_MS), str(EDGE - 9 * S.DAY_MS)))
+def _(t):
+    return rollup.top_flakes(closed_days(t), t.failures, EDGE, CLOSED, 9)
+
+
+@query("repo_counts_from_days", f"""
+SELECT repo, count(*) FILTER (status IN ('open', 'awaiting_approval', 'triaged')) AS open_count,
+  count(*) FILTER (status = 'resolved') AS resolved_count FROM fx_failures WHERE last_seen_at >= {EDGE - 9 * S.DAY_MS} GROUP BY repo
+""")
+def _(t):
+    return rollup.repo_counts(closed_days(t), t.failures, EDGE, CLOSED, 9)
+
+
 @query("repo_stats", """
 SELECT c.repo, open_count, resolved_count, 7 AS window_days, coalesce(flakes, '') AS flakes FROM sh_counts c LEFT JOIN (
   SELECT repo, string_agg(signature_hash || ':' || count, ',' ORDER BY rank) AS flakes FROM sh_flakes GROUP BY repo) f ON f.repo = c.repo
@@ -795,6 +820,30 @@ def _(t):
     return triage.step_attempts(failures.scan_runs(t.runs))
 
 
+# rows that never start or end: some starts and some ends are lost
+_lost = "CASE WHEN status = 'started' THEN cast(substr(id, 3, 1) AS INT) <> 7 ELSE length(failure_id) + coalesce(duration_ms, 0) % 5 <> 4 END"
+
+
+@query("step_pairs", f"""
+WITH runs AS (
+  SELECT * REPLACE (CASE WHEN status IN ('started', 'ok', 'error') THEN status ELSE 'error' END AS status)
+  FROM (SELECT * REPLACE (CASE WHEN id LIKE '%-4' THEN 'parse-log' ELSE step END AS step) FROM fx_runs WHERE {_lost})),
+a AS (
+  SELECT *, lead(status) OVER w AS next_status, lead(id) OVER w AS next_id, lead(created_at) OVER w AS next_at, lead(duration_ms) OVER w AS next_ms,
+    lag(status) OVER w AS previous, sum(CASE WHEN status = 'started' THEN 1 ELSE 0 END) OVER w AS starts
+  FROM runs WINDOW w AS (PARTITION BY failure_id, step ORDER BY created_at, id))
+SELECT failure_id, step, cast(starts AS BIGINT) AS attempt, CASE next_status WHEN 'started' THEN 'abandoned' ELSE coalesce(next_status, 'open') END AS state,
+  id AS started_id, CASE WHEN next_status <> 'started' THEN next_id END AS ended_id, created_at AS started_at,
+  CASE WHEN next_status <> 'started' THEN next_at END AS ended_at, CASE WHEN next_status <> 'started' THEN next_ms END AS duration_ms
+FROM a WHERE status = 'started'
+UNION ALL
+SELECT failure_id, step, NULL, 'unstarted', NULL, id, NULL, created_at, duration_ms FROM a WHERE status <> 'started' AND coalesce(previous, '') <> 'started'
+""")
+def _(t):
+    step = F.when(F.col("id").like("%-4"), "parse-log").otherwise(F.col("step"))
+    return triage.step_pairs(failures.scan_runs(t.runs.filter(_lost).withColumn("step", step)))
+
+
 _posted = """'**' || headline || '**' || chr(10) || chr(10) || '**Root cause** — ' || root_cause || chr(10) || chr(10) || '**Suggested fix**' || chr(10)
   || suggested_fix || chr(10) || chr(10) || '_Triage · confidence ' || cast(floor(confidence * 100 + 0.5) AS BIGINT) || '%_'"""
 

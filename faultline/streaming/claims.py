@@ -34,7 +34,7 @@ class ClaimProcessor(StatefulProcessor):
         watermark, taken, count = timerValues.getCurrentWatermarkInMs(), {}, 0
         for row in rows:
             if row.ts is None or row.ts < watermark:
-                yield self.answered(key, row.ts, row, "late", None, None)
+                yield from self.told(key, row.ts, row, "late", None, None)
                 continue
             taken.setdefault(row.ts, []).append((row.event_id, row.failure_id, row.kind))
             count += 1
@@ -57,7 +57,7 @@ class ClaimProcessor(StatefulProcessor):
         for event in self.due(ts):
             state, verdict, holder = step(state, event[1], ts, event[2])
             row = Row(event_id=event[0], failure_id=event[1], kind=event[2])
-            yield self.answered(key, ts, row, verdict, holder, state)
+            yield from self.told(key, ts, row, verdict, holder, state)
         if state is not None and ts + 1 >= self.end(state):
             state = None
         if state is None:
@@ -83,9 +83,8 @@ class ClaimProcessor(StatefulProcessor):
         _, claimed, completed = state
         return claimed + S.STALE_CLAIM_MS if completed is None else completed + S.CLAIM_RETENTION_MS + 1
 
-    @staticmethod
-    def answered(key, ts, row, verdict, holder, state) -> Row:
-        return Row(
+    def told(self, key, ts, row, verdict, holder, state) -> Iterator[Row]:
+        yield Row(
             repo=key[0], signature_hash=key[1], failure_id=row.failure_id, ts=ts, kind=row.kind,
             event_id=row.event_id, verdict=verdict, holder=holder,
             claimed_at=None if state is None else state[1], completed_at=None if state is None else state[2],
@@ -95,6 +94,56 @@ class ClaimProcessor(StatefulProcessor):
         pass
 
 
+class InFlightProcessor(ClaimProcessor):
+    """The number of running claims of a signature, as the changes of it: one up or down.
+
+    A claim runs until it is released, forgotten or taken over, and until it is more
+    than ten minutes old, which a timer of its own tells.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.running = handle.getValueState("running", "claimed_at long")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        before = self.running.get()[0] if self.running.exists() else None
+        self.now = before
+        for _ in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            pass
+        # a claim that has run out by the watermark never counted, whatever its timer
+        if self.now is not None and self.now + S.STALE_CLAIM_MS < timerValues.getCurrentWatermarkInMs():
+            self.now = None
+        if self.now != before:
+            if self.now is None:
+                self.running.clear()
+            else:
+                self.running.update((self.now,))
+                self.handle.registerTimer(self.now + S.STALE_CLAIM_MS + 1)
+        change = (self.now is not None) - (before is not None)
+        if change:
+            yield Row(repo=key[0], signature_hash=key[1], change=change)
+
+    def told(self, key, ts, row, verdict, holder, state) -> Iterator[Row]:
+        if verdict == "new":
+            self.now = ts
+        elif verdict in ("released", "forgotten"):
+            self.now = None
+        return iter([])
+
+
+def in_flight_changes(events: DataFrame, lateness_ms: int = S.MINUTE_MS) -> DataFrame:
+    """repo, signature_hash, change: +1 or -1 whenever a claim begins or ends to be in flight.
+
+    In event time, behind the watermark like the verdicts. Late events change nothing.
+    """
+    return watermarked(events, "ts", lateness_ms).groupBy(*KEY).transformWithState(
+        statefulProcessor=InFlightProcessor(),
+        outputStructType="repo string, signature_hash string, change long",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
 def claim_verdicts(events: DataFrame, lateness_ms: int = S.MINUTE_MS) -> DataFrame:
     """Streaming verdicts for claim, release and forget events.
 

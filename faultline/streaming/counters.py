@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from faultline import schemas as S
+from faultline.operators.rollup import DAY_KEY, day_of
+from faultline.streaming.claims import in_flight_changes
 from faultline.streaming.late import watermarked
 
-DAY_KEY = "repo", "signature_hash", "signature_text", "day_ms"
 PARTIAL = "occurrence_count long, last_seen_at long, open_count long, resolved_count long"
 
 
@@ -23,6 +24,17 @@ def live_counters(failures: DataFrame) -> DataFrame:
     )
 
 
+def live_in_flight(events: DataFrame, lateness_ms: int = S.MINUTE_MS) -> DataFrame:
+    """Running number of claims in flight per repo (update mode), as of the watermark.
+
+    Two stateful operators in a row: the claims of a signature give changes by one, and
+    these are summed per repo, so a repository with very many claims is merged before the
+    shuffle. With ``live_counters`` these are the columns of ``stats.repo_counters``.
+    Needs the RocksDB state store.
+    """
+    return in_flight_changes(events, lateness_ms).groupBy("repo").agg(F.sum("change").alias("in_flight"))
+
+
 class DayProcessor(StatefulProcessor):
     """The sums of one signature and day, given out when the day is closed; later rows at once."""
 
@@ -72,8 +84,7 @@ def daily_signatures(failures: DataFrame, lateness: str = "1 day") -> DataFrame:
     RocksDB state store.
     """
     timed = watermarked(failures, "last_seen_at", int(pd.Timedelta(lateness).total_seconds() * 1000))
-    day_ms = (F.floor(F.col("last_seen_at") / S.DAY_MS) * S.DAY_MS).cast("long")
-    days = timed.withColumn("day_ms", day_ms).groupBy(*DAY_KEY).transformWithState(
+    days = timed.withColumn("day_ms", day_of(F.col("last_seen_at"))).groupBy(*DAY_KEY).transformWithState(
         statefulProcessor=DayProcessor(),
         outputStructType=f"repo string, signature_hash string, signature_text string, day_ms long, {PARTIAL}",
         outputMode="Append",
@@ -82,6 +93,11 @@ def daily_signatures(failures: DataFrame, lateness: str = "1 day") -> DataFrame:
     return days.withColumn("day", F.timestamp_millis("day_ms")).drop("day_ms")
 
 
+def partials_of(days: DataFrame) -> DataFrame:
+    """The written days as ``operators.rollup`` reads them, which adds the edges of a window."""
+    return days.withColumn("day_ms", F.unix_millis("day")).drop("day")
+
+
 def counts_from_days(days: DataFrame, since_day) -> DataFrame:
     """Whole-day window counts per repo from the daily partials."""
     return days.filter(F.col("day") >= since_day).groupBy("repo").agg(

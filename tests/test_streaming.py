@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline import schemas as S
-from faultline.operators import claims, fingerprint, ingest
+from faultline.operators import claims, fingerprint, history, ingest
 from faultline.sources import tables
 from faultline.streaming import approvals as live_approvals
 from faultline.streaming import claims as live_claims
 from faultline.streaming import counters
+from faultline.streaming import history as live_history
 from faultline.streaming import ingest as live
 from tests.test_claims import SCHEMA, random_events
 
@@ -150,3 +151,40 @@ def test_counters(spark, scratch):
     closed = spark.read.parquet(f"{scratch}/2/out")
     total = counters.counts_from_days(closed, F.timestamp_millis(F.lit(0))).first()
     assert (total.open_count, total.resolved_count) == (40, 20)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_claims_in_flight(spark, scratch, seed):
+    """After a replay up to ``now``: the claims in flight that the batch counts then."""
+    rng, minute = random.Random(seed), S.MINUTE_MS
+    now, lateness = 290 * minute, 5 * minute
+    events = [e for e in random_events(seed, 150, 300) if e[3] < now]
+    events += [("r0", "edge", "f", now - 10 * minute, "claim", -2), ("r0", "gone", "f", now - 10 * minute - 1, "claim", -3)]
+    order = sorted(events, key=lambda e: e[3] + rng.randrange(lateness))
+    end = [("end", "end", "end", now + lateness, "claim", -1)]
+    seen = {}
+
+    def keep(batch, _):
+        seen.update({r.repo: r.in_flight for r in batch.collect()})
+
+    stream = stream_of(spark, [order[:90], order[90:200], order[200:], end], SCHEMA, scratch)
+    run(counters.live_in_flight(stream, lateness), scratch, "update", keep)
+    held = claims.current_claims(claims.claim_verdicts(spark.createDataFrame(events, SCHEMA)))
+    live = F.col("completed_at").isNull() & (F.col("claimed_at") >= now - 10 * minute)
+    want = {r.repo: r.n for r in held.groupBy("repo").agg(F.count_if(live).alias("n")).collect()}
+    assert {k: v for k, v in seen.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_history_of_any_cut(spark, scratch):
+    rng = random.Random(9)
+    schema = "repo string, id long, role string, content string, created_at long"
+    rows = [("a", i, "user", "x" * (9000 if i == 290 else 3), i) for i in range(300)] + [("b", i, None, None, None) for i in range(5)]
+    rows += [(None, 7, "assistant", "y", 1), ("c", None, "user", "old", 1)]
+    rng.shuffle(rows)
+    stream = stream_of(spark, [rows[:3], rows[3:120], rows[120:290], rows[290:]], schema, scratch)
+    run(live_history.trim_history(stream), scratch)
+    versions = spark.read.parquet(f"{scratch}/out")
+    got = live_history.latest(versions)
+    want = history.trim_history(spark.createDataFrame(rows, schema))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert versions.groupBy("repo", "version").count().agg(F.max("count")).first()[0] == 50
