@@ -1,5 +1,6 @@
 """Work on Arrow batches in bounded pieces."""
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +37,15 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return what a finished task has freed to the system: workers live on beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def by_pieces(work: Callable[[pa.Array], pa.Array], limit: int = PIECE_BYTES) -> Callable:
     """Applies ``work`` to the pieces of each batch; null texts come as empty ones."""
 
@@ -44,5 +54,7 @@ def by_pieces(work: Callable[[pa.Array], pa.Array], limit: int = PIECE_BYTES) ->
             texts = batch.fill_null("") if batch.null_count else batch
             done = [work(piece) for piece in pieces(texts, limit)] or [work(texts)]
             yield pa.concat_arrays(done)
+            del batch, texts, done
+        give_back()
 
     return run

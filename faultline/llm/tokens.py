@@ -8,7 +8,10 @@ adjacent pair, takes the smallest rank of each unit by a segmented minimum, merg
 its leftmost occurrences in all units at once and compacts the array; units
 without a pair leave. Where a merge could make room for a better pair, or ranks
 tie, only the leftmost occurrence is merged in that round, so the order of merges
-is the library's.
+is the library's. A round passes over all symbols of a unit, so a unit of more than
+``LONG`` symbols (a stretch without a space) keeps its pairs by rank and place instead
+and touches the neighbours of each merge only, in the same order: its time grows with
+its length times the logarithm of it.
 
 Characters without a piece become their bytes. Decoding joins the bytes of the
 pieces, turns marks into spaces and drops the one mark that encoding puts in
@@ -20,7 +23,9 @@ decode as the library does. Rows do not depend on each other. Other columns pass
 through, except one with the name of the result.
 """
 
+from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,7 @@ from faultline.llm.arrow import by_pieces
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
 POINTS = 0x110000
+LONG = 512  # symbols of a unit that is merged on its own
 UNKNOWN_TEXT = " ⁇ "  # fixed value: what the library decodes an unknown id to
 
 
@@ -100,8 +106,12 @@ class Merges:
         self.keys = np.array(keys, np.int64)[order]
         self.ranks = np.array(ranks, np.int32)[order]
         self.merged = np.array(merged, np.int64)[order]
+        self.next_merge = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist())))
         self.surface = [self.decoded(p, kind) for p, _, kind in model]
-        self.marked = [kind == "piece" and p[0] == MARK for p, _, kind in model]
+        self.surfaces = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.sizes = np.array([len(s) for s in self.surface], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.marked = np.array([kind == "piece" and p[0] == MARK for p, _, kind in model])
         self.is_byte = np.array([kind == "byte" for _, _, kind in model])
 
     def symbol(self, part: str):
@@ -125,7 +135,66 @@ class Merges:
         return np.where(known, self.ranks[at], NONE), self.merged[at]
 
     def merge_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat symbols of all units after the last round, and how many each unit has."""
+        """Flat symbols of all units after the last merge, and how many each unit has."""
+        long = [i for i, u in enumerate(units) if len(u) > LONG]
+        if not long:
+            return self.merge_rounds(units)
+        symbols, counts = self.merge_rounds(["" if len(u) > LONG else u for u in units])
+        alone = [self.merge_long(units[i]) for i in long]
+        counts[long] = [len(a) for a in alone]
+        owner = np.repeat(np.arange(len(units)), counts)
+        mixed = np.empty(len(owner), np.int64)
+        is_long = np.zeros(len(units), bool)
+        is_long[long] = True
+        mixed[~is_long[owner]] = symbols
+        mixed[is_long[owner]] = np.concatenate(alone)
+        return mixed, counts
+
+    def merge_long(self, unit: str) -> np.ndarray:
+        """The symbols of one unit: pairs in the order of rank and place, new ones in a heap."""
+        symbols = self.of_char[np.frombuffer(unit.encode("utf-32-le"), np.uint32)]
+        rank, _ = self.pairs(symbols[:-1], symbols[1:])
+        at = np.flatnonzero(rank != NONE)
+        known = np.sort((rank[at].astype(np.int64) << 32) + at)
+        end, width, next_merge = len(symbols), self.width, self.next_merge
+        held, after, before = array("q", symbols), array("q", range(1, end + 1)), array("q", range(-1, end - 1))
+        fresh, nothing = [], (NONE, 0)
+
+        def offer(left, right):
+            """Put the pair of two places into the heap if a piece joins them."""
+            found = next_merge.get(held[left] * width + held[right], nothing)[0]
+            if found != NONE:
+                heappush(fresh, (found << 32) + left)
+
+        for chunk in np.split(known, range(LONG, len(known), LONG)) + [np.array([-1])]:
+            for entry in chunk.tolist():
+                # everything in the heap that comes before this pair goes first
+                while True:
+                    if fresh and (entry < 0 or fresh[0] <= entry):
+                        now = heappop(fresh)
+                    elif entry >= 0:
+                        now, entry = entry, None
+                    else:
+                        break
+                    left = now & 0xFFFFFFFF
+                    right = after[left]
+                    if held[left] >= 0 and right < end:
+                        found, piece = next_merge.get(held[left] * width + held[right], nothing)
+                        if found == now >> 32:
+                            held[left], held[right] = piece, -1
+                            behind = after[left] = after[right]
+                            if behind < end:
+                                before[behind] = left
+                                offer(left, behind)
+                            if before[left] >= 0:
+                                offer(before[left], left)
+                    if entry is None:
+                        break
+        out = np.frombuffer(held, np.int64)
+        return out[out >= 0]
+
+    def merge_rounds(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units that are not long, all together."""
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         symbols = self.of_char[points]
         unit = np.repeat(np.arange(len(units)), [len(u) for u in units])
@@ -204,18 +273,33 @@ class Merges:
         per_text = np.bincount(text, weights=counts[code], minlength=len(texts)).astype(np.int64)
         return ids[spread(starts[code], counts[code])], np.r_[0, np.cumsum(per_text)]
 
-    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-        surface, out = self.surface, []
-        flat = ids.tolist()
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            joined = b"".join([surface[i] for i in flat[a:b]])
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The text of every run of ids, put together as bytes."""
+        sizes = self.sizes[ids]
+        flat = self.surfaces[spread(self.starts[ids], sizes)]
+        ends = np.r_[0, np.cumsum(sizes)][bounds]
+        # the mark in front is the one that encoding has added
+        filled = bounds[1:] > bounds[:-1]
+        marked = np.zeros(len(filled), bool)
+        marked[filled] = self.marked[ids[bounds[:-1][filled]]]
+        keep = np.ones(len(flat), bool)
+        keep[ends[:-1][marked]] = False
+        ends[1:] -= np.cumsum(marked)
+        data = flat[keep].tobytes()
+        with_bytes = np.flatnonzero(np.add.reduceat(np.r_[self.is_byte[ids], False], bounds[:-1]) * filled)
+        broken = {}
+        for i in with_bytes.tolist():
             try:
-                text = joined.decode()
+                data[ends[i] : ends[i + 1]].decode()
             except UnicodeDecodeError:
-                text = self.decode_broken(flat[a:b])
-            # the mark in front is the one that encoding has added
-            out.append(text[1:] if b > a and self.marked[flat[a]] else text)
-        return out
+                text = self.decode_broken(ids[bounds[i] : bounds[i + 1]].tolist())
+                broken[i] = text[1:] if marked[i] else text
+        if broken:  # such bytes are no text; their places are filled anew
+            texts = [broken[i].encode() if i in broken else data[a:b] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
+            return pa.array([t.decode() for t in texts], pa.string())
+        return pa.StringArray.from_buffers(
+            len(filled), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)
+        )
 
     def decode_broken(self, ids: list[int]) -> str:
         """Runs of byte ids that are not valid UTF-8: each wrong byte is one replacement."""
@@ -286,9 +370,8 @@ def tokenizer(model: tuple):
     def work(texts: pa.Array) -> pa.Array:
         t = tables(model)
         ids, bounds = t.encode(texts)
-        decoded = pa.array(t.decode(ids, bounds), pa.string())
         return pa.StructArray.from_arrays(
-            [list_of(pa.array(ids, pa.int32()), bounds), decoded], ["ids", "decoded"]
+            [list_of(pa.array(ids, pa.int32()), bounds), t.decode(ids, bounds)], ["ids", "decoded"]
         )
 
     return by_pieces(work)
