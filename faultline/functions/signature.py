@@ -7,6 +7,7 @@ pre-screened lines (at most 200) and the window around the chosen line.
 """
 
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,72 +56,138 @@ def first(array) -> Column:
     return F.get(array, F.lit(0))
 
 
+def rewritten(text, rewrites) -> Column:
+    return reduce(lambda s, rw: F.regexp_replace(s, spaced(rw[0]), rw[1]), rewrites, text)
+
+
 def normalise(line) -> Column:
-    """One line without anything that changes between two runs of one failure."""
-    text = reduce(lambda s, rw: F.regexp_replace(s, spaced(rw[0]), rw[1]), P.REWRITES, col(line))
-    return trim(text)
+    """One line without anything that changes between two runs of one failure.
+
+    A rewrite is tried only on lines that hold a text its pattern cannot do without.
+    """
+    shaped = rewritten_in_steps(col(line), range(P.FIRST_SCALAR))
+    scalars = range(P.FIRST_SCALAR, P.AFTER_SCALARS)
+    counted = let(
+        shaped, lambda x: F.when(has_any(x, P.DIGITS), rewritten_in_steps(x, scalars)).otherwise(x)
+    )
+    return trim(rewritten_in_steps(counted, range(P.AFTER_SCALARS, len(P.REWRITES))))
+
+
+def rewritten_in_steps(text, numbers: range) -> Column:
+    """Rewrites one after the other as a fold: the text so far is a variable, so each looks at it first."""
+
+    def step(x, number):
+        pattern, replacement = P.REWRITES[number]
+        done = F.regexp_replace(x, spaced(pattern), replacement)
+        return F.when(has_any(x, P.REWRITE_NEEDS[number]), done).otherwise(x)
+
+    def chosen(x, i, some: range):
+        if len(some) == 1:
+            return step(x, some[0])
+        middle = len(some) // 2
+        return F.when(i < some[middle], chosen(x, i, some[:middle])).otherwise(chosen(x, i, some[middle:]))
+
+    return F.aggregate(F.array(*[F.lit(n) for n in numbers]), text, lambda x, i: chosen(x, i, numbers))
 
 
 def has_any(text, words) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def is_candidate(line) -> Column:
+def present_words(lines) -> Column:
+    """The trigger words that a log holds at all: few, so its lines are tested for these alone."""
+    words = F.array(*[F.lit(w) for w in P.TRIGGER_WORDS])
+    return let(F.lower(F.array_join(lines, "\n")), lambda low: F.filter(words, lambda w: low.contains(w)))
+
+
+def is_candidate(line, words) -> Column:
     """Pre-screen of a raw line: plain substring tests, many times cheaper than one pattern."""
     text = col(line)
     size = F.length(text)
-    worded = let(F.lower(text), lambda low: has_any(low, P.TRIGGER_WORDS))
+    worded = let(F.lower(text), lambda low: F.exists(words, lambda w: low.contains(w)))
     return (size > 0) & (size < S.CANDIDATE_LINE_CHARS) & worded
 
 
 def candidate_positions(lines) -> Column:
     """Positions (from 0) of the newest pre-screened lines, in log order."""
-    found = F.filter(
-        F.transform(lines, lambda x, i: F.when(is_candidate(x), i)), lambda i: i.isNotNull()
-    )
-    return let(found, lambda f: last(f, S.CANDIDATE_LINES))
 
+    def found(words):
+        return F.filter(
+            F.transform(lines, lambda x, i: F.when(is_candidate(x, words), i)), lambda i: i.isNotNull()
+        )
 
-def rule_of(line) -> Column:
-    """Number of the first rule group that fires on a normalised line, else null."""
-    text = col(line)
+    return let(let(present_words(lines), found), lambda f: last(f, S.CANDIDATE_LINES))
 
-    def first_rule(low):
-        branch = None
-        for number, (rule, needed) in enumerate(zip(P.RULES, P.NEEDED, strict=True)):
-            test = has_any(low, needed) & text.rlike(any_of(rule[3]))
-            branch = F.when(test, number) if branch is None else branch.when(test, number)
-        return branch
 
-    return let(F.lower(text), first_rule)
+def holds(text, low, needed: str) -> Column:
+    start, word = needed[0] == "^" and len(needed) > 1, needed.removeprefix("^")
+    where = text if word != word.lower() else low
+    return where.startswith(word) if start else where.contains(word)
+
+
+def fires(text, low, number: int) -> Column:
+    """Whether a rule group fires: each pattern is tried only where its texts are."""
+    tests = [
+        reduce(lambda a, b: a | b, [holds(text, low, n) for n in needed]) & text.rlike(spaced(pattern))
+        for pattern, needed in zip(P.RULES[number][3], P.NEEDED[number], strict=True)
+    ]
+    return reduce(lambda a, b: a | b, tests)
+
+
+def rule_of(text, low, numbers) -> Column:
+    """Number of the first of some rule groups that fires on a normalised line, else null."""
+    branch = None
+    for number in numbers:
+        test = fires(text, low, number)
+        branch = F.when(test, number) if branch is None else branch.when(test, number)
+    return branch
 
 
 def rule_value(number, field: int) -> Column:
     return F.get(F.array(*[F.lit(rule[field]) for rule in P.RULES]), number)
 
 
+def stages() -> list[list[int]]:
+    """The rule groups by category, in order of priority; no category comes twice."""
+    numbers = range(len(P.RULES))
+    return [list(group) for _, group in groupby(numbers, key=lambda n: P.RULES[n][0])]
+
+
 def detect(lines) -> Column:
-    """struct(priority, newest, rule) of the winning line, or null when no rule fires."""
+    """struct(priority, newest, rule) of the winning line, or null when no rule fires.
+
+    The rules go stage by stage over all candidates, the lowest priorities first; a stage
+    in which a rule fires is the last one.
+    """
+
+    def winner(candidates, numbers):
+        def hit(c):
+            return let(
+                rule_of(c["text"], c["low"], numbers),
+                lambda g: F.when(
+                    g.isNotNull(),
+                    F.struct(rule_value(g, 1).alias("priority"), (-c["i"]).alias("newest"), g.alias("rule")),
+                ),
+            )
+
+        return F.array_min(F.transform(candidates, hit))
 
-    def hit(i):
+    def prepared(i):
         return let(
-            let(normalise(F.get(lines, i)), rule_of),
-            lambda g: F.when(
-                g.isNotNull(),
-                F.struct(
-                    rule_value(g, 1).alias("priority"),
-                    (-i).alias("newest"),
-                    g.alias("rule"),
-                ),
-            ),
+            normalise(F.get(lines, i)),
+            lambda n: F.struct(i.alias("i"), n.alias("text"), F.lower(n).alias("low")),
         )
 
-    return F.array_min(F.transform(candidate_positions(lines), hit))
+    return let(
+        F.transform(candidate_positions(lines), prepared),
+        lambda candidates: F.coalesce(*[winner(candidates, numbers) for numbers in stages()]),
+    )
 
 
 def is_noise(line) -> Column:
     text = col(line)
-    return (F.length(text) < 3) | text.rlike(any_of(P.NOISE))
+    noisy = F.substring(text, 1, 1).isin(P.NOISE_STARTS) & text.rlike(any_of(P.NOISE))
+    return (F.length(text) < 3) | noisy
 
 
 def clip_line(line) -> Column:
@@ -156,9 +223,9 @@ def signature_text(forward) -> Column:
     return F.array_join(F.slice(distinct, 1, S.SIGNATURE_LINES), "\n")
 
 
-def extracted(lines, pattern: str, must_contain: str) -> Column:
+def extracted(lines, pattern: str, *must_contain: str) -> Column:
     found = F.transform(
-        F.filter(lines, lambda x: x.contains(must_contain)),
+        F.filter(lines, lambda x: has_any(x, must_contain)),
         lambda x: F.regexp_extract(x, spaced(pattern), 1),
     )
     return F.filter(found, lambda x: x != "")
@@ -167,7 +234,7 @@ def extracted(lines, pattern: str, must_contain: str) -> Column:
 def file_hint(lines) -> Column:
     """Best-guess file for a window of normalised lines."""
     files = F.filter(
-        extracted(lines, P.SOURCE_FILE, "."), lambda f: ~f.contains("node_modules/")
+        extracted(lines, P.SOURCE_FILE, *P.SOURCE_NEEDS), lambda f: ~f.contains("node_modules/")
     )
     return let(
         files,

@@ -190,19 +190,78 @@ def samples(pattern):
     return [re.sub(r"\\(.)", r"\1", t).replace("\x01", "(").replace("\x02", ")") for t in flat]
 
 
+def all_lines():
+    """Lines for every pattern, in other cases, behind markers, and lines of test data and noise."""
+    from faultline.functions import patterns as P
+
+    lines = {t for rule in P.RULES for p in rule[3] for t in samples(p)}
+    lines |= {t.swapcase() for t in lines} | {"[ERROR] " + t for t in lines}
+    lines |= {
+        "\x1b[31m2024-02-03T04:05:06.123Z ##[error]\r at /a/b/c/d.ts:12:3 took 12 ms", "2024-02-03 [12:00:01] x  y\tz",
+        "##\x1b[0m[error] 1", "##\r[group]x", "C:\\a\\b\\c.kt (3,14): pid = 4711 #12 0XFF 12 KB 3 bytes", "<TS> <TS> <TS> <TS> <TS> x",
+        "deadbeef1 abcdefab 123e4567-e89b-12d3-a456-426614174000 localhost:8080 LiNe 12", "[ <TS> ] ##[debug] <TS>x",
+        "-----", "== ==", "[INFO] ----", "> 12 | x", "|   ^^^", "Downloading x", "Progress", "Requirement already satisfied", "12 |",
+        "a.swift", "b.vue:3", "x.cpp", "y.hpp", "z.mjs", "src/a.test.tsx", "no file", "at a.b.CTest.run(CTest.java:3)", "",
+    }
+    return sorted(lines)
+
+
 def test_needed_texts_never_hide_a_rule(spark):
-    """Whatever a rule's patterns match also holds one of its needed texts."""
+    """Whatever a pattern matches also holds one of its needed texts."""
+    from faultline.functions import patterns as P
+
+    df = spark.createDataFrame([(t,) for t in all_lines()], "line string")
+    for rule, needed in zip(P.RULES, P.NEEDED, strict=True):
+        columns = {f"p{j}": F.col("line").rlike(sig.spaced(p)) for j, p in enumerate(rule[3])}
+        rows = df.select("line", *[c.alias(n) for n, c in columns.items()]).collect()
+        for j, texts in enumerate(needed):
+            matched = [r.line for r in rows if r[f"p{j}"]]
+            assert matched, f"no sample for {rule[3][j]}"
+            for line in matched:
+                found = []
+                for text in texts:
+                    word = text.removeprefix("^") if len(text) > 1 else text
+                    where = line if word != word.lower() else line.lower()
+                    found.append(where.startswith(word) if word != text else word in where)
+                assert any(found), (rule[3][j], line)
+
+
+def test_guards_change_no_line(spark):
+    """Rewrites, noise and file names with and without the texts they need."""
+    from faultline.functions import patterns as P
+    from faultline.functions.text import trim
+
+    df = spark.createDataFrame([(t,) for t in all_lines()], "line string").withColumn("plain", trim(sig.rewritten(F.col("line"), P.REWRITES)))
+    assert len(P.REWRITE_NEEDS) == len(P.REWRITES)
+    noisy = (F.length("plain") < 3) | F.col("plain").rlike(sig.any_of(P.NOISE))
+    hint = F.regexp_extract("plain", sig.spaced(P.SOURCE_FILE), 1)
+    rows = df.select(
+        "line", "plain", sig.normalise("line").alias("guarded"), noisy.alias("noise"), sig.is_noise("plain").alias("guarded_noise"),
+        hint.alias("file"), F.coalesce(F.get(sig.extracted(F.array("plain"), P.SOURCE_FILE, *P.SOURCE_NEEDS), F.lit(0)), F.lit("")).alias("guarded_file"),
+    ).collect()
+    for r in rows:
+        assert (r.guarded, r.guarded_noise, r.guarded_file) == (r.plain, r.noise, r.file), r.line
+    assert sum(r.line != r.plain for r in rows) > 20 and sum(r.noise for r in rows) > 5 and sum(r.file != "" for r in rows) > 5
+
+
+def test_stages_find_the_lowest_priority(spark):
+    """One line of every rule in all pairs: the winner is that of one pass over all rules."""
     from faultline.functions import patterns as P
 
-    lines = sorted({t for rule in P.RULES for p in rule[3] for t in samples(p)})
-    lines += [t.swapcase() for t in lines] + ["[ERROR] " + t for t in lines]
-    df = spark.createDataFrame([(t,) for t in lines], "line string")
-    hits = df.select("line", *[F.col("line").rlike(sig.any_of(rule[3])).alias(f"r{i}") for i, rule in enumerate(P.RULES)]).collect()
-    for i, needed in enumerate(P.NEEDED):
-        matched = [r.line for r in hits if r[f"r{i}"]]
-        assert matched, f"no sample for rule {i}"
-        for line in matched:
-            assert any(w in line.lower() for w in needed), (i, line)
+    numbers = [n for stage in sig.stages() for n in stage]
+    assert numbers == list(range(len(P.RULES))) and len(sig.stages()) < len(P.RULES)
+    firsts = [samples(rule[3][0])[0] for rule in P.RULES]
+    logs = [f"{a}\n{b}" for a in firsts for b in firsts[::5]]
+    df = spark.createDataFrame([(i, log) for i, log in enumerate(logs)], "log_id long, log_text string")
+    got = {r.log_id: (r.priority, r.line_index) for r in fp.classify_logs(df).collect()}
+    lines = df.select("log_id", F.posexplode(F.split("log_text", "\n")).alias("i", "raw")).withColumn("line", sig.normalise("raw"))
+    rule = F.coalesce(*[F.when(F.col("line").rlike(sig.any_of(r[3])), n) for n, r in enumerate(P.RULES)])
+    want = {}
+    for r in lines.filter(F.lower("raw").rlike("|".join(re.escape(w) for w in P.TRIGGER_WORDS))).withColumn("rule", rule).collect():
+        if r.rule is not None:
+            key = (P.RULES[r.rule][1], -r.i)
+            want[r.log_id] = min(want.get(r.log_id, key), key)
+    assert got == {k: (p, -i) for k, (p, i) in want.items()}
 
 
 @pytest.mark.parametrize("space", ["﻿", " ", " ", "　"])
