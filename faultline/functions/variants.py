@@ -79,17 +79,24 @@ UNCLEAR_STARTS = [*"tf[{-0123456789"]
 UNCLEAR = r"^(?:true$|false$|[\[{]|-?\d+\.\d*0$)"
 
 
-def one_text(value, path: str) -> Column:
-    steps = "$" + "".join(f"['{key}']" for key in path.split("."))
+def string_at(value, path: str) -> Column:
+    """The value at a path as a string, whatever its type."""
+    return F.try_variant_get(value, "$" + "".join(f"['{key}']" for key in path.split(".")), "string")
+
+
+def is_unclear(text) -> Column:
+    return F.substring(text, 1, 1).isin(UNCLEAR_STARTS) & text.rlike(UNCLEAR)
 
-    def typed(x):
-        return F.when(is_string(x), filled(as_string(x))).when(is_number(x), number_text(x))
 
+def typed_text(value) -> Column:
+    """A trimmed non-blank string, or a number as text; null for any other value."""
+    return F.when(is_string(value), filled(as_string(value))).when(is_number(value), number_text(value))
+
+
+def one_text(value, path: str) -> Column:
     return let(
-        F.try_variant_get(value, steps, "string"),
-        lambda s: F.when(
-            F.substring(s, 1, 1).isin(UNCLEAR_STARTS) & s.rlike(UNCLEAR), let(F.try_variant_get(value, steps, "variant"), typed)
-        ).otherwise(filled(s)),
+        string_at(value, path),
+        lambda s: F.when(is_unclear(s), let(at(value, path), typed_text)).otherwise(filled(s)),
     )
 
 

@@ -1,6 +1,7 @@
 """Webhook deliveries to normalised failures: (delivery_id, received_at, headers, raw_body)."""
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,164 +104,189 @@ def incoming(**fields) -> Column:
     return F.struct(*[fields[name].cast("long" if name == "occurred_at" else "string").alias(name) for name in INCOMING])
 
 
+UNCLEAR = "\x00?"  # stands for a text whose JSON type must be looked at
+
+
+class Reader:
+    """The texts and times an adapter reads from a payload, each by its path.
+
+    An adapter written with a reader is an expression over one column of values, which
+    ``values`` fills: every path is read once, all texts are cleaned by one function, and
+    the plan stays flat and small however many paths there are.
+    """
+
+    def __init__(self, column: str):
+        self.held = F.col(column)
+        self.paths: dict[str, int] = {}
+        self.times: dict[str, int] = {}
+
+    def text(self, *paths: str) -> Column:
+        """First path that holds a trimmed non-blank string, or a number as text."""
+        return F.coalesce(*[self.one(p) for p in paths])
+
+    def one(self, path: str) -> Column:
+        place = self.paths.setdefault(path, len(self.paths))
+        value = F.get(self.held["texts"], F.lit(place))
+        return F.when(value == UNCLEAR, V.typed_text(V.at(F.col("payload"), path))).otherwise(value)
+
+    def log_text(self, *paths: str) -> Column:
+        return self.text(*LOG_KEYS, *paths)
+
+    def millis(self, *paths: str) -> Column:
+        places = [self.times.setdefault(p, len(self.times)) for p in paths]
+        return F.coalesce(*[F.get(self.held["times"], F.lit(n)) for n in places])
+
+    def values(self, wanted: Column) -> Column:
+        """What the column holds on rows that are wanted; to be called when the adapter is written."""
+        payload = F.col("payload")
+
+        def cleaned(s):
+            return F.when(V.is_unclear(s), UNCLEAR).otherwise(filled(s))
+
+        texts = F.transform(F.array(*[V.string_at(payload, p) for p in self.paths]), cleaned)
+        times = F.array(*[V.millis_at(payload, p) for p in self.times])
+        return F.when(wanted, F.struct(texts.alias("texts"), times.alias("times")))
+
+
 # ---- adapters: struct when the payload is a failure of that provider, else null
-def from_github(v) -> Column:
-    def adapt(run):
-        is_check = V.object_at(v, "check_run").isNotNull()
-        status = V.text_at(run, "status")
-        conclusion = F.lower(V.text_at(run, "conclusion"))
-        repo = F.coalesce(
-            V.text_at(v, "repository.full_name", "repository.name"),
-            V.text_at(run, "repository.full_name"),
-        )
-        job = F.coalesce(
-            V.text_at(run, "name", "display_title"),
-            F.when(is_check, "check").otherwise("workflow"),
-        )
-        output = F.concat_ws(
-            "\n",
-            V.text_at(run, "output.title"),
-            V.text_at(run, "output.summary"),
-            V.text_at(run, "output.text"),
-        )
-        sentence = F.concat(
-            F.lit("GitHub Actions "),
-            F.when(is_check, "check_run").otherwise("workflow_run"),
-            F.lit(' "'), job, F.lit('" concluded: '), conclusion,
-            F.lit(". No log body was included in the webhook payload."),
-        )
-        out = incoming(
-            provider=F.lit("github"),
-            repo=repo,
-            branch=clean_branch(
-                F.coalesce(
-                    V.text_at(run, "head_branch", "check_suite.head_branch"),
-                    V.text_at(v, "workflow_run.head_branch"),
-                )
-            ),
-            pipeline_id=F.coalesce(
-                V.text_at(run, "id", "run_number", "check_suite.id"),
-                V.text_at(v, "repository.id"),
-                F.lit("unknown"),
-            ),
-            job_name=job,
-            run_url=V.text_at(run, "html_url", "url", "details_url"),
-            commit_sha=V.text_at(run, "head_sha", "head_commit.id"),
-            author=F.coalesce(
-                V.text_at(run, "head_commit.author.name", "actor.login", "triggering_actor.login"),
-                V.text_at(v, "sender.login"),
-            ),
-            log_text=F.coalesce(log_text(v), let(output, present), sentence),
-            occurred_at=V.millis_at(run, "updated_at", "completed_at", "created_at"),
-        )
-        fits = (
-            (status.isNull() | (status == "completed"))
-            & conclusion.isin(GITHUB_FAILURES)
-            & repo.isNotNull()
-        )
-        return F.when(run.isNotNull() & fits, out)
+def is_object(path: str) -> Column:
+    return F.coalesce(V.is_object(V.at(F.col("payload"), path)), F.lit(False))
 
-    return let(F.coalesce(V.object_at(v, "workflow_run"), V.object_at(v, "check_run")), adapt)
 
+def from_github(r: Reader) -> Column:
+    is_run, is_check = is_object("workflow_run"), is_object("check_run")
 
-def from_jenkins(v) -> Column:
-    def adapt(build):
-        phase = F.upper(V.text_at(build, "phase"))
-        status = F.upper(V.text_at(build, "status"))
-        job = F.coalesce(V.text_at(v, "name", "displayName"), F.lit("jenkins-job"))
-        sentence = F.concat(
-            F.lit('Jenkins job "'), job, F.lit('" build #'),
-            F.coalesce(V.text_at(build, "number"), F.lit("?")),
-            F.lit(" finished with status "), status,
-            F.lit(". No console log was included in the notification payload."),
-        )
-        out = incoming(
-            provider=F.lit("jenkins"),
-            repo=F.coalesce(repo_from_scm(V.text_at(build, "scm.url")), job),
-            branch=clean_branch(V.text_at(build, "scm.branch")),
-            pipeline_id=F.coalesce(V.text_at(build, "number", "queue_id", "url"), F.lit("unknown")),
-            job_name=job,
-            run_url=F.coalesce(V.text_at(build, "full_url", "url"), V.text_at(v, "url")),
-            commit_sha=V.text_at(build, "scm.commit"),
-            author=V.text_at(build, "parameters.author", "scm.culprits.0"),
-            log_text=F.coalesce(
-                log_text(v, "build.log", "build.consoleText", "build.output"), sentence
-            ),
-            occurred_at=V.millis_at(build, "timestamp"),
+    def of_run(read, *paths):
+        """From the workflow run, or from the check run if there is no workflow run."""
+        return F.when(is_run, read(*[f"workflow_run.{p}" for p in paths])).when(
+            is_check, read(*[f"check_run.{p}" for p in paths])
         )
-        fits = (phase.isNull() | phase.isin(JENKINS_PHASES)) & status.isin(JENKINS_FAILURES)
-        return F.when(build.isNotNull() & fits, out)
 
-    return let(V.object_at(v, "build"), adapt)
+    def run(*paths):
+        return of_run(r.text, *paths)
+
+    status = run("status")
+    conclusion = F.lower(run("conclusion"))
+    repo = F.coalesce(r.text("repository.full_name", "repository.name"), run("repository.full_name"))
+    job = F.coalesce(run("name", "display_title"), F.when(is_check, "check").otherwise("workflow"))
+    output = F.concat_ws("\n", run("output.title"), run("output.summary"), run("output.text"))
+    sentence = F.concat(
+        F.lit("GitHub Actions "),
+        F.when(is_check, "check_run").otherwise("workflow_run"),
+        F.lit(' "'), job, F.lit('" concluded: '), conclusion,
+        F.lit(". No log body was included in the webhook payload."),
+    )
+    out = incoming(
+        provider=F.lit("github"),
+        repo=repo,
+        branch=clean_branch(
+            F.coalesce(run("head_branch", "check_suite.head_branch"), r.text("workflow_run.head_branch"))
+        ),
+        pipeline_id=F.coalesce(
+            run("id", "run_number", "check_suite.id"), r.text("repository.id"), F.lit("unknown")
+        ),
+        job_name=job,
+        run_url=run("html_url", "url", "details_url"),
+        commit_sha=run("head_sha", "head_commit.id"),
+        author=F.coalesce(
+            run("head_commit.author.name", "actor.login", "triggering_actor.login"), r.text("sender.login")
+        ),
+        log_text=F.coalesce(r.log_text(), present(output), sentence),
+        occurred_at=of_run(r.millis, "updated_at", "completed_at", "created_at"),
+    )
+    fits = (
+        (is_run | is_check)
+        & (status.isNull() | (status == "completed"))
+        & conclusion.isin(GITHUB_FAILURES)
+        & repo.isNotNull()
+    )
+    return F.when(fits, out)
+
+
+def from_jenkins(r: Reader) -> Column:
+    phase = F.upper(r.text("build.phase"))
+    status = F.upper(r.text("build.status"))
+    job = F.coalesce(r.text("name", "displayName"), F.lit("jenkins-job"))
+    sentence = F.concat(
+        F.lit('Jenkins job "'), job, F.lit('" build #'),
+        F.coalesce(r.text("build.number"), F.lit("?")),
+        F.lit(" finished with status "), status,
+        F.lit(". No console log was included in the notification payload."),
+    )
+    out = incoming(
+        provider=F.lit("jenkins"),
+        repo=F.coalesce(repo_from_scm(r.text("build.scm.url")), job),
+        branch=clean_branch(r.text("build.scm.branch")),
+        pipeline_id=F.coalesce(r.text("build.number", "build.queue_id", "build.url"), F.lit("unknown")),
+        job_name=job,
+        run_url=r.text("build.full_url", "build.url", "url"),
+        commit_sha=r.text("build.scm.commit"),
+        author=r.text("build.parameters.author", "build.scm.culprits.0"),
+        log_text=F.coalesce(r.log_text("build.log", "build.consoleText", "build.output"), sentence),
+        occurred_at=r.millis("build.timestamp"),
+    )
+    fits = (phase.isNull() | phase.isin(JENKINS_PHASES)) & status.isin(JENKINS_FAILURES)
+    return F.when(is_object("build") & fits, out)
 
 
-def from_gitlab(v) -> Column:
-    def adapt(attrs):
-        object_kind = V.text_at(v, "object_kind")
-        status = F.lower(
-            F.coalesce(V.text_at(attrs, "status"), V.text_at(v, "build_status", "status"))
-        )
-        repo = V.text_at(v, "project.path_with_namespace", "project.name", "repository.name")
-        job = F.coalesce(
-            V.text_at(v, "build_name"), V.text_at(attrs, "name", "ref"), F.lit("pipeline")
-        )
-        sentence = F.concat(
-            F.lit("GitLab "), object_kind, F.lit(' "'), job, F.lit('" finished with status '),
-            status, F.lit(". No job log was included in the webhook payload."),
-        )
-        out = incoming(
-            provider=F.lit("gitlab"),
-            repo=repo,
-            branch=clean_branch(F.coalesce(V.text_at(attrs, "ref"), V.text_at(v, "ref"))),
-            pipeline_id=F.coalesce(
-                V.text_at(attrs, "id"), V.text_at(v, "build_id", "pipeline_id"), F.lit("unknown")
-            ),
-            job_name=job,
-            run_url=F.coalesce(V.text_at(attrs, "url"), V.text_at(v, "project.web_url")),
-            commit_sha=F.coalesce(
-                V.text_at(v, "commit.sha", "commit.id"), V.text_at(attrs, "sha")
-            ),
-            author=V.text_at(v, "user.username", "user.name", "commit.author.name"),
-            log_text=F.coalesce(log_text(v, "build_log", "object_attributes.log"), sentence),
-            occurred_at=F.coalesce(
-                V.millis_at(attrs, "finished_at"), V.millis_at(v, "build_finished_at")
-            ),
-        )
-        fits = object_kind.isin(GITLAB_KINDS) & status.isin(GITLAB_FAILURES) & repo.isNotNull()
-        return F.when(fits, out)
+def from_gitlab(r: Reader) -> Column:
+    has_attributes = is_object("object_attributes")
 
-    return let(V.object_at(v, "object_attributes"), adapt)
+    def attribute(*paths):
+        return F.when(has_attributes, r.text(*[f"object_attributes.{p}" for p in paths]))
 
+    object_kind = r.text("object_kind")
+    status = F.lower(F.coalesce(attribute("status"), r.text("build_status", "status")))
+    repo = r.text("project.path_with_namespace", "project.name", "repository.name")
+    job = F.coalesce(r.text("build_name"), attribute("name", "ref"), F.lit("pipeline"))
+    sentence = F.concat(
+        F.lit("GitLab "), object_kind, F.lit(' "'), job, F.lit('" finished with status '),
+        status, F.lit(". No job log was included in the webhook payload."),
+    )
+    out = incoming(
+        provider=F.lit("gitlab"),
+        repo=repo,
+        branch=clean_branch(F.coalesce(attribute("ref"), r.text("ref"))),
+        pipeline_id=F.coalesce(attribute("id"), r.text("build_id", "pipeline_id"), F.lit("unknown")),
+        job_name=job,
+        run_url=F.coalesce(attribute("url"), r.text("project.web_url")),
+        commit_sha=F.coalesce(r.text("commit.sha", "commit.id"), attribute("sha")),
+        author=r.text("user.username", "user.name", "commit.author.name"),
+        log_text=F.coalesce(r.log_text("build_log", "object_attributes.log"), sentence),
+        occurred_at=F.coalesce(
+            F.when(has_attributes, r.millis("object_attributes.finished_at")), r.millis("build_finished_at")
+        ),
+    )
+    fits = object_kind.isin(GITLAB_KINDS) & status.isin(GITLAB_FAILURES) & repo.isNotNull()
+    return F.when(fits, out)
 
-def from_manual(v, default_id) -> Column:
+
+def from_manual(r: Reader, default_id: str = "delivery_id") -> Column:
     """Permissive adapter: a repo and some log text are enough."""
-    repo = V.text_at(
-        v, "repo", "repository", "repo_name", "repoName", "project", "repository.full_name"
-    )
-    log = log_text(v, "message", "error", "text")
-    hint = F.lower(V.text_at(v, "provider"))
+    repo = r.text("repo", "repository", "repo_name", "repoName", "project", "repository.full_name")
+    log = r.log_text("message", "error", "text")
+    hint = F.lower(r.text("provider"))
     out = incoming(
         provider=F.when(hint.isin("github", "jenkins", "gitlab"), hint).otherwise("manual"),
         repo=repo,
-        branch=clean_branch(V.text_at(v, "branch", "ref", "head_branch")),
+        branch=clean_branch(r.text("branch", "ref", "head_branch")),
         pipeline_id=F.coalesce(
-            V.text_at(
-                v, "pipelineId", "pipeline_id", "runId", "run_id", "buildNumber", "build_number"
-            ),
+            r.text("pipelineId", "pipeline_id", "runId", "run_id", "buildNumber", "build_number"),
             F.concat(F.lit("manual-"), col(default_id)),
         ),
-        job_name=F.coalesce(
-            V.text_at(v, "jobName", "job_name", "job", "workflow", "name"), F.lit("manual")
-        ),
-        run_url=V.text_at(v, "runUrl", "run_url", "url", "html_url"),
-        commit_sha=V.text_at(v, "commitSha", "commit_sha", "commit", "sha"),
-        author=V.text_at(v, "author", "actor", "user"),
+        job_name=F.coalesce(r.text("jobName", "job_name", "job", "workflow", "name"), F.lit("manual")),
+        run_url=r.text("runUrl", "run_url", "url", "html_url"),
+        commit_sha=r.text("commitSha", "commit_sha", "commit", "sha"),
+        author=r.text("author", "actor", "user"),
         log_text=log,
-        occurred_at=V.millis_at(v, "occurredAt", "occurred_at", "timestamp"),
+        occurred_at=r.millis("occurredAt", "occurred_at", "timestamp"),
     )
     return F.when(repo.isNotNull() & log.isNotNull(), out)
 
 
+ADAPTERS = {"github": from_github, "jenkins": from_jenkins, "gitlab": from_gitlab, "manual": from_manual}
+
+
 def provider_of(headers, v) -> Column:
     """Provider by headers, then by the explicit field, then by payload shape."""
     found = None
@@ -298,47 +324,44 @@ def extract_log_text(deliveries: DataFrame, *paths: str) -> DataFrame:
     )
 
 
+def once(rows: DataFrame, *values: Column) -> DataFrame:
+    """Adds columns that are computed once per row: a projection would be inlined into every use."""
+    return rows.select("*", F.inline(F.array(F.struct(*values))))
+
+
 @once_per_context
-def adapted(provider: str) -> Column:
-    adapter = {
-        "github": from_github,
-        "jenkins": from_jenkins,
-        "gitlab": from_gitlab,
-        "manual": lambda v: from_manual(v, "delivery_id"),
-    }[provider]
-    return let(F.col("payload"), adapter)
+def adapter(provider: str) -> tuple[Reader, Column]:
+    reader = Reader(f"_{provider}")
+    return reader, ADAPTERS[provider](reader)
 
 
 def adapt(deliveries: DataFrame, provider: str) -> DataFrame:
     """Rows one adapter accepts, whatever the other adapters would say."""
-    return (
-        parsed(deliveries)
-        .filter("payload IS NOT NULL")
-        .select("delivery_id", F.explode(F.array(adapted(provider))).alias("f"))
-        .filter("f IS NOT NULL")
-        .select("delivery_id", "f.*")
-    )
+    reader, fields = adapter(provider)
+    rows = parsed(deliveries).filter("payload IS NOT NULL")
+    read = once(rows, reader.values(F.lit(True)).alias(f"_{provider}"))
+    return once(read, fields.alias("f")).filter("f IS NOT NULL").select("delivery_id", "f.*")
 
 
-@once_per_context
-def dispatched() -> Column:
-    """struct(detected, f): the provider and the fields its adapter, or the manual one, found."""
-
-    def dispatch(payload):
-        manual = from_manual(payload, "delivery_id")
-        return let(
-            provider_of("headers", payload),
-            lambda provider: F.struct(
-                provider.alias("detected"),
-                F.when(provider == "github", F.coalesce(from_github(payload), manual))
-                .when(provider == "jenkins", F.coalesce(from_jenkins(payload), manual))
-                .when(provider == "gitlab", F.coalesce(from_gitlab(payload), manual))
-                .otherwise(manual)
-                .alias("f"),
-            ),
-        )
+def dispatched(rows: DataFrame, usable: Column) -> DataFrame:
+    """Adds ``detected``, the provider, and ``f``, the fields its adapter, or the manual one, found.
 
-    return let(F.col("payload"), dispatch)
+    A payload is read for the provider it is from and for the manual adapter.
+    """
+    rows = once(rows, F.when(usable, provider_of("headers", F.col("payload"))).alias("detected"))
+    adapters = {name: adapter(name) for name in ADAPTERS}
+    detected = F.col("detected")
+    rows = once(rows, *[
+        reader.values(detected.isNotNull() if name == "manual" else detected == name).alias(f"_{name}")
+        for name, (reader, _) in adapters.items()
+    ])
+    own = reduce(
+        lambda found, name: found.when(detected == name, adapters[name][1]),
+        [n for n in ADAPTERS if n not in ("github", "manual")],
+        F.when(detected == "github", adapters["github"][1]),
+    )
+    manual = F.when(detected.isNotNull(), adapters["manual"][1])
+    return once(rows, F.coalesce(own, manual).alias("f"))
 
 
 def normalise_deliveries(deliveries: DataFrame, query: str | None = None) -> DataFrame:
@@ -358,14 +381,8 @@ def normalise_deliveries(deliveries: DataFrame, query: str | None = None) -> Dat
             | F.coalesce(q["approval"] == "1", F.lit(False))
         )
     fits = F.length("raw_body") <= S.BODY_CHARS
-    found = F.when(fits & v.isNotNull(), dispatched())
-    checked = (
-        parsed(deliveries)
-        .select("*", F.explode(F.array(found)).alias("d"))
-        .select("*", "d.*")
-        .withColumn(
-            "reason", F.when(~fits, "body is too long").otherwise(body_reason("raw_body", v))
-        )
+    checked = dispatched(parsed(deliveries), fits & v.isNotNull()).withColumn(
+        "reason", F.when(~fits, "body is too long").otherwise(body_reason("raw_body", v))
     )
     outcome = (
         F.when(F.col("reason").isNotNull(), "rejected")
