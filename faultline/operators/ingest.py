@@ -144,7 +144,7 @@ class Reader:
             return F.when(V.is_unclear(s), UNCLEAR).otherwise(filled(s))
 
         texts = F.transform(F.array(*[V.string_at(payload, p) for p in self.paths]), cleaned)
-        times = F.array(*[V.millis_at(payload, p) for p in self.times])
+        times = F.transform(F.array(*[V.at(payload, p) for p in self.times]), V.millis)
         return F.when(wanted, F.struct(texts.alias("texts"), times.alias("times")))
 
 

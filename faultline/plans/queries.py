@@ -182,6 +182,29 @@ def _(t):
     return ingest.normalise_deliveries(t.deliveries)
 
 
+# (how a text is written, its SQL value from the second, the minute and the day)
+_written = [
+    ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "second"),
+    ("dd MMM yyyy HH:mm:ss '+0530'", "second - 19800000"),
+    ("MMM d, yyyy h:mm a 'EST'", "minute + 18000000"),
+    ("yyyy/MM/dd HH:mm:ss", "second"),
+    ("M/d/yyyy", "day"),
+    ("EEE MMM dd yyyy HH:mm:ss 'GMT+0100 (Central European Time)'", "second - 3600000"),
+    ("dd-MMM-yyyy HH:mm:ss 'PDT'", "second + 25200000"),
+    ("'soon, on day' d", "NULL"),
+]
+
+
+@query("date_texts", f"""
+SELECT event_id, cast(CASE event_id % 8 {' '.join(f'WHEN {i} THEN {value}' for i, (_, value) in enumerate(_written))} END AS BIGINT) AS at_ms
+FROM (SELECT event_id, epoch_ms(date_trunc('second', ts)) AS second, epoch_ms(date_trunc('minute', ts)) AS minute,
+  epoch_ms(date_trunc('day', ts)) AS day FROM events)
+""")
+def _(t):
+    kinds = [F.when(F.col("event_id") % 8 == i, F.date_format("ts", form)) for i, (form, _) in enumerate(_written)]
+    return t.raw("events").select("event_id", V.text_millis(F.coalesce(*kinds)).alias("at_ms"))
+
+
 @query("to_epoch_ms", f"""
 SELECT event_id, floor(CASE WHEN value < 1e12 THEN value * 1000 ELSE value END + 0.5)::BIGINT AS from_number,
   {views.DuckDialect.millis('ts')} AS from_text,

@@ -2,11 +2,13 @@ import hashlib
 import hmac
 import json
 import random
+from datetime import datetime, timezone
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from faultline import schemas as S
+from faultline.functions import variants as V
 from faultline.functions import vectors as X
 from faultline.functions.ordering import with_row_numbers
 from faultline.operators import failures, ingest, replies, stats, transcripts, triage, vectors
@@ -284,3 +286,26 @@ def test_many_decisions_for_one_failure(spark):
     pending = spark.createDataFrame([("hot", NOW, "new", True), ("cold", NOW, "new", True)], "failure_id string, pending_at long, verdict string, require_approval boolean")
     got = {r.failure_id: r.approval for r in triage.triage_outcomes(pending, approvals).collect()}
     assert got == {"hot": "approved", "cold": "timed_out"}
+
+
+def utc(*parts):
+    return int(datetime(*parts, tzinfo=timezone.utc).timestamp() * 1000)
+
+
+AT = utc(2026, 2, 17, 11, 4, 28)
+DATES = {
+    "Tue, 17 Feb 2026 11:04:28 GMT": AT, "17 Feb 2026 11:04:28 +0100": AT - S.HOUR_MS,
+    "Tue Feb 17 2026 11:04:28 GMT+0000 (Coordinated Universal Time)": AT, "Feb 17, 2026 11:04:28 PM": AT + 12 * S.HOUR_MS,
+    "February 17, 2026": utc(2026, 2, 17), "2026/02/17 11:04:28": AT, "2/17/2026 11:04": utc(2026, 2, 17, 11, 4),
+    "2/17/2026, 12:04:28 AM": utc(2026, 2, 17, 0, 4, 28), "17-Feb-2026 11:04:28 PST": AT + 8 * S.HOUR_MS,
+    "2026/2/7 1:02:03.25 -0530": utc(2026, 2, 7, 6, 32, 3) + 250, "Sept 5, 2026": utc(2026, 9, 5),
+    "2026-02-17T11:04:28Z": AT, "2026-02-17 11:04:28 UTC": AT, "2026-02-17": utc(2026, 2, 17),
+    "2026-02-17T11:04:28.5+02:00": AT - 2 * S.HOUR_MS + 500, "1771326268": 1771326268000, " 1771326268000 ": 1771326268000,
+    "17 Feb 2026 25:00:00": None, "Foo 17 2026": None, "31 Feb 2026": None, "17 Feb 2026 11:04:28 XYZ": None,
+    "13/13/2026": None, "2/17/2026 0:04 AM": None, "soon": None, "": None, None: None,
+}
+
+
+def test_dates_of_many_shapes(spark):
+    df = spark.createDataFrame([(t,) for t in DATES], "t string").select("t", V.text_millis(F.col("t")).alias("ms"))
+    assert {r.t: r.ms for r in df.collect()} == DATES
