@@ -27,13 +27,15 @@ rows equal in id and text count as copies in any order; runs may overlap their
 own copy inside a text. Other columns pass through; ``n_chars`` is set anew.
 """
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.ordering import with_row_numbers
 from faultline.functions.text import let
 from faultline.llm.common import text_of, word_count
-from faultline.sources.checkpoints import checkpointed
+from faultline.sources.checkpoints import checkpoint_dir, checkpointed
 
 MIN_WORDS = 50
 TEXT = ["_f1", "_f2"]  # a text by two independent 64-bit hashes
@@ -91,7 +93,11 @@ def asked_runs(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
-    """(start, end) of the asked runs that an earlier suffix shares."""
+    """(start, end) of the asked runs that an earlier suffix shares.
+
+    Every level adds its copies to a table in the shared folder, two numbers a row, so no
+    plan holds two levels.
+    """
     ids = numbered(lines, ["h1", "h2"])
     ranks = checkpointed(lines.join(ids, ["h1", "h2"]).select("pos", *TEXT, "rank"))
     ends = ranks.select(F.col("pos").alias("end"))
@@ -100,7 +106,8 @@ def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
     )
     asked = checkpointed(asked.join(ends, "end", "left_semi").distinct())
     longest = asked.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0] or 0
-    found, width = None, 1
+    table, width = f"{checkpoint_dir(lines.sparkSession)}/copies-{uuid4().hex}", 1
+    asked.filter("false").select("start", "end").write.parquet(table)
     while width <= longest:
         length = F.col("end") - F.col("start") + 1
         level = asked.filter((length >= width) & (length < 2 * width))
@@ -110,7 +117,7 @@ def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
         interval = ["length", "head", "tail"]
         earliest = named.groupBy(*interval).agg(F.min("start").alias("first"))
         copies = named.join(earliest, interval).filter("start > first").select("start", "end")
-        found = copies if found is None else found.unionByName(copies)
+        copies.write.mode("append").parquet(table)
         if 2 * width > longest:
             break
         after = ranks.select(
@@ -120,7 +127,7 @@ def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
         doubled = numbered(pairs, ["head", "next"])
         ranks = checkpointed(pairs.join(doubled, ["head", "next"]).select("pos", *TEXT, "rank"))
         width *= 2
-    return asked.select("start", "end") if found is None else found
+    return lines.sparkSession.read.parquet(table)
 
 
 def kept_spans(lines: DataFrame, copies: DataFrame) -> DataFrame:
@@ -160,8 +167,7 @@ def with_kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first, lines = line_sequence(keyed)  # the numbering has stored them
     spans = None
     if not lines.isEmpty():
-        copies = checkpointed(later_copies(lines, min_words))  # keeps the later plans small
-        spans = checkpointed(kept_spans(lines, copies))
+        spans = checkpointed(kept_spans(lines, later_copies(lines, min_words)))
     decided = first.withColumn("_first", F.lit(True))
     if spans is None:
         decided = decided.withColumn("kept", F.lit(None).cast("array<struct<from:int,to:int>>"))
