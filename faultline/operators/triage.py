@@ -14,22 +14,16 @@ EXPIRED_NOTE = (
 )
 
 
-def first_decisions(pending: DataFrame, approvals: DataFrame, salts: int = 16) -> DataFrame:
+def first_decisions(pending: DataFrame, approvals: DataFrame) -> DataFrame:
     """First approval of each pending failure within its window: (failure_id, decision).
 
-    Approvals are salted so that one failure with very many events is spread
-    over tasks; the decision is an aggregate, merged first per salt.
+    One row per failure on the pending side, and the decision is an aggregate that
+    merges before the shuffle, so a failure with very many events is cut up by the
+    adaptive skew join and reduced where it lies.
     """
-    salted = approvals.withColumn("salt", F.pmod(F.xxhash64("ts", "event_id"), F.lit(salts)))
-    windows = pending.select(
-        "failure_id",
-        F.col("pending_at"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"),
-    )
+    windows = pending.select("failure_id", "pending_at")
     close = F.col("pending_at") + S.APPROVAL_WINDOW_MS
-    hits = salted.join(windows, ["failure_id", "salt"]).filter(
-        F.col("ts").between(F.col("pending_at"), close)
-    )
+    hits = approvals.join(windows, "failure_id").filter(F.col("ts").between(F.col("pending_at"), close))
     decision = F.struct("approved", "edited_fix", "reviewer", "ts")
     return hits.groupBy("failure_id").agg(
         F.min_by(decision, F.struct("ts", "event_id")).alias("decision")

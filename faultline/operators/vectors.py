@@ -4,6 +4,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,8 @@ from faultline import schemas as S
 from faultline.functions import vectors as X
 from faultline.functions.text import let, trim
 
+QUERY_BLOCK = 8192  # queries scored together
+
 
 def normalise_vectors(df: DataFrame, vector: str = "vector") -> DataFrame:
     return df.withColumn(vector, X.normalise(vector))
@@ -26,29 +29,73 @@ def memory_candidates(
     dims: int = S.EMBEDDING_DIMS,
     resolved: int = S.RESOLVED_CANDIDATES,
     unresolved: int = S.UNRESOLVED_CANDIDATES,
+    hydrate=(),
 ) -> DataFrame:
     """Newest resolved and newest open failures of every repo, with a usable vector.
 
-    The rank limits apply on the map side as well, so a repo with very many
-    failures sends at most the limit per task to the shuffle. Only the narrow
-    columns take part. The limits come before the width check: a bad vector
-    uses up a slot.
+    One scan: the rank limit applies on the map side as well, so a repo with very many
+    failures sends at most the larger limit per task and bucket to the shuffle. Only the
+    narrow columns and those to ``hydrate`` take part. The limits come before the width
+    check: a bad vector uses up a slot.
     """
     bucket = F.when(F.col("status") == "resolved", 0).otherwise(1)
     order = Window.partitionBy("repo", "bucket").orderBy(F.desc("last_seen_at"), "id")
+    named = ("repo", "id", "last_seen_at", "vector")
     narrow = failures.filter(F.col("status") != "dismissed").select(
-        "repo", bucket.alias("bucket"), "id", "last_seen_at", "vector"
+        *named, bucket.alias("bucket"), *[c for c in hydrate if c not in named]
     )
-
-    def side(number: int, limit: int) -> DataFrame:
-        return (
-            narrow.filter(F.col("bucket") == number)
-            .withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= limit)
+    limit = F.when(F.col("bucket") == 0, resolved).otherwise(unresolved)
+    ranked = narrow.withColumn("rank", F.row_number().over(order)).filter(
+        (F.col("rank") <= max(resolved, unresolved)) & (F.col("rank") <= limit)
+    )
+    return ranked.filter(F.size("vector") == dims)
+
+
+def matrix_of(vectors: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Rows of ``dims`` doubles; shorter vectors are filled with zeros, longer ones cut."""
+    held = pa.concat_arrays(vectors.chunks)
+    lengths = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((len(lengths), max(dims, int(lengths.max(initial=0)))))
+    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
+    return out[:, :dims]
+
+
+def scores_of(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """All dot products of two blocks; each is summed alike, so equal vectors score equally."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        found = np.einsum("qd,cd->qc", queries, candidates)
+    return np.where(np.isfinite(found), found, 0.0)
+
+
+def block_scorer(k: int, min_score: float, kept: list[str]):
+    """The best candidates of every query of a block; ``kept`` columns come from the candidate."""
+
+    def score(queries: pa.Table, memory: pa.Table) -> pa.Table:
+        memory = memory.sort_by([("bucket", "ascending"), ("rank", "ascending")])
+        places: dict = {}
+        for place, id_ in enumerate(memory["id"].to_pylist()):
+            places.setdefault(id_, []).append(place)
+        rows, picked = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ranks, scores = np.zeros(0, np.int64), np.zeros(0)
+        if queries.num_rows and memory.num_rows:
+            dims = len(memory["vector"][0])
+            found = scores_of(matrix_of(queries["vector"], dims), matrix_of(memory["vector"], dims))
+            found[found < min_score] = -np.inf
+            for row, id_ in enumerate(queries["query_id"].to_pylist()):
+                found[row, places.get(id_, [])] = -np.inf
+            best = np.argsort(-found, axis=1, kind="stable")[:, :k]
+            hit = np.take_along_axis(found, best, axis=1)
+            rows, ranks = np.nonzero(hit > -np.inf)
+            picked, scores = best[rows, ranks], hit[rows, ranks]
+        asked, won = queries.take(pa.array(rows)), memory.take(pa.array(picked))
+        return pa.table(
+            [asked["query_id"], asked["repo"], pa.array(ranks + 1, pa.int32()), won["id"], pa.array(scores)]
+            + [won[c] for c in kept],
+            names=["query_id", "repo", "rank", "id", "score", *kept],
         )
 
-    both = side(0, resolved).unionByName(side(1, unresolved))
-    return both.filter(F.size("vector") == dims)
+    return score
 
 
 def top_k_similar(
@@ -56,42 +103,36 @@ def top_k_similar(
     candidates: DataFrame,
     k: int = S.MEMORY_K,
     min_score: float = S.SIMILARITY_THRESHOLD,
+    hydrate=(),
 ) -> DataFrame:
-    """Best candidates of each query (query_id, repo, vector): rank, id, score.
+    """Best candidates of each query (query_id, repo, vector): rank, id, score and candidate columns.
 
-    The candidates of a repo, 256 at most, become one array row. A query then
-    meets exactly one row, is scored in place, and only its winners leave: there
-    is no row per pair and no second shuffle. When the candidate table is small
-    at run time the join is a broadcast; otherwise a repo with very many queries
-    is split by the adaptive skew join.
+    The queries of a repo are cut into blocks of about ``QUERY_BLOCK`` and every block
+    meets the candidates of its repo, 256 at most, as one product of two matrices; only
+    the winners leave. A repo with very many queries is as many blocks as it needs.
     """
     k = max(1, min(k, S.MAX_NEIGHBOURS))
-    entry = F.struct("bucket", "rank", "id", F.col("vector").alias("cv"))
-    per_repo = candidates.groupBy("repo").agg(F.sort_array(F.collect_list(entry)).alias("memory"))
-
-    def scored(c, i):
-        return F.struct(
-            (-X.similarity(F.col("vector"), c["cv"])).alias("minus"),
-            i.alias("place"),
-            c["id"].alias("id"),
-        )
-
-    hits = F.filter(
-        F.transform(F.col("memory"), scored),
-        lambda h: (-h["minus"] >= min_score) & (h["id"] != F.col("query_id")),
+    # columns of their own, also where queries and candidates come from one table
+    asked = queries.select(*[F.col(c).alias(c) for c in ("query_id", "repo", "vector")])
+    asked = asked.filter("vector IS NOT NULL AND repo IS NOT NULL")
+    blocks = asked.groupBy("repo").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    memory = candidates.join(blocks, "repo").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
-    best = F.slice(F.sort_array(hits), 1, k)
-    return (
-        queries.join(per_repo, "repo")
-        .select("query_id", "repo", F.posexplode(best).alias("place", "hit"))
-        .select(
-            "query_id",
-            "repo",
-            (F.col("place") + 1).alias("rank"),
-            F.col("hit.id").alias("id"),
-            F.round(-F.col("hit.minus"), 12).alias("score"),
-        )
+    dealt = asked.join(blocks, "repo").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int"))
+    types = {f.name: f.dataType for f in (*candidates.schema, *queries.schema)}
+    kept = [c for c in hydrate if c != "id"]
+    schema = T.StructType([
+        T.StructField("query_id", types["query_id"]), T.StructField("repo", types["repo"]),
+        T.StructField("rank", T.IntegerType()), T.StructField("id", types["id"]),
+        T.StructField("score", T.DoubleType()), *[T.StructField(c, types[c]) for c in kept],
+    ])
+    scored = (
+        dealt.drop("blocks").groupBy("repo", "block")
+        .cogroup(memory.select("repo", "block", "bucket", "rank", "id", "vector", *kept).groupBy("repo", "block"))
+        .applyInArrow(block_scorer(k, min_score, kept), schema)
     )
+    return scored.withColumn("score", F.round("score", 12))
 
 
 def search_similar(
@@ -102,9 +143,11 @@ def search_similar(
     dims: int = S.EMBEDDING_DIMS,
     hydrate=("status",),
 ) -> DataFrame:
-    """Candidates, scores and the winners' columns. A query never finds itself."""
-    hits = top_k_similar(queries, memory_candidates(failures, dims), k, min_score)
-    return hits.join(failures.select("id", *hydrate), "id")
+    """Candidates, scores and the winners' columns. A query never finds itself.
+
+    The columns of the winners come from the candidates, which are read once.
+    """
+    return top_k_similar(queries, memory_candidates(failures, dims, hydrate=hydrate), k, min_score, hydrate)
 
 
 def missing_embeddings(failures: DataFrame, limit: int = 50) -> DataFrame:

@@ -606,6 +606,18 @@ def _(t):
     return neighbours_of(t, ("status", "signature_text")).withColumn("score", F.round("score", 6))
 
 
+@query("trim_neighbours", """
+SELECT query_id, n.id, rank, substring(repeat('line of ' || n.id || ' ', 200), 1, 1200) AS excerpt FROM sh_neighbours n
+""")
+def _(t):
+    long = F.repeat(F.concat(F.lit("line of "), "id", F.lit(" ")), F.lit(200))
+    asked = t.vectors.select(F.col("id").alias("query_id"), "repo", "vector")
+    near = vectors.search_similar(
+        asked, t.vectors.withColumn("excerpt", long), min_score=MIN_SCORE, dims=DIMS, hydrate=("excerpt",)
+    )
+    return context.trim_neighbours(near).select("query_id", "id", "rank", "excerpt")
+
+
 @query("missing_embeddings", """
 SELECT id, signature_text FROM fx_vectors WHERE len(list_filter(vector, lambda x: x <> 0)) = 0 ORDER BY last_seen_at DESC, id LIMIT 50
 """)

@@ -309,3 +309,27 @@ DATES = {
 def test_dates_of_many_shapes(spark):
     df = spark.createDataFrame([(t,) for t in DATES], "t string").select("t", V.text_millis(F.col("t")).alias("ms"))
     assert {r.t: r.ms for r in df.collect()} == DATES
+
+
+def test_search_of_odd_vectors(spark):
+    """Ties, repeated ids, other lengths, numbers that are none, and a hot repository in many blocks."""
+    inf, nan = float("inf"), float("nan")
+    memory = [
+        ("a", "r", "resolved", 3, [1.0, 0.0]), ("b", "r", "resolved", 2, [1.0, 0.0]), ("c", "r", "open", 9, [1.0, 0.0]),
+        ("d", "r", "open", 8, [nan, 1.0]), ("e", "r", "open", 7, [1.0]), ("f", None, "open", 7, [1.0, 0.0]), ("g", "s", "dismissed", 1, [1.0, 0.0]),
+    ]
+    asked = [("a", "r", [1.0, 0.0, 5.0]), ("x", "r", [0.9]), ("y", "r", [inf, 0.0]), ("z", "r", None), ("w", "s", [1.0, 0.0]), ("v", None, [1.0, 0.0])]
+    asked += [(f"h{i}", "r", [0.8, 0.0]) for i in range(20)]
+    m = spark.createDataFrame(memory, "id string, repo string, status string, last_seen_at long, vector array<float>")
+    q = spark.createDataFrame(asked, "query_id string, repo string, vector array<float>")
+    before, vectors.QUERY_BLOCK = vectors.QUERY_BLOCK, 3
+    try:
+        rows = vectors.search_similar(q, m, k=2, min_score=0.5, dims=2, hydrate=("status", "last_seen_at")).collect()
+    finally:
+        vectors.QUERY_BLOCK = before
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, round(r.score, 6), r.status, r.last_seen_at))
+    assert got.pop("a") == [(1, "b", 1.0, "resolved", 2), (2, "c", 1.0, "open", 9)]
+    assert got.pop("x") == [(1, "a", 0.9, "resolved", 3), (2, "b", 0.9, "resolved", 2)]
+    assert len(got) == 20 and all(v == [(1, "a", 0.8, "resolved", 3), (2, "b", 0.8, "resolved", 2)] for v in got.values())
