@@ -1,11 +1,7 @@
 """Free-form model replies to typed triage rows. No model is called."""
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from faultline import schemas as S
 from faultline.functions import variants as V
@@ -77,39 +73,54 @@ def strip_fences(reply) -> Column:
     return trim(F.regexp_replace(F.regexp_replace(body, OPEN_FENCE, ""), CLOSE_FENCE, ""))
 
 
-TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|["{}]', re.S)
+PIECE = r'(?s)[^"{}\\]*["{}\\]'  # plain characters and the structural one behind them
+SCAN = "struct<depth:int,quoted:boolean,escaped:boolean,at:int,start:int,spans:array<struct<start:int,size:int>>>"
 
 
-def balanced_spans(text: str) -> list[str]:
-    """Outermost brace-balanced spans of a text; braces inside JSON strings do not count."""
-    spans, start = [], text.find("{")
-    while start >= 0:
-        depth, end = 0, None
-        for token in TOKENS.finditer(text, start):
-            mark = token.group()
-            if mark == '"':
-                return spans  # a string that never ends: nothing after it can close
-            depth += (mark == "{") - (mark == "}")
-            if depth == 0:
-                end = token.end()
-                break
-        if end is None:
-            return spans
-        spans.append(text[start:end])
-        start = text.find("{", end)
-    return spans
+def balanced(text) -> Column:
+    """Outermost brace-balanced spans of a text; braces inside JSON strings do not count.
 
+    One pass over the structural characters, each with the plain ones in front of it.
+    Quotes count inside braces only, backslashes inside strings only; a brace or string
+    that never closes ends the scan.
+    """
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def balanced(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [] if t is None else balanced_spans(t))
+    def step(state, piece):
+        size = F.length(piece)
+        mark, at = F.right(piece, F.lit(1)), state["at"] + size
+        quoted, inside = state["quoted"], state["depth"] > 0
+        literal = quoted & state["escaped"] & (size == 1)  # the backslash was right in front
+        quote = (mark == '"') & ~literal & inside
+        opens, closes = ~quoted & (mark == "{"), ~quoted & inside & (mark == "}")
+        depth = state["depth"] + opens.cast("int") - closes.cast("int")
+        ended = closes & (depth == 0)
+        span = F.struct(state["start"].alias("start"), (at - state["start"]).alias("size"))
+        return F.struct(
+            depth.alias("depth"),
+            (quoted != quote).alias("quoted"),
+            (quoted & (mark == "\\") & ~literal).alias("escaped"),
+            at.alias("at"),
+            F.when(opens & ~inside, at - 1).otherwise(state["start"]).alias("start"),
+            F.when(ended, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"),
+        ).cast(SCAN)
+
+    begin = F.struct(
+        F.lit(0), F.lit(False), F.lit(False), F.lit(0), F.lit(0), F.array().cast("array<struct<start:int,size:int>>")
+    ).cast(SCAN)
+    return let(
+        col(text),
+        lambda t: F.transform(
+            F.aggregate(F.regexp_extract_all(t, F.lit(PIECE), F.lit(0)), begin, step)["spans"],
+            lambda s: F.substring(t, s["start"] + 1, s["size"]),
+        ),
+    )
 
 
 def extract_reply_json(df: DataFrame, reply: str = "reply") -> DataFrame:
     """Add ``object``: the JSON object text a reply carries, or null.
 
-    The whole text is tried in the JVM. Only replies that are not one clean
-    object go to the Arrow helper that finds balanced spans.
+    The whole text is tried first; only replies that are not one clean object are
+    scanned for balanced spans.
     """
     whole = V.parse_object("body")
     spans = F.when(F.col("clean").isNull() & F.col("body").contains("{"), F.col("body"))
@@ -129,7 +140,7 @@ def extract_reply_json(df: DataFrame, reply: str = "reply") -> DataFrame:
     return (
         df.select("*", F.explode(F.array(strip_fences(reply))).alias("body"))
         .withColumn("clean", F.when(whole.isNotNull(), F.col("body")))
-        .withColumn("spans", balanced(spans))
+        .withColumn("spans", F.when(spans.isNotNull(), balanced(spans)))
         .withColumn("object", F.coalesce("clean", let(good, best)))
         .drop("body", "clean", "spans")
     )

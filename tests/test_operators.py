@@ -243,11 +243,15 @@ def spans_by_decoder(text):
         i = end
 
 
-def test_balanced_spans():
+def test_balanced_spans(spark):
+    """The scan equals a walk over the characters, on short texts of all kinds and on long ones."""
     rng = random.Random(5)
-    for _ in range(4000):
-        text = "".join(rng.choice('{}{}"\\ab \n') for _ in range(rng.randrange(25)))
-        assert replies.balanced_spans(text) == spans_by_decoder(text), repr(text)
+    texts = {"".join(rng.choice('{}{}"\\ab \n') for _ in range(rng.randrange(25))) for _ in range(6000)}
+    texts |= {"".join(rng.choice('{}"\\é\U0001f600') for _ in range(3000)) for _ in range(5)}
+    texts |= {"x" * 50_000 + '{"a": "' + "}" * 20_000 + '"} ' * 3 + "{}" * 500}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", replies.balanced("t").alias("spans"))
+    for r in df.collect():
+        assert r.spans == spans_by_decoder(r.t), repr(r.t[:200])
 
 
 def test_reply_objects(spark):
