@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -295,32 +296,38 @@ def embed_texts(
     return ready.withColumn("vector", run("input")).drop("input", "usable")
 
 
+def byte_rows(rows: np.ndarray, present: np.ndarray) -> pa.Array:
+    """One binary value per present row, from one buffer; null for the others."""
+    sizes = np.where(present, rows.shape[1] * rows.itemsize, 0)
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    data = pa.py_buffer(np.ascontiguousarray(rows[present]).tobytes())
+    valid = pa.py_buffer(np.packbits(present, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(rows), [valid, pa.py_buffer(offsets.tobytes()), data])
+
+
 def encode_vectors(df: DataFrame, dims: int = S.EMBEDDING_DIMS, vector: str = "vector") -> DataFrame:
     """Unit vectors as little-endian float32 bytes, zero-padded to ``dims``; wider is an error."""
 
-    @F.pandas_udf(T.BinaryType())
-    def pack(values: pd.Series) -> pd.Series:
-        def one(v):
-            if v is None:
-                return None
-            if len(v) > dims:
-                raise ValueError(f"at most {dims} dimensions, got {len(v)}")
-            out = np.zeros(dims, dtype="<f4")
-            out[: len(v)] = unit_rows(np.asarray(v, dtype="float64")[None, :])[0]
-            return out.tobytes()
-
-        return values.map(one)
+    def pack(values: pa.Array) -> pa.Array:
+        lengths = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        if lengths.max(initial=0) > dims:
+            raise ValueError(f"at most {dims} dimensions, got {lengths.max()}")
+        block = np.zeros((len(values), dims))
+        block[np.arange(dims) < lengths[:, None]] = values.flatten().to_numpy(zero_copy_only=False)
+        return byte_rows(unit_rows(block).astype("<f4"), values.is_valid().to_numpy(zero_copy_only=False))
 
-    return df.withColumn("blob", pack(vector))
+    return df.withColumn("blob", F.arrow_udf(pack, T.BinaryType())(F.col(vector)))
 
 
 def decode_vectors(df: DataFrame, dims: int = S.EMBEDDING_DIMS, blob: str = "blob") -> DataFrame:
     """Bytes back to a vector; a blob of another width reads as null."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def unpack(values: pd.Series) -> pd.Series:
-        return values.map(
-            lambda b: None if b is None or len(b) != dims * 4 else np.frombuffer(b, dtype="<f4")
-        )
+    def unpack(blobs: pa.Array) -> pa.Array:
+        fits = pc.equal(pc.binary_length(blobs), dims * 4).fill_null(False)
+        kept = blobs.filter(fits)
+        flat = np.frombuffer(b"".join(kept.to_pylist()), dtype="<f4") if len(kept) else np.zeros(0, "<f4")
+        mask = fits.to_numpy(zero_copy_only=False)
+        offsets = np.r_[0, np.cumsum(mask) * dims].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(~mask))
 
-    return df.withColumn("decoded", unpack(blob))
+    return df.withColumn("decoded", F.arrow_udf(unpack, T.ArrayType(T.FloatType()))(F.col(blob)))

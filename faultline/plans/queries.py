@@ -287,23 +287,32 @@ def _(t):
     return failures_of(t).select("id", listed("cited_failure_ids"), F.size("cited_failure_ids").alias("n"))
 
 
-@query("upsert_failures", """
-WITH old AS (SELECT *, occurrence_count + 0.5 AS e FROM fx_failures),
-fresh AS (SELECT 'f-' || cast(pipeline_id AS BIGINT) * 2 AS id, 'acme/new' AS repo, status, last_seen_at + 1000 AS last_seen_at FROM fx_failures)
-SELECT coalesce(old.id, fresh.id) AS id, coalesce(old.repo, fresh.repo) AS repo, coalesce(old.status, fresh.status) AS status,
-  coalesce(fresh.last_seen_at, old.last_seen_at) AS last_seen_at, cast(CASE WHEN fresh.id IS NULL THEN e ELSE 9.5 END AS DOUBLE) AS first_value
+_kept = ", ".join(
+    f"CASE WHEN old.id IS NULL THEN fresh.{c} ELSE old.{c} END AS {c}" for c in S.FAILURE_COLUMNS
+    if c not in ("last_seen_at", "cited_failure_ids")
+)
+
+
+@query("upsert_failures", f"""
+WITH old AS (SELECT *, [occurrence_count + 0.5, signature_confidence] AS e FROM sh_failures),
+fresh AS (SELECT * REPLACE ('f-' || cast(pipeline_id AS BIGINT) * 2 AS id, 'acme/new' AS repo, last_seen_at + 1000 AS last_seen_at) FROM old)
+SELECT {_kept}, array_to_string(CASE WHEN old.id IS NULL THEN fresh.cited_failure_ids ELSE old.cited_failure_ids END, ',') AS cited_failure_ids,
+  coalesce(fresh.last_seen_at, old.last_seen_at) AS last_seen_at, CASE WHEN fresh.id IS NULL THEN old.e ELSE [9.5, 1, -1] END AS vector
 FROM old FULL JOIN fresh ON old.id = fresh.id
 """)
 def _(t):
-    old = failures_of(t).withColumn("embedding", F.array((F.col("occurrence_count") + 0.5).cast("float")))
+    values = [F.col("occurrence_count") + 0.5, F.col("signature_confidence")]
+    old = failures_of(t).withColumn("embedding", F.array(*[x.cast("float") for x in values]))
     fresh = old.select(
         *[F.col(c) for c in old.columns if c not in ("id", "repo", "last_seen_at", "embedding")],
         F.concat(F.lit("f-"), F.col("pipeline_id").cast("long") * 2).alias("id"),
         F.lit("acme/new").alias("repo"), (F.col("last_seen_at") + 1000).alias("last_seen_at"),
-        F.array(F.lit(9.5).cast("float")).alias("embedding"), F.col("last_seen_at").alias("seq"),
+        F.array(*[F.lit(x).cast("float") for x in (9.5, 1.0, -1.0)]).alias("embedding"), F.col("last_seen_at").alias("seq"),
     )
-    return failures.upsert_failures(old, fresh).select(
-        "id", "repo", "status", "last_seen_at", F.col("embedding")[0].cast("double").alias("first_value")
+    done = failures.upsert_failures(old, fresh)
+    vector = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    return done.select(
+        *[listed(c) if c == "cited_failure_ids" else c for c in S.FAILURE_COLUMNS], vector.alias("vector")
     )
 
 
@@ -644,9 +653,25 @@ def _(t):
     return vectors.embedding_inputs(t.raw("documents"), "text").select("doc_id", "input", "usable")
 
 
-@query("validate_vectors", "SELECT id, len(vector) = 64 AS valid FROM fx_vectors")
+@query("validate_vectors", """
+SELECT id, len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = len(v) AS valid FROM (
+  SELECT id, CASE vec_id % 6 WHEN 1 THEN vector[1:63] WHEN 2 THEN list_append(vector, 0) WHEN 3 THEN list_append(vector[2:64], 'nan'::FLOAT)
+    WHEN 4 THEN list_append(vector[2:64], '-inf'::FLOAT) WHEN 5 THEN list_append(vector[2:64], NULL) ELSE vector END AS v
+  FROM (SELECT *, cast(substr(id, 3) AS BIGINT) AS vec_id FROM fx_vectors))
+""")
 def _(t):
-    return vectors.validate_vectors(t.vectors, DIMS).select("id", "valid")
+    number = F.substring("id", 3, 20).cast("long") % 6
+    v = F.col("vector")
+
+    def with_last(value):
+        return F.concat(F.slice(v, 2, 63), F.array(F.lit(value).cast("float")))
+
+    spoilt = (
+        F.when(number == 1, F.slice(v, 1, 63)).when(number == 2, F.concat(v, F.array(F.lit(0.0).cast("float"))))
+        .when(number == 3, with_last(float("nan"))).when(number == 4, with_last(float("-inf")))
+        .when(number == 5, with_last(None)).otherwise(v)
+    )
+    return vectors.validate_vectors(t.vectors.withColumn("vector", spoilt), DIMS).select("id", "valid")
 
 
 @query("embed_signatures", r"""
@@ -661,7 +686,7 @@ def _(t):
 
 
 @query("decode_vectors", f"""
-SELECT id, 256 AS n_bytes, 64 AS dims, round(cast(u[8] AS DOUBLE), 5) AS eighth FROM (
+SELECT id, 256 AS n_bytes, 64 AS dims, unnest(range(64)) AS position, round(cast(unnest(u) AS DOUBLE), 5) AS x FROM (
   SELECT id, {_unit} AS u FROM (SELECT id, v, list_dot_product(v, v) AS s FROM (
     SELECT id, list_transform(vector, lambda x: cast(x AS DOUBLE)) AS v FROM fx_vectors)))
 """)
@@ -669,8 +694,8 @@ def _(t):
     coded = vectors.encode_vectors(t.vectors.select("id", "vector"), DIMS)
     return vectors.decode_vectors(coded, DIMS).select(
         "id", F.length("blob").alias("n_bytes"), F.size("decoded").alias("dims"),
-        F.round(F.col("decoded")[7].cast("double"), 5).alias("eighth"),
-    )
+        F.posexplode("decoded").alias("position", "x"),
+    ).withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
 # ---- claims, history ---------------------------------------------------------------
@@ -913,11 +938,15 @@ SELECT failure_id, attempt, CASE WHEN json_valid(body) AND json_type(body) = 'OB
 """
 
 
-@query("extract_reply_json", "SELECT failure_id, attempt, json_extract_string(object, '$.rootCause') AS root_cause, object IS NOT NULL AS found FROM sh_reply_objects")
+@query("extract_reply_json", """
+SELECT failure_id, attempt, object, json_extract_string(object, '$.rootCause') AS root_cause, object IS NOT NULL AS found FROM sh_reply_objects
+""")
 def _(t):
     out = replies.extract_reply_json(t.replies)
     cause = F.try_variant_get(F.try_parse_json("object"), "$.rootCause", "string")
-    return out.select("failure_id", "attempt", cause.alias("root_cause"), F.col("object").isNotNull().alias("found"))
+    return out.select(
+        "failure_id", "attempt", "object", cause.alias("root_cause"), F.col("object").isNotNull().alias("found")
+    )
 
 
 ALLOWED = ["f-1", "f-3", "f-9"]
