@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.arrow import by_pieces, pieces
+from faultline.llm.arrow import by_pieces, give_back, pieces
 from faultline.llm.common import small_side
 from faultline.llm.components import components
 from faultline.llm.shingles import TOKEN_BITS, fingerprints, shingle_sets
@@ -56,6 +56,7 @@ ROWS = 256  # lists turned into Python numbers at a time
 PIECE = 1 << 20  # bytes of text worked on together
 CHUNK = 1_500_000  # shingles among which a task looks for frequent ones
 LOCAL, FREQUENT = 3, 8  # sightings in a chunk and over all chunks from which a level is kept
+KNOWN = 100_000  # sets a task remembers in order not to send them twice; what it forgets is merged later
 LEVELS = 1_000_000  # frequent shingles that carry a level: 9 MB on every worker at most
 
 
@@ -93,6 +94,7 @@ def row_names() -> list[Column]:
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
     for batch in batches:
         yield from pieces(batch.column(0).fill_null(""), PIECE)
+    give_back()
 
 
 def frequent_shingles(docs: DataFrame) -> DataFrame:
@@ -163,7 +165,7 @@ def prefix_rows(docs: DataFrame, order) -> DataFrame:
                 known.add(name)
                 first = np.sort(tokens[a:b])[: prefix_length(b - a)].view(np.int64)
                 out.append((first, name, b - a, first[-1]))
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN:
                 known.clear()
             if out:
                 sizes = [len(x[0]) for x in out]

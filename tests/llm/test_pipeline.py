@@ -101,3 +101,14 @@ def test_stages_equal_brute_force(spark, stages):
 def test_empty_table(stages):
     found, _ = stages([])
     assert all(rows == [] for rows in found.values())
+
+
+def test_columns_with_the_names_of_results(spark):
+    """Columns that the last stage adds itself give way, in whatever case they are written."""
+    rows = [(1, "some words", "en", "a", 10, 99, "x", 5), (2, None, "en", "a", 0, 99, "y", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_tokens int, Token_IDs string, _row int")
+    out = corpus_pipeline.encode(spark, docs, "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_row", "n_tokens", "token_ids"]
+    got = {r.doc_id: (r.text, r.n_tokens, len(r.token_ids), r._row) for r in out.collect()}
+    assert got[1][0] == "some words" and got[1][1] == got[1][2] > 0 and got[1][3] == 5
+    assert got[2] == ("", 0, 0, 6)
