@@ -45,20 +45,34 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates stays, that with the smallest id, null ids last.
+
+    Rows equal in id and text are one document; texts that are null or without a word stay.
+    """
     return ngramjoin.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; a divided one with the words taken.
+
+    A null source is a source of its own; texts that are null or without a word have
+    nothing to take and go.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text; the text is what they decode to."""
+    """The ids of every text; the text is what they decode to.
+
+    Adds ``n_tokens`` and ``token_ids``; columns of the documents with these names give
+    way to them. A null text becomes an empty one without ids.
+    """
+    added = ("n_tokens", "token_ids")
     held = docs.select(F.struct("*").alias("_row"), "text")
     done = tokens.tokenized(held, column="_tokens")
     columns = {"text": F.col("_tokens.decoded")}
     return done.select(
-        *[columns.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns],
+        *[columns.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c.lower() not in added],
         F.size("_tokens.ids").cast("long").alias("n_tokens"),
         F.col("_tokens.ids").alias("token_ids"),
     )
@@ -76,6 +90,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; an empty table gives an empty result with all columns.
+
+    The results of the stages stay in a folder of their own below the checkpoint folder,
+    as the rows returned are read from the last one.
+    """
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
