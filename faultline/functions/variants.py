@@ -124,11 +124,7 @@ def truthy(value) -> Column:
 
 def first_value(value, *keys: str) -> Column:
     """First key whose value is neither absent nor null."""
-
-    def non_null(x):
-        return F.when(x.isNotNull() & (kind(x) != "VOID"), x)
-
-    return F.coalesce(*[let(at(value, k), non_null) for k in keys])
+    return F.coalesce(*[F.when(kind(at(value, k)) != "VOID", at(value, k)) for k in keys])
 
 
 def elements(value) -> Column:

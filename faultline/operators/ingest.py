@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from faultline import schemas as S
 from faultline.functions import variants as V
-from faultline.functions.reuse import once_per_context
+from faultline.functions.reuse import once, once_per_context
 from faultline.functions.text import col, filled, let, present, trim
 
 # ---- fixed values: payload vocabulary ---------------------------------------
@@ -324,11 +324,6 @@ def extract_log_text(deliveries: DataFrame, *paths: str) -> DataFrame:
     )
 
 
-def once(rows: DataFrame, *values: Column) -> DataFrame:
-    """Adds columns that are computed once per row: a projection would be inlined into every use."""
-    return rows.select("*", F.inline(F.array(F.struct(*values))))
-
-
 @once_per_context
 def adapter(provider: str) -> tuple[Reader, Column]:
     reader = Reader(f"_{provider}")

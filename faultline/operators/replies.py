@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from faultline import schemas as S
 from faultline.functions import variants as V
+from faultline.functions.reuse import once
 from faultline.functions.text import clip, col, collapse_spaces, filled, let, present, trim
 
 # ---- fixed values: key aliases, sentences and limits -------------------------
@@ -158,10 +159,6 @@ def loose_text(x) -> Column:
     )
 
 
-def as_text(v, keys) -> Column:
-    return let(V.first_value(v, *keys), lambda x: let(loose_text(x), present))
-
-
 def as_confidence(x, fallback: float = 0.5) -> Column:
     """Number, numeric text or percentage, brought into 0..1."""
 
@@ -176,9 +173,7 @@ def as_confidence(x, fallback: float = 0.5) -> Column:
         ok = n.isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
         return F.when(ok, F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))).otherwise(fallback)
 
-    number = F.when(V.is_number(x), V.as_double(x)).when(
-        V.is_string(x), let(V.as_string(x), from_text)
-    )
+    number = F.when(V.is_number(x), V.as_double(x)).when(V.is_string(x), from_text(V.as_string(x)))
     return let(number, bounded)
 
 
@@ -204,19 +199,33 @@ def as_cited(x, allowed) -> Column:
     return F.coalesce(F.array_distinct(known), F.array().cast("array<string>"))
 
 
-def triage_struct(v, category, allowed) -> Column:
-    cause = F.coalesce(as_text(v, ROOT_CAUSE_KEYS), F.lit(NO_CAUSE))
-    return let(
-        cause,
-        lambda c: F.struct(
-            clip(c, CAUSE_CHARS).alias("root_cause"),
-            clip(F.coalesce(as_text(v, FIX_KEYS), F.lit(NO_FIX)), FIX_CHARS).alias("suggested_fix"),
-            let(V.first_value(v, *CONFIDENCE_KEYS), lambda x: as_confidence(x)).alias("confidence"),
-            let(V.first_value(v, *FLAKE_KEYS), lambda x: as_flake(x, category)).alias("is_likely_flake"),
-            let(V.first_value(v, *CITED_KEYS), lambda x: as_cited(x, allowed)).alias("cited_failure_ids"),
-            clip(F.coalesce(as_text(v, HEADLINE_KEYS), c), HEADLINE_CHARS).alias("headline"),
-        ),
-    )
+VALUES = {
+    "_cause": ROOT_CAUSE_KEYS, "_fix": FIX_KEYS, "_headline": HEADLINE_KEYS, "_cited": CITED_KEYS,
+    "_confidence": CONFIDENCE_KEYS, "_flake": FLAKE_KEYS,
+}
+
+
+def with_triage(df: DataFrame, object: str, category: str, allowed: str) -> DataFrame:
+    """Adds ``t``, the typed triage of the object text in a column.
+
+    Step by step over columns, so the plan stays flat: the parsed object, the values
+    of its keys, the texts among them, the result.
+    """
+    value = F.col("_object")
+    rows = once(df, V.parse_object(object).alias("_object"))
+    rows = once(rows, *[V.first_value(value, *keys).alias(name) for name, keys in VALUES.items()])
+    texts = ("_cause", "_fix", "_headline")
+    rows = once(rows, *[loose_text(F.col(name)).alias(f"{name}_text") for name in texts])
+    cause, fix, headline = (present(f"{name}_text") for name in texts)
+    reason = F.coalesce(cause, F.lit(NO_CAUSE))
+    return rows.withColumn("t", F.struct(
+        clip(reason, CAUSE_CHARS).alias("root_cause"),
+        clip(F.coalesce(fix, F.lit(NO_FIX)), FIX_CHARS).alias("suggested_fix"),
+        as_confidence(F.col("_confidence")).alias("confidence"),
+        as_flake(F.col("_flake"), category).alias("is_likely_flake"),
+        as_cited(F.col("_cited"), allowed).alias("cited_failure_ids"),
+        clip(F.coalesce(headline, reason), HEADLINE_CHARS).alias("headline"),
+    ))
 
 
 def fallback_struct(reply, category, signature_text) -> Column:
@@ -243,8 +252,8 @@ def coerce_triage(
     allowed: str = "allowed",
 ) -> DataFrame:
     """Typed triage columns from parsed replies; ``allowed`` lists the ids that may be cited."""
-    out = let(V.parse_object(object), lambda v: triage_struct(v, category, allowed))
-    return df.select(*keep, F.explode(F.array(out)).alias("t")).select(*keep, "t.*")
+    rows = with_triage(df, object, category, allowed)
+    return once(rows.drop(*VALUES, "_object"), F.col("t").alias("_t")).select(*keep, "_t.*")
 
 
 def fallback_triage(df: DataFrame, keep=("failure_id",), reply: str = "reply") -> DataFrame:
@@ -266,10 +275,10 @@ def first_valid_reply(replies: DataFrame, attempts: int = 2) -> DataFrame:
 def triage_from_replies(replies: DataFrame, signatures: DataFrame) -> DataFrame:
     """One triage row per failure; ``signatures`` holds failure_id, category, signature_text, allowed."""
     chosen = first_valid_reply(replies).join(signatures, "failure_id")
-    typed = let(V.parse_object("object"), lambda v: triage_struct(v, "category", "allowed"))
+    typed = with_triage(chosen, "object", "category", "allowed")
     plain = fallback_struct("last_reply", "category", "signature_text")
-    result = F.when(F.col("object").isNotNull(), typed).otherwise(plain)
-    return chosen.select("failure_id", F.explode(F.array(result)).alias("t")).select("failure_id", "t.*")
+    result = F.when(F.col("object").isNotNull(), F.col("t")).otherwise(plain)
+    return once(typed, result.alias("_t")).select("failure_id", "_t.*")
 
 
 def clean_summary(text) -> Column:
