@@ -94,6 +94,37 @@ def triage_contexts(signatures: DataFrame, blocks: DataFrame) -> DataFrame:
     return signatures.join(blocks, "failure_id").select("failure_id", context.alias("context"))
 
 
+TRIAGE_RULES = "\n".join([
+    "You triage one failed job of a build pipeline. Use the evidence you are given and nothing else.",
+    "",
+    "Settle four things:",
+    "1. Defect or flake. A defect needs a change by a person: to code, configuration or a dependency.",
+    "   A flake comes from the machine, the network or a race in the test harness and would pass if run",
+    "   again. A cause you do not know is no reason to call it a flake.",
+    "2. The root cause, in two sentences at most, with the file, symbol, package, version or limit",
+    "   that the log points to.",
+    "3. A fix that can be carried out now: a command, a changed line, a pinned version, a raised limit.",
+    "   Looking further into it is not a fix.",
+    "4. Earlier failures. If the block of prior failures holds the same problem, take over its fix, say so",
+    "   in the root cause and cite its id. Cite ids of that block only; without a match cite none.",
+    "",
+    "Answer with one JSON object and no other text. It has all of these keys, none of them null:",
+    '{"rootCause": text, "suggestedFix": text, "confidence": number from 0 to 1, "isLikelyFlake": boolean,',
+    ' "headline": text, "citedFailureIds": list of ids}',
+    "Confidence is 0.8 or more only where the log names the cause, 0.3 to 0.6 where you infer it, and below",
+    "0.3 where the log says little.",
+])
+
+
+def triage_messages(contexts: DataFrame) -> DataFrame:
+    """(failure_id, position, role, content): the rules, then the context of ``triage_contexts``."""
+    message = [
+        F.struct(F.lit(0).alias("position"), F.lit("system").alias("role"), F.lit(TRIAGE_RULES).alias("content")),
+        F.struct(F.lit(1).alias("position"), F.lit("user").alias("role"), F.col("context").alias("content")),
+    ]
+    return contexts.select("failure_id", F.inline(F.array(*message)))
+
+
 def recent_blocks(failures: DataFrame, now_ms: int) -> DataFrame:
     """Newest eight failures of each repo as text."""
     order = Window.partitionBy("repo").orderBy(F.desc("last_seen_at"), "id")

@@ -1088,17 +1088,31 @@ def _(t):
     return context.prior_blocks(targets, memory_rows(t), NOW)
 
 
-@query("triage_contexts", f"""
+_contexts = f"""
 SELECT 'v-' || log_id AS failure_id, concat_ws(chr(10), '=== FAILING JOB ===', 'category: ' || category, 'parser confidence: ' || printf('%.2f', confidence),
   'implicated file/test: ' || coalesce(nullif(file_hint, ''), 'unknown'), '', 'normalised signature:', {O.cap('text', 600)}, '', 'log excerpt:', {O.cap('excerpt', 2000)}, '',
   coalesce(block, {_no_prior}), '', 'Return the JSON object now.') AS context FROM sh_signatures s LEFT JOIN sh_prior p ON p.failure_id = 'v-' || log_id
-""")
+"""
+
+
+@query("triage_contexts", _contexts)
 def _(t):
     signed = fingerprint.fingerprint_logs(t.logs).withColumn("failure_id", F.concat(F.lit("v-"), "log_id"))
     blocks = context.prior_blocks(t.logs.select(F.concat(F.lit("v-"), "log_id").alias("failure_id")), memory_rows(t), NOW)
     return context.triage_contexts(signed, blocks)
 
 
+@query("triage_messages", f"""
+WITH c AS ({_contexts}), m AS (SELECT failure_id, 0 AS position, 'system' AS role, '{context.TRIAGE_RULES}' AS content FROM c
+  UNION ALL SELECT failure_id, 1, 'user', context FROM c)
+SELECT failure_id, position, role, content FROM m
+""")
+def _(t):
+    signed = fingerprint.fingerprint_logs(t.logs).withColumn("failure_id", F.concat(F.lit("v-"), "log_id"))
+    blocks = context.prior_blocks(t.logs.select(F.concat(F.lit("v-"), "log_id").alias("failure_id")), memory_rows(t), NOW)
+    return context.triage_messages(context.triage_contexts(signed, blocks))
+
+
 catalog.SHARED["sh_recent"] = f"""
 SELECT repo, 'RECENT FAILURES (newest first):' || chr(10) || string_agg('  - id=' || id || ' | ' || status || ' | ' || category || ' | '
   || coalesce(nullif(branch, ''), 'unknown-branch') || ' | ' || {O.days_ago('last_seen_at', NOW)} || ' | x' || occurrence_count || ' | '

@@ -5,6 +5,7 @@ sorted by repo and time inside a file. A snapshot is written to a new directory
 whose name the writer returns, so a failed write leaves the old table in place.
 """
 
+import re
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,27 +103,48 @@ def write_changes(rows: DataFrame, path: str, batch_id: int) -> None:
     S.conform(rows, S.FAILURES).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def current_failures(
-    spark: SparkSession, snapshot: str | None, changes: str, resolutions: str | None = None
-) -> DataFrame:
-    """Snapshot with the micro-batch changes, and the resolutions if named, applied."""
+def read_changes(spark: SparkSession, changes: str) -> DataFrame:
+    """The changes written so far; what lands later is not in this table."""
+    schema = T.StructType([*S.FAILURES, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(changes)
+
+
+def batches_of(changes: DataFrame) -> list[int]:
+    """The micro-batches a table of changes is read from."""
+    return sorted({int(n) for path in changes.inputFiles() for n in re.findall(r"/batch=(\d+)/", path)})
+
+
+def applied(spark: SparkSession, snapshot: str | None, fresh: DataFrame) -> DataFrame:
     old = (
         read_failures(spark, snapshot, vectors=True)
         if snapshot
         else spark.createDataFrame([], S.FAILURES)
     )
-    schema = T.StructType([*S.FAILURES, T.StructField("batch", T.LongType())])
-    fresh = spark.read.schema(schema).parquet(changes)
-    ordered = fresh.withColumn("seq", F.struct("batch", "last_seen_at")).drop("batch")
-    table = ops.upsert_failures(old, ordered)
+    return ops.upsert_failures(old, fresh.withColumn("seq", F.struct("batch", "last_seen_at")).drop("batch"))
+
+
+def current_failures(
+    spark: SparkSession, snapshot: str | None, changes: str, resolutions: str | None = None
+) -> DataFrame:
+    """Snapshot with the micro-batch changes, and the resolutions if named, applied."""
+    table = applied(spark, snapshot, read_changes(spark, changes))
     if resolutions is None:
         return table
     return ops.mark_resolved(table, spark.read.parquet(resolutions))
 
 
+def compacted(spark: SparkSession, snapshot: str | None, changes: str, path: str) -> tuple[str, list[int]]:
+    """The next snapshot and the batches it holds: the caller retires the folders of these.
+
+    A batch that lands meanwhile is not among them and stays for the next compaction.
+    """
+    fresh = read_changes(spark, changes)
+    return write_failures(applied(spark, snapshot, fresh), path), batches_of(fresh)
+
+
 def compact(spark: SparkSession, snapshot: str | None, changes: str, path: str) -> str:
-    """Next snapshot. The caller retires the change folders it has read."""
-    return write_failures(current_failures(spark, snapshot, changes), path)
+    """The next snapshot alone; see ``compacted``."""
+    return compacted(spark, snapshot, changes, path)[0]
 
 
 def append_runs(steps: DataFrame, path: str) -> None:

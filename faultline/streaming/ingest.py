@@ -99,6 +99,10 @@ class ResolutionWriter:
         self.path, self.runs, self.failures = path, runs, failures
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        audit = ops.audit_rows(ops.resolve_audit(batch, self.failures()))
-        audit.write.mode("overwrite").parquet(f"{self.runs}/batch={batch_id}")
-        batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        held = batch.persist()  # both writes take the same rows
+        try:
+            audit = ops.audit_rows(ops.resolve_audit(held, self.failures()))
+            audit.write.mode("overwrite").parquet(f"{self.runs}/batch={batch_id}")
+            held.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        finally:
+            held.unpersist()

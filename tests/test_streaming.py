@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -52,7 +53,8 @@ def test_ingest_stream_equals_batch(spark, scratch):
     run(live.accepted(live.once(stream)), scratch, sink=live.ChangeWriter(changes))
     table = tables.current_failures(spark, None, changes)
     got = {r.id: r for r in table.collect()}
-    snapshot = tables.compact(spark, None, changes, f"{scratch}/failures")
+    snapshot, batches = tables.compacted(spark, None, changes, f"{scratch}/failures")
+    assert batches == sorted(int(d.removeprefix("batch=")) for d in os.listdir(changes) if d.startswith("batch="))
     assert tables.read_failures(spark, snapshot).count() == len(got)
     again = tables.current_failures(spark, snapshot, changes)
     assert again.count() == len(got)
