@@ -232,23 +232,23 @@ MATCH = "array<struct<place:int,name:string,family:string,size:int,common:int,at
 
 
 def matches(hashes: Column, hits: Column, place: Column, t: Column) -> Column:
-    """The windows in which a template is retrieved and verified, and where its shingles are."""
+    """The windows that retrieve a template and are verified to hold it, and where its shingles are."""
 
     def found(own: Column) -> Column:
-        def window(w: Column) -> Column:
-            start = w * t["length"]
-            at = F.filter(own, lambda i: (i >= start) & (i < start + 2 * t["length"]))
-            common = F.size(F.array_distinct(F.transform(at, lambda i: F.get(hashes, i))))
-            return F.struct(start.alias("start"), at.alias("at"), common.alias("common"))
-
-        def retrieved(start: Column) -> Column:
+        def agrees(start: Column) -> Column:
             bands = signature(F.array_distinct(F.slice(hashes, start + 1, 2 * t["length"])))
             return F.exists(F.zip_with(bands, t["bands"], lambda a, b: a == b), lambda same: same)
 
-        full = F.filter(F.transform(windows_hit(own, t["length"]), window), lambda m: m["common"] >= THRESHOLD * t["size"])
-        kept = F.filter(full, lambda m: retrieved(m["start"]))
+        def held(start: Column) -> Column:
+            at = F.filter(own, lambda i: (i >= start) & (i < start + 2 * t["length"]))
+            common = F.size(F.array_distinct(F.transform(at, lambda i: F.get(hashes, i))))
+            return F.struct(at.alias("at"), common.alias("common"))
+
+        starts = F.transform(windows_hit(own, t["length"]), lambda w: w * t["length"])
+        retrieved = F.filter(starts, agrees)
+        verified = F.filter(F.transform(retrieved, held), lambda m: m["common"] >= THRESHOLD * t["size"])
         return F.transform(
-            kept,
+            verified,
             lambda m: F.struct(
                 place.alias("place"), t["name"].alias("name"), t["family"].alias("family"), t["size"].alias("size"),
                 m["common"].alias("common"), m["at"].alias("at"),
