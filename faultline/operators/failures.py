@@ -205,12 +205,17 @@ def bump_occurrences(failures: DataFrame, repeats: DataFrame) -> DataFrame:
 REFRESHED = ["last_seen_at", "embedding"]
 
 
+def arrivals(incoming: DataFrame, columns: list[str], order: str = "seq") -> DataFrame:
+    """Per id its first row and the refreshed columns of its newest one."""
+    first = F.min_by(F.struct(*columns), F.col(order)).alias("first")
+    newest = F.max_by(F.struct(*REFRESHED), F.col(order)).alias("newest")
+    return incoming.groupBy("id").agg(first, newest)
+
+
 def upsert_failures(existing: DataFrame, incoming: DataFrame, order: str = "seq") -> DataFrame:
     """Insert new ids; a known id only takes the newest arrival's last_seen_at and embedding."""
     columns = existing.columns
-    first = F.min_by(F.struct(*columns), F.col(order)).alias("first")
-    newest = F.max_by(F.struct(*REFRESHED), F.col(order)).alias("newest")
-    fresh = incoming.groupBy("id").agg(first, newest)
+    fresh = arrivals(incoming, columns, order)
     old = existing.select("id", F.struct(*columns).alias("old"))
     joined = old.join(fresh, "id", "full_outer")
     return joined.select(

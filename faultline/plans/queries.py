@@ -1,5 +1,7 @@
 """Every registered query, with the SQL that checks it."""
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from faultline.operators import (
 )
 from faultline.plans import catalog, oracle_sql as O, views
 from faultline.plans.catalog import Tables, query
+from faultline.sources import parted
+from faultline.sources.checkpoints import checkpoint_dir
 
 catalog.SHARED.update(O.SHARED)
 NOW = views.NOW_MS
@@ -301,6 +305,12 @@ SELECT {_kept}, array_to_string(CASE WHEN old.id IS NULL THEN fresh.cited_failur
 FROM old FULL JOIN fresh ON old.id = fresh.id
 """)
 def _(t):
+    old, fresh = arriving(t)
+    return whole_rows(failures.upsert_failures(old, fresh))
+
+
+def arriving(t) -> tuple[DataFrame, DataFrame]:
+    """A table of failures and rows that arrive: half of their ids are known, half are new."""
     values = [F.col("occurrence_count") + 0.5, F.col("signature_confidence")]
     old = failures_of(t).withColumn("embedding", F.array(*[x.cast("float") for x in values]))
     fresh = old.select(
@@ -309,13 +319,28 @@ def _(t):
         F.lit("acme/new").alias("repo"), (F.col("last_seen_at") + 1000).alias("last_seen_at"),
         F.array(*[F.lit(x).cast("float") for x in (9.5, 1.0, -1.0)]).alias("embedding"), F.col("last_seen_at").alias("seq"),
     )
-    done = failures.upsert_failures(old, fresh)
+    return old, fresh
+
+
+def whole_rows(table: DataFrame) -> DataFrame:
     vector = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
-    return done.select(
+    return table.select(
         *[listed(c) if c == "cited_failure_ids" else c for c in S.FAILURE_COLUMNS], vector.alias("vector")
     )
 
 
+@query("merge_parts")
+def _(t):
+    """The same upsert into the table in parts by id."""
+    old, fresh = arriving(t)
+    path = f"{checkpoint_dir(t.spark)}/parts-{uuid4().hex}"
+    manifest = parted.merge(t.spark, parted.write_table(old, path), fresh, path)
+    return whole_rows(parted.read_table(t.spark, manifest))
+
+
+catalog.ORACLES["merge_parts"] = catalog.ORACLES["upsert_failures"]
+
+
 @query("append_audit", """
 SELECT failure_id, 'w' AS workflow_id, 'analyse' AS step, 'ok' AS status, substring(reply, 1, 2000) AS detail,
   cast(attempt AS BIGINT) AS duration_ms, cast(0 AS BIGINT) AS created_at FROM fx_replies

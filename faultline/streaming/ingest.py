@@ -92,16 +92,17 @@ class ResolutionWriter:
 
     The folder of resolutions that ``tables.current_failures`` applies is written
     last, so a resolution is never visible without its audit rows. A retried batch
-    rewrites both folders.
+    rewrites both folders. ``failures`` gives the failures that can have the ids of a
+    batch, such as ``parted.read_named`` does, so that the rest of the table is not read.
     """
 
-    def __init__(self, path: str, runs: str, failures: Callable[[], DataFrame]):
+    def __init__(self, path: str, runs: str, failures: Callable[[DataFrame], DataFrame]):
         self.path, self.runs, self.failures = path, runs, failures
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()  # both writes take the same rows
         try:
-            audit = ops.audit_rows(ops.resolve_audit(held, self.failures()))
+            audit = ops.audit_rows(ops.resolve_audit(held, self.failures(held)))
             audit.write.mode("overwrite").parquet(f"{self.runs}/batch={batch_id}")
             held.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
         finally:

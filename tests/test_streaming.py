@@ -61,7 +61,7 @@ def test_ingest_stream_equals_batch(spark, scratch):
 
     some = sorted(got)[:3]
     notes = spark.createDataFrame([(i, " fixed ", NOW, "w") for i in some] + [("nobody", "x", NOW, "w")], "id string, note string, at long, workflow_id string")
-    sink = live.ResolutionWriter(f"{scratch}/resolved", f"{scratch}/runs", lambda: table)
+    sink = live.ResolutionWriter(f"{scratch}/resolved", f"{scratch}/runs", lambda batch: table)
     sink(notes, 0)
     sink(notes, 0)
     closed = tables.current_failures(spark, snapshot, changes, f"{scratch}/resolved")
