@@ -74,10 +74,13 @@ FROM ({batch._current}) GROUP BY repo
 """)
 def _(t):
     rows = t.claims.filter(F.col("ts") < IN_FLIGHT_AT)
-    return replay_of(
+    running = replay_of(
         rows, "ts", IN_FLIGHT_AT + LATENESS, in_slices(rows, "ts", 3 * S.DAY_MS),
         lambda s: counters.live_in_flight(s, LATENESS), ["repo"],
-    ).filter("repo <> 'end'")
+    )
+    # a repository of which no claim was ever seen running has no row
+    repos = rows.select("repo").distinct()
+    return repos.join(running, "repo", "left").select("repo", F.coalesce("in_flight", F.lit(0)).alias("in_flight"))
 
 
 @query("stream_counters", """

@@ -29,7 +29,8 @@ def live_in_flight(events: DataFrame, lateness_ms: int = S.MINUTE_MS) -> DataFra
 
     Two stateful operators in a row: the claims of a signature give changes by one, and
     these are summed per repo, so a repository with very many claims is merged before the
-    shuffle. With ``live_counters`` these are the columns of ``stats.repo_counters``.
+    shuffle. With ``live_counters`` these are the columns of ``stats.repo_counters``; a
+    repository of which no claim was ever seen running has no row.
     Needs the RocksDB state store.
     """
     return in_flight_changes(events, lateness_ms).groupBy("repo").agg(F.sum("change").alias("in_flight"))
