@@ -82,6 +82,8 @@ def nearest_codes(
     count = bits // width
     index = checkpointed(segments_of(codes.select("code"), ["code"], "code", bits, width))
     sizes = codes.select("code", F.size("members").alias("rows"))
+    everything = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    tasks = 2 * codes.sparkSession.sparkContext.defaultParallelism
     running = Window.partitionBy("query").orderBy("distance").rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -94,7 +96,9 @@ def nearest_codes(
     best = done = None
     for radius in range(width + 1):
         flips = F.split(F.lit(",".join(map(str, masks(width, radius)))), ",").cast("array<bigint>")
-        probes = segments_of(open_, ["query", "limit"], "query", bits, width).select(
+        # few queries are many probes, so they are dealt to all cores before they multiply
+        asked = segments_of(open_, ["query", "limit"], "query", bits, width).repartition(tasks, "query", "seg")
+        probes = asked.select(
             "query",
             "limit",
             "seg",
@@ -117,9 +121,12 @@ def nearest_codes(
             .filter(F.col("_nearer") <= k)
         )
         # the k-th verified distance so far: nothing beyond it can be needed
-        limits = near.filter(F.col("_reach") > k).groupBy("query").agg(F.min("distance").alias("kth"))
-        state = checkpointed(open_.join(limits, "query", "left"))
-        covered = F.lit(radius == width) | (F.col("kth") <= count * (radius + 1) - 1)
+        limits = near.groupBy("query").agg(
+            F.min(F.when(F.col("_reach") > k, F.col("distance"))).alias("kth"), F.max("_reach").alias("met")
+        )
+        state = checkpointed(open_.join(limits, "query", "left").fillna(0, ["met"]))
+        # nothing is left to look for once all rows have been met
+        covered = F.lit(radius == width) | (F.col("kth") <= count * (radius + 1) - 1) | (F.col("met") >= everything)
         complete = state.filter(covered).select("query")
         near = near.select("query", "code", "distance", "rows")
         # stored round by round, so no plan grows with the rounds

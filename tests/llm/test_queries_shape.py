@@ -300,3 +300,16 @@ def test_odd_rows(spark, number, odd, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     name = next(n for n in queries.QUERIES if n.split("_")[0] == number)
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == len(ODD)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 3])
+def test_search_in_tables_of_few_rows(spark, rows, monkeypatch):
+    """Fewer rows than are asked for end the search as soon as all of them are met."""
+    seen = []
+    whole = multiindex.masks
+    monkeypatch.setattr(multiindex, "masks", lambda width, radius: seen.append(radius) or whole(width, radius))
+    vectors = [[1.0 if (k + i) % 3 else -1.0 for k in range(64)] for i in range(rows)]
+    df = spark.createDataFrame([(100 * i, v, 1, "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, code int, query string")
+    got = multiindex.search(df, df, k=5).collect()
+    assert len(got) == rows * max(0, rows - 1)
+    assert max(seen) < 16
