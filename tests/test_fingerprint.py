@@ -16,6 +16,7 @@ def prints(spark, logs):
     return [found[i] for i in range(len(logs))]
 
 
+# fixed values: lines and what they are normalised to
 NORMALISED = {
     "2026-02-17T11:04:26.1131138Z       at Obj.<anon> (/home/runner/work/acme/acme/src/shop/cart.test.ts:44:34)":
         "at Obj.<anon> (shop/cart.test.ts:<L>:<C>)",
@@ -50,6 +51,7 @@ def test_normalise_is_idempotent(spark):
     assert all(r.a == r.b for r in once.collect())
 
 
+# fixed values: logs and what they are classified as
 CASES = [
     ("test_failure", "E   AssertionError: assert 3 == 4\ntests/test_bill.py:88: AssertionError\n=== 1 failed, 12 passed in 3.21s ==="),
     ("test_failure", "[ERROR] Tests run: 14, Failures: 1, Errors: 0, Skipped: 0 <<< FAILURE! - in com.acme.BillTest"),

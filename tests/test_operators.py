@@ -19,6 +19,7 @@ HOUR, DAY = S.HOUR_MS, S.DAY_MS
 
 
 # ---- the demo corpus: id, repo, hash, category, status, occurrences, age -------------
+# fixed values: the seed corpus
 SEED = [
     ("seed-wa-001", "acme/web-app", "c3a91e77", "test_failure", "resolved", 9, 4 * DAY),
     ("seed-wa-002", "acme/web-app", "c3a91e77", "test_failure", "triaged", 6, 9 * HOUR),
