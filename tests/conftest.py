@@ -32,3 +32,12 @@ def scratch():
     import tempfile
 
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+@pytest.fixture
+def two_partitions(spark):
+    """State stores are many small files and workers; the tables of the tests are tiny."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

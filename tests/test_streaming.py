@@ -17,6 +17,8 @@ from tests.test_claims import SCHEMA, random_events
 
 NOW = 1_704_100_000_000
 
+pytestmark = pytest.mark.usefixtures("two_partitions")
+
 
 def stream_of(spark, batches, schema, path):
     """A file stream that serves one file per micro-batch, in order."""

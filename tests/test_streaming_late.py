@@ -1,5 +1,6 @@
 """Rows hours and days late: what goes into a stream comes out of it."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultline import schemas as S
@@ -7,6 +8,8 @@ from faultline.streaming import counters
 from faultline.streaming import ingest as live
 from tests.test_streaming import NOW, answers, bodies, run, stream_of
 
+pytestmark = pytest.mark.usefixtures("two_partitions")
+
 
 def test_every_late_claim_is_answered(spark, scratch):
     hour = S.HOUR_MS
