@@ -14,9 +14,9 @@ Prefixes. Linked sets share a shingle among their first n - ceil(0.8 n) + 1 in t
 order. Each shingle met in the prefixes of two or more sets is a bucket; what the
 sets have in shared prefix shingles is their list.
 
-Links. First every set is held against one set of each of its buckets, that with
-the largest share of shared shingles: groups of near copies fall together without
-a pair for every two of them. Then, in buckets that still hold several components,
+Links. First every set is held against the hubs it meets most often, the sets with
+the largest share of shared shingles in its buckets: groups of near copies fall
+together without a pair for every two of them. Then, in buckets that still hold several components,
 the lists of the members form prefix trees of at most ``BLOCK`` sets and the sets
 outside the largest component walk through them: a walk shares the overlap of
 common branches and leaves a branch as soon as what it has met and what can follow
@@ -55,6 +55,7 @@ BLOCK = 256  # sets in one prefix tree
 ROWS = 256  # lists turned into Python numbers at a time
 PIECE = 1 << 20  # bytes of text worked on together
 CHUNK = 1_500_000  # shingles among which a task looks for frequent ones
+STARS = 2  # hubs that a set is held against before the trees
 LOCAL, FREQUENT = 3, 8  # sightings in a chunk and over all chunks from which a level is kept
 KNOWN = 100_000  # sets a task remembers in order not to send them twice; what it forgets is merged later
 LEVELS = 1_000_000  # frequent shingles that carry a level: 9 MB on every worker at most
@@ -206,11 +207,19 @@ def rest_after(n: Column) -> Column:
 
 
 def star_pairs(shared: DataFrame, lists: DataFrame) -> DataFrame:
-    """(a, b): every set with one set of each of its buckets."""
+    """(a, b): every set with the hubs of its buckets that it meets most often, ``STARS`` at most.
+
+    The hub of a bucket is its set with the largest share of shared shingles. A set of a
+    large group of near copies meets the hub of the group in most of its buckets, so the
+    pairs are as many as the sets, however large the groups are; what they leave open is
+    for the trees.
+    """
     weight = F.size("tokens") / (F.col("n") - rest_after(F.col("n")))
     scored = shared.select("token", "f").join(lists.select("f", weight.alias("w")), "f")
     hubs = scored.groupBy("token").agg(F.max(F.struct("w", "f"))["f"].alias("hub"))
-    pairs = shared.select("token", "f").join(hubs, "token").filter("f <> hub")
+    met = shared.select("token", "f").join(hubs, "token").filter("f <> hub").groupBy("f", "hub").count()
+    most = Window.partitionBy("f").orderBy(F.desc("count"), "hub")  # as many rows as a prefix has shingles, at most
+    pairs = met.withColumn("_place", F.row_number().over(most)).filter(F.col("_place") <= STARS)
     return pairs.select(F.least("f", "hub").alias("a"), F.greatest("f", "hub").alias("b")).distinct()
 
 
