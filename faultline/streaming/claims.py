@@ -1,6 +1,7 @@
 """Duplicate suppression on a stream, with the same rule as the batch operator."""
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -11,72 +12,131 @@ from faultline.streaming.late import watermarked
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "holder string, claimed_at long, completed_at long"
-WAITING = "events array<struct<event_id:bigint,failure_id:string,kind:string>>"
-HELD_BACK = 1000  # rows of a key sorted into the state at once
+EVENTS = "events array<struct<ts:bigint,event_id:bigint,failure_id:string,kind:string>>"
+HELD = 10_000  # events of a key in Python at once
+WIDTHS = [S.HOUR_MS, S.MINUTE_MS, 1000, 1]  # of the spans in which events wait
 
 
 class ClaimProcessor(StatefulProcessor):
     """One claim per (repo, signature), changed in event-time order whatever the order of arrival.
 
     An event waits in the state until the watermark has passed it, as nothing but late
-    events can come before it then; a timer at its time answers it. Events wait by
-    millisecond, in chunks, so that neither a micro-batch nor a key is ever held in one
-    piece. A last timer drops a claim when it can no longer matter.
+    events can come before it then. Events wait by spans of time, in chunks; a span of
+    more than ``HELD`` events is cut into narrower ones before it is read, so that neither
+    a micro-batch nor a key is ever held in one piece. A call to the state costs far more
+    than an event, so a key has one timer: at its first event still waiting, or when its
+    claim can no longer matter. It answers all events that the watermark has passed.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.claim = handle.getValueState("claim", STATE)
-        self.chunks = handle.getMapState("chunks", "ts long", "chunks long")
-        self.waiting = handle.getMapState("waiting", "ts long, chunk long", WAITING)
+        self.timer = handle.getValueState("timer", "at long")
+        self.spans = handle.getMapState("spans", "start long, width long", "chunks long, size long, first long")
+        self.waiting = handle.getMapState("waiting", "start long, width long, chunk long", EVENTS)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        watermark, taken, count = timerValues.getCurrentWatermarkInMs(), {}, 0
+        watermark, taken, count, first = timerValues.getCurrentWatermarkInMs(), {}, 0, None
         for row in rows:
             if row.ts is None or row.ts < watermark:
                 yield from self.told(key, row.ts, row, "late", None, None)
                 continue
-            taken.setdefault(row.ts, []).append((row.event_id, row.failure_id, row.kind))
+            first = row.ts if first is None else min(first, row.ts)
+            start = row.ts - row.ts % WIDTHS[0]
+            taken.setdefault((start, WIDTHS[0]), []).append((row.ts, row.event_id, row.failure_id, row.kind))
             count += 1
-            if count % HELD_BACK == 0:
+            if count % HELD == 0:
                 self.wait(taken)
                 taken = {}
         self.wait(taken)
+        if first is not None:
+            self.wake(first + 1)  # events of this very time may still come
+
+    def wake(self, at: int) -> None:
+        """A timer at a time, unless an earlier one is set: that one sets the next."""
+        if not self.timer.exists() or self.timer.get()[0] > at:
+            self.timer.update((at,))
+            self.handle.registerTimer(at)
 
     def wait(self, taken) -> None:
-        for ts, events in taken.items():
-            chunk = self.chunks.getValue((ts,))[0] if self.chunks.containsKey((ts,)) else 0
-            self.waiting.updateValue((ts, chunk), (events,))
-            self.chunks.updateValue((ts,), (chunk + 1,))
-            self.handle.registerTimer(ts + 1)  # events of this very time may still come
+        for span, events in taken.items():
+            first = min(e[0] for e in events)
+            chunks, size, earlier = self.spans.getValue(span) if self.spans.containsKey(span) else (0, 0, first)
+            self.waiting.updateValue((*span, chunks), (events,))
+            self.spans.updateValue(span, (chunks + 1, size + len(events), min(first, earlier)))
+
+    def chunks_of(self, span) -> Iterator[list]:
+        """The chunks of a span; they no longer wait."""
+        chunks = self.spans.getValue(span)[0]
+        self.spans.removeKey(span)
+        for chunk in range(chunks):
+            events = [tuple(e) for e in self.waiting.getValue((*span, chunk))[0]]
+            self.waiting.removeKey((*span, chunk))
+            yield events
+
+    def narrowed(self, span) -> list:
+        """The spans that the events of a wide one now wait in."""
+        width, found = WIDTHS[WIDTHS.index(span[1]) + 1], set()
+        for events in self.chunks_of(span):
+            taken = {}
+            for event in events:
+                taken.setdefault((event[0] - event[0] % width, width), []).append(event)
+            self.wait(taken)
+            found.update(taken)
+        return sorted(found)
+
+    def due(self, watermark: int) -> Iterator[list]:
+        """The events before the watermark in their order, span by span; they no longer wait."""
+        spans = {tuple(span): tuple(value) for span, value in self.spans.iterator()}
+        places = [(start, -width) for start, width in spans]
+        heapify(places)
+        while places and places[0][0] < watermark:
+            start, minus = heappop(places)
+            span = (start, -minus)
+            _, size, first = spans.pop(span)
+            if first >= watermark:
+                continue
+            holds_others = bool(places) and places[0][0] < start - minus
+            if span[1] > 1 and (holds_others or size > HELD):
+                for narrow in self.narrowed(span):
+                    if narrow not in spans:
+                        heappush(places, (narrow[0], -narrow[1]))
+                    spans[narrow] = tuple(self.spans.getValue(narrow))
+                continue
+            events = [e for chunk in self.chunks_of(span) for e in chunk]
+            later = [e for e in events if e[0] >= watermark]
+            if later:
+                self.wait({span: later})
+            # the batch operator's order: nulls first, then kind and failure among equal ids
+            passed = [e for e in events if e[0] < watermark]
+            yield sorted(passed, key=lambda e: [(x is not None, x) for x in (e[0], e[1], e[3], e[2])])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        ts = expiredTimerInfo.getExpiryTimeInMs() - 1
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if not self.timer.exists() or self.timer.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
+            return  # a later timer, which an earlier one has replaced
+        self.timer.clear()
         state = tuple(self.claim.get()) if self.claim.exists() else None
         before = state
-        for event in self.due(ts):
-            state, verdict, holder = step(state, event[1], ts, event[2])
-            row = Row(event_id=event[0], failure_id=event[1], kind=event[2])
-            yield from self.told(key, ts, row, verdict, holder, state)
-        if state is not None and ts + 1 >= self.end(state):
+        for events in self.due(watermark):
+            for ts, event_id, failure_id, kind in events:
+                state, verdict, holder = step(state, failure_id, ts, kind)
+                row = Row(event_id=event_id, failure_id=failure_id, kind=kind)
+                yield from self.told(key, ts, row, verdict, holder, state)
+        if state is not None and watermark >= self.end(state):
             state = None
         if state is None:
             if before is not None:
                 self.claim.clear()
         elif state != before:
             self.claim.update(state)
-            self.handle.registerTimer(self.end(state))
-
-    def due(self, ts: int) -> list:
-        """The events of one millisecond in the order of their ids; they no longer wait."""
-        events = []
-        if self.chunks.containsKey((ts,)):
-            for chunk in range(self.chunks.getValue((ts,))[0]):
-                events.extend(tuple(e) for e in self.waiting.getValue((ts, chunk))[0])
-                self.waiting.removeKey((ts, chunk))
-            self.chunks.removeKey((ts,))
-        # the batch operator's order: nulls first, then kind and failure among equal ids
-        return sorted(events, key=lambda e: [(x is not None, x) for x in (e[0], e[2], e[1])])
+        after = [value[2] + 1 for _, value in self.spans.iterator()] + self.ends(state)
+        if after:
+            self.wake(min(after))
+
+    def ends(self, state) -> list[int]:
+        """Times at which a claim has to be looked at again, were there no event."""
+        return [] if state is None else [self.end(state)]
 
     @staticmethod
     def end(state) -> int:
@@ -107,22 +167,25 @@ class InFlightProcessor(ClaimProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         before = self.running.get()[0] if self.running.exists() else None
-        self.now = before
+        self.now, self.watermark = before, timerValues.getCurrentWatermarkInMs()
         for _ in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
             pass
-        # a claim that has run out by the watermark never counted, whatever its timer
-        if self.now is not None and self.now + S.STALE_CLAIM_MS < timerValues.getCurrentWatermarkInMs():
-            self.now = None
         if self.now != before:
             if self.now is None:
                 self.running.clear()
             else:
                 self.running.update((self.now,))
-                self.handle.registerTimer(self.now + S.STALE_CLAIM_MS + 1)
         change = (self.now is not None) - (before is not None)
         if change:
             yield Row(repo=key[0], signature_hash=key[1], change=change)
 
+    def ends(self, state) -> list[int]:
+        # a claim that has run out by the watermark no longer counts, whatever its timer
+        if self.now is not None and self.now + S.STALE_CLAIM_MS < self.watermark:
+            self.now = None
+        running = [] if self.now is None else [self.now + S.STALE_CLAIM_MS + 1]
+        return super().ends(state) + running
+
     def told(self, key, ts, row, verdict, holder, state) -> Iterator[Row]:
         if verdict == "new":
             self.now = ts

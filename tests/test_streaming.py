@@ -3,6 +3,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from faultline import schemas as S
@@ -192,3 +193,114 @@ def test_history_of_any_cut(spark, scratch):
     want = history.trim_history(spark.createDataFrame(rows, schema))
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
     assert versions.groupBy("repo", "version").count().agg(F.max("count")).first()[0] == 50
+
+
+class Store:
+    """The state of one key in memory, which counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.states = 0, set(), {}
+
+    def getValueState(self, name, *schemas):
+        return self.states.setdefault(name, OneState(self))
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class OneState:
+    def __init__(self, store):
+        self.store, self.values = store, {}
+
+    def called(self):
+        self.store.calls += 1
+        return self.values
+
+    def exists(self):
+        return None in self.called()
+
+    def get(self):
+        return self.called()[None]
+
+    def update(self, value):
+        self.called()[None] = value
+
+    def clear(self):
+        self.called().clear()
+
+    def containsKey(self, key):
+        return key in self.called()
+
+    def getValue(self, key):
+        return self.called()[key]
+
+    def updateValue(self, key, value):
+        self.called()[key] = value
+
+    def removeKey(self, key):
+        del self.called()[key]
+
+    def iterator(self):
+        return iter(list(self.called().items()))
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def replayed_in_memory(processor, batches):
+    """What a processor gives for one key; a batch is (rows, watermark before it, watermark behind it)."""
+    store, out = Store(), []
+    processor.init(store)
+    for rows, before, behind in batches:
+        out += processor.handleInputRows(("r", "h"), iter(rows), Clock(before))
+        while store.timers and min(store.timers) <= behind:
+            at = min(store.timers)
+            store.timers.remove(at)
+            out += processor.handleExpiredTimer(("r", "h"), Clock(behind), Clock(at))
+    return out, store
+
+
+@pytest.mark.parametrize("held", [10_000, 7])
+def test_claims_need_few_calls_to_the_state(monkeypatch, held):
+    """The time of a stream goes into calls to the state; also with spans cut down to a millisecond."""
+    monkeypatch.setattr(live_claims, "HELD", held)
+    rng, minute = random.Random(3), S.MINUTE_MS
+    kinds = ["claim", "claim", "release", "forget"]
+    rows = [Row(ts=NOW + rng.randrange(300) * minute // 7, event_id=i, failure_id=f"f{i % 5}", kind=kinds[rng.randrange(4)]) for i in range(3000)]
+    rows += [Row(ts=NOW + 4 * minute, event_id=None if i < 4 else i, failure_id=f"f{i % 3}", kind="claim") for i in range(60)]
+    rng.shuffle(rows)
+    middle = NOW + 20 * minute + 11
+    early = [r for r in rows if r.ts < middle or r.event_id % 2]
+    late = [r for r in rows if not (r.ts < middle or r.event_id % 2)]
+    out, store = replayed_in_memory(live_claims.ClaimProcessor(), [(early, NOW, middle), (late, middle, NOW + 9 * S.DAY_MS)])
+    state, want = None, []
+    for r in sorted(rows, key=lambda r: (r.ts, r.event_id is not None, r.event_id or 0, r.kind, r.failure_id)):
+        state, verdict, holder = claims.step(state, r.failure_id, r.ts, r.kind)
+        want.append((r.ts, r.event_id, r.failure_id, verdict, holder))
+    assert [(r.ts, r.event_id, r.failure_id, r.verdict, r.holder) for r in out] == want
+    assert not any(s.values for s in store.states.values())
+    if held > len(rows):
+        assert store.calls < len(rows) / 10
+
+
+def test_state_has_no_more_parts_than_cores(spark):
+    from faultline.plans.replay import PARTITIONS, state_store
+
+    before = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, "200")
+    try:
+        with state_store(spark):
+            assert int(spark.conf.get(PARTITIONS)) <= max(spark.sparkContext.defaultParallelism, 2)
+        assert spark.conf.get(PARTITIONS) == "200"
+    finally:
+        spark.conf.set(PARTITIONS, before)
