@@ -280,3 +280,29 @@ def test_every_white_space_counts(spark, space):
     for odd, plain in zip(found[::2], found[1::2]):
         assert (odd.category, odd.confidence) == (plain.category, plain.confidence)
     assert found[0].hash == found[1].hash
+
+
+def test_normalising_is_not_repeated_by_the_noise_filter(spark):
+    lines = spark.createDataFrame([(1, 0, "12:00:01 done in 4 s"), (1, 1, "----"), (1, 2, None)], "log_id long, i int, line string")
+    kept = fp.drop_noise_lines(fp.normalise_lines(lines))
+
+    def folds(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+
+    assert 0 < folds(kept) == folds(fp.normalise_lines(lines))
+    assert [r.normalised for r in kept.collect()] == ["done in <DUR>"]
+    assert [r.normalised for r in fp.normalise_lines(lines).collect()] == ["done in <DUR>", "----", None]
+
+
+@pytest.mark.parametrize("files", [1, 30])
+def test_no_task_gets_more_rows_however_few_splits_hold_them(spark, scratch, monkeypatch, files):
+    from faultline.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    spark.range(20_000).repartition(files).write.parquet(f"{scratch}/t")
+    dealt = tables.spread(spark.read.parquet(f"{scratch}/t"), "id")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 700
+    assert tables.spread(dealt, "id").rdd.getNumPartitions() >= 40
+    monkeypatch.setattr(tables, "TASK_ROWS", 700)
+    assert tables.spread(dealt, "id") is dealt
