@@ -246,6 +246,9 @@ class OneState:
     def iterator(self):
         return iter(list(self.called().items()))
 
+    def keys(self):
+        return iter(list(self.called()))
+
 
 class Clock:
     def __init__(self, at):
@@ -304,3 +307,19 @@ def test_state_has_no_more_parts_than_cores(spark):
         assert spark.conf.get(PARTITIONS) == "200"
     finally:
         spark.conf.set(PARTITIONS, before)
+
+
+def test_repeats_need_few_calls_to_the_state():
+    hour = S.HOUR_MS
+    row = lambda i, at: Row(delivery_id=i, received_at=at)
+    ids = [None, *[f"d{i}" for i in range(5000)]]
+    first = [row(i, NOW + (k % 9) * hour) for k, i in enumerate(ids)]
+    batches = [
+        (first + first[:40], 0, NOW),
+        (first[::3] + [row("new", NOW)], NOW, NOW + 3 * hour + 1),  # forgets what came in the first three hours
+        (first, NOW + 3 * hour + 1, NOW + 99 * hour),
+    ]
+    out, store = replayed_in_memory(live.OnceProcessor(hour, ["delivery_id", "received_at"]), batches)
+    again = [r for k, r in enumerate(first) if k % 9 <= 2]
+    assert out == first + [row("new", NOW)] + again
+    assert store.calls < len(first) / 2 and not any(s.values for s in store.states.values())
