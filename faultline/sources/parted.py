@@ -23,6 +23,7 @@ from faultline.operators import failures as ops
 from faultline.sources.checkpoints import checkpointed
 
 PART_ROWS = 500_000  # rows of a part when the table is written
+FILES = 8  # files of a part when the table is written
 MERGE_ROWS = 20_000  # changed ids that are broadcast, with a vector each: about 32 MB
 MANIFEST = "part int, folder string, parts int"
 
@@ -55,9 +56,11 @@ def write_parts(rows: DataFrame, path: str) -> dict[int, str]:
 def write_table(table: DataFrame, path: str, part_rows: int = PART_ROWS) -> str:
     """The whole table, anew, in as many parts as its rows ask for."""
     rows = S.conform(table, S.FAILURES)
-    parts = max(1, -(-rows.count() // part_rows))
-    dealt = rows.withColumn("part", part_of(parts)).repartitionByRange(parts, "part").sortWithinPartitions("part", "id")
-    folders = write_parts(dealt, path) if not rows.isEmpty() else {}
+    count = rows.count()
+    parts = max(1, -(-count // part_rows))
+    files = F.pmod(F.xxhash64(F.lit(0), "id"), F.lit(FILES))  # a part is written by several tasks
+    dealt = rows.withColumn("part", part_of(parts)).repartition(FILES * parts, "part", files).sortWithinPartitions("part", "id")
+    folders = write_parts(dealt, path) if count else {}
     return write_manifest(rows.sparkSession, folders, parts, path)
 
 

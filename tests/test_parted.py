@@ -77,3 +77,12 @@ def test_odd_tables(spark, scratch):
     assert sorted(r.id for r in parted.read_table(spark, filled).collect()) == ["f1", "f2"]
     named = parted.read_named(spark, filled, spark.createDataFrame([("f1",), ("nobody",)], "id string"))
     assert "f1" in {r.id for r in named.collect()}
+
+
+def test_a_part_is_written_by_several_tasks(spark, scratch):
+    """Part by part, a table of few parts leaves most cores idle."""
+    manifest = parted.write_table(table(spark, range(400)), scratch, 200)
+    written = parted.read_table(spark, manifest)
+    folders, parts = parted.read_manifest(spark, manifest)
+    assert parts == len(folders) == 2 and len(written.inputFiles()) > 4
+    assert sorted(int(r.id[1:]) for r in written.collect()) == list(range(400))
