@@ -104,8 +104,9 @@ def nearest_codes(
             "seg",
             F.explode(F.transform(flips, lambda m: F.col("value").bitwiseXOR(m))).alias("value"),
         )
+        # few rows become many probes behind the last size that Spark knows, so it must not broadcast them
         found = (
-            probes.join(index, ["seg", "value"])
+            probes.join(index.hint("merge"), ["seg", "value"])
             .withColumn("distance", distance("query", "code"))
             .filter("distance <= limit")
             .select("query", "code", "distance")

@@ -313,3 +313,19 @@ def test_search_in_tables_of_few_rows(spark, rows, monkeypatch):
     got = multiindex.search(df, df, k=5).collect()
     assert len(got) == rows * max(0, rows - 1)
     assert max(seen) < 16
+
+
+def test_probes_are_not_broadcast(spark, monkeypatch):
+    """A few queries become many probes, which no size that Spark knows tells."""
+    plans, checkpointed = [], multiindex.checkpointed
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr(multiindex, "checkpointed", seen)
+    vectors = [(i, [float((i * 7 + d * 3) % 5 - 2) for d in range(64)]) for i in range(40)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    multiindex.search(df, df, k=3)
+    probed = [line for plan in plans for line in plan.splitlines() if "Join" in line and "seg#" in line]
+    assert probed and all("strategy=merge" in line for line in probed)
