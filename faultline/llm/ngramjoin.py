@@ -20,8 +20,11 @@ together without a pair for every two of them. Then, in buckets that still hold
 the lists of the members form prefix trees of at most ``BLOCK`` sets and the sets
 outside the largest component walk through them: a walk shares the overlap of
 common branches and leaves a branch as soon as what it has met and what can follow
-stay below the overlap a link needs. Pairs that pass, and the pairs of the first
-step whose lists allow a link, are verified with the whole sets.
+stay below the overlap a link needs. Sets that no other one of their bucket can link
+with stay outside, by sizes and by parity sketches: sets differ in at least as many
+shingles as their sketches differ in bits, so a pair whose sketches differ too much is no
+link. Pairs that pass, and the pairs of the first step whose lists allow a link, are
+verified with the whole sets.
 
 Shingle hashes have 58 bits, compared within a pair only; a set is named by a 64-bit
 sum over its shingles.
@@ -46,7 +49,7 @@ from pyspark.sql import functions as F
 from faultline.llm.arrow import by_pieces, give_back, pieces
 from faultline.llm.common import small_side
 from faultline.llm.components import components
-from faultline.llm.shingles import TOKEN_BITS, fingerprints, shingle_sets
+from faultline.llm.shingles import TOKEN_BITS, fingerprints, folded, shingle_sets, sketch
 from faultline.sources.checkpoints import checkpointed
 
 PERCENT = 80  # of the union that the intersection of linked sets has at least
@@ -149,8 +152,15 @@ def learned_order(docs: DataFrame) -> Order:
     return Order(np.asarray(top["token"]).astype(np.int64).view(np.uint64), np.asarray(top["n"]))
 
 
+ABOUT = pa.struct([("n", pa.int64()), ("last", pa.int64()), ("sketch", pa.binary())])
+
+
 def prefix_rows(docs: DataFrame, order) -> DataFrame:
-    """(token, f, n, last): prefix shingles of every set that is new to its chunk of a task."""
+    """(token, f): prefix shingles of every set that is new to its chunk of a task.
+
+    A row without a token tells about the set: its size, the last shingle of its prefix
+    and its sketch.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -158,44 +168,60 @@ def prefix_rows(docs: DataFrame, order) -> DataFrame:
             flat, bounds = shingle_sets(texts)
             names, _ = fingerprints(flat, bounds)
             tokens = order.value.ordered(flat)
-            out = []
+            fresh, out = [], []
             for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                 name = int(names[i])
                 if a == b or name in known:
                     continue
                 known.add(name)
-                first = np.sort(tokens[a:b])[: prefix_length(b - a)].view(np.int64)
-                out.append((first, name, b - a, first[-1]))
+                fresh.append(i)
+                out.append(np.sort(tokens[a:b])[: prefix_length(b - a)].view(np.int64))
             if len(known) > KNOWN:
                 known.clear()
             if out:
-                sizes = [len(x[0]) for x in out]
-                columns = [np.concatenate([x[0] for x in out])]
-                columns += [np.repeat(np.array([x[k] for x in out], np.int64), sizes) for k in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "f", "n", "last"])
+                sizes = np.diff(bounds)[fresh]
+                prefixes, own = np.concatenate(out), names[fresh]
+                listed = np.repeat(own, [len(x) for x in out])
+                yield batch_of(pa.array(prefixes), listed, pa.nulls(len(prefixes), ABOUT))
+                last = np.array([x[-1] for x in out], np.int64)
+                drawn = [sketch(flat[bounds[i] : bounds[i + 1]]) for i in fresh]
+                columns = [pa.array(sizes), pa.array(last), pa.array(drawn, pa.binary())]
+                yield batch_of(pa.nulls(len(own), pa.int64()), own, pa.StructArray.from_arrays(columns, fields=list(ABOUT)))
 
-    return docs.select("text").mapInArrow(rows, "token long, f long, n long, last long")
+    def batch_of(token: pa.Array, f: np.ndarray, about: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([token, pa.array(f), about], ["token", "f", "about"])
+
+    return docs.select("text").mapInArrow(rows, "token long, f long, about struct<n:long,last:long,sketch:binary>")
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """The prefix rows whose shingle is in the prefixes of several sets, once each.
+    """The prefix rows whose shingle is in the prefixes of several sets, once each, and those about a set.
 
-    Frequent shingles are shared by their level alone and are not brought together;
-    the others have few sets.
+    Frequent shingles are shared by their level alone and are not brought together, nor
+    are the rows about sets; the others have few sets.
     """
     frequent = F.col("token") >= (1 << TOKEN_BITS)
-    bucket = Window.partitionBy("token").orderBy("f")
-    rare = rows.filter(~frequent)
+    alone = F.col("token").isNull() | frequent
+    dealt = rows.withColumn("_part", F.when(alone, F.xxhash64("f")).otherwise(F.lit(0).cast("long")))
+    bucket = Window.partitionBy("token", "_part")
     return (
-        rare.withColumn("_before", F.lag("f").over(bucket))
-        .withColumn("_lowest", F.min("f").over(Window.partitionBy("token")))
-        .withColumn("_highest", F.max("f").over(Window.partitionBy("token")))
-        .filter("_lowest < _highest AND (_before IS NULL OR _before <> f)")
-        .select("token", "f", "n", "last")
-        .unionByName(rows.filter(frequent).distinct())
+        dealt.withColumn("_before", F.lag("f").over(bucket.orderBy("f")))
+        .withColumn("_lowest", F.min("f").over(bucket))
+        .withColumn("_highest", F.max("f").over(bucket))
+        .filter("_before IS NULL OR _before <> f")
+        .filter(alone | (F.col("_lowest") < F.col("_highest")))
+        .select("token", "f", "about")
     )
 
 
+def prefix_lists(shared: DataFrame) -> DataFrame:
+    """(f, n, last, sketch, tokens): the shared prefix shingles of every set that has some, ascending."""
+    listed = shared.groupBy("f").agg(
+        F.sort_array(F.collect_list("token")).alias("tokens"), F.max("about").alias("about")
+    )
+    return listed.filter(F.size("tokens") > 0).select("f", "about.*", "tokens")
+
+
 def needed(a: Column, b: Column) -> Column:
     """The least intersection that links sets of sizes a and b."""
     return F.ceil((a + b) * PERCENT / (100 + PERCENT))
@@ -206,7 +232,7 @@ def rest_after(n: Column) -> Column:
     return F.floor((n * PERCENT + 99) / 100) - 1
 
 
-def star_pairs(shared: DataFrame, lists: DataFrame) -> DataFrame:
+def star_pairs(lists: DataFrame) -> DataFrame:
     """(a, b): every set with the hubs of its buckets that it meets most often, ``STARS`` at most.
 
     The hub of a bucket is its set with the largest share of shared shingles. A set of a
@@ -215,8 +241,8 @@ def star_pairs(shared: DataFrame, lists: DataFrame) -> DataFrame:
     for the trees.
     """
     weight = F.size("tokens") / (F.col("n") - rest_after(F.col("n")))
-    scored = shared.select("token", "f").join(lists.select("f", weight.alias("w")), "f")
-    hubs = scored.groupBy("token").agg(F.max(F.struct("w", "f"))["f"].alias("hub"))
+    shared = lists.select("f", weight.alias("w"), F.explode("tokens").alias("token"))
+    hubs = shared.groupBy("token").agg(F.max(F.struct("w", "f"))["f"].alias("hub"))
     met = shared.select("token", "f").join(hubs, "token").filter("f <> hub").groupBy("f", "hub").count()
     most = Window.partitionBy("f").orderBy(F.desc("count"), "hub")  # as many rows as a prefix has shingles, at most
     pairs = met.withColumn("_place", F.row_number().over(most)).filter(F.col("_place") <= STARS)
@@ -263,16 +289,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def whole_sets(docs: DataFrame, keys: DataFrame, names: DataFrame, order) -> DataFrame:
     """(f, tokens) of the named sets, from one document each."""
 
-    def work(texts: pa.Array) -> pa.Array:
-        flat, bounds = shingle_sets(texts)
-        first, _ = fingerprints(flat, bounds)
-        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))
-        return pa.StructArray.from_arrays([pa.array(first), lists], ["f", "tokens"])
-
-    run = by_pieces(work, PIECE)
-
-    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return run(batches)
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in texts_of(batches):
+            flat, bounds = shingle_sets(texts)
+            first, _ = fingerprints(flat, bounds)
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(first), lists], ["f", "tokens"])
 
     chosen = keys.join(names, "f", "left_semi").groupBy("f").agg(
         F.min(F.col("doc_id").cast("long")).alias("_id")
@@ -282,21 +304,20 @@ def whole_sets(docs: DataFrame, keys: DataFrame, names: DataFrame, order) -> Dat
     read = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "text"
     ).join(small_side(checkpointed(ids)), ["_id", "_none"], "left_semi")
-    made = read.select(F.arrow_udf(apply, "f long, tokens array<long>")(F.col("text")).alias("s")).select("s.*")
+    # not a column function: a filter on its result would be tried on every document, before the join
+    made = read.select("text").mapInArrow(sets, "f long, tokens array<long>")
     return made.join(names, "f", "left_semi").dropDuplicates(["f"])
 
 
-def tree_pairs(shared: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFrame:
+def tree_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b): pairs of different components that a walk through the prefix trees lets pass."""
     label = F.coalesce("label", "f")
-    occurrences = lists.select(
-        "f", "n", "last", F.size("tokens").alias("_size"), F.posexplode("tokens").alias("_place", "token")
-    ).withColumn("left", F.col("_size") - F.col("_place"))
-    placed = checkpointed(
-        occurrences.join(labels.withColumnRenamed("node", "f"), "f", "left").select(
-            "token", "f", "n", "last", "left", label.alias("label")
-        )
+    named = checkpointed(
+        lists.join(labels.withColumnRenamed("node", "f"), "f", "left").withColumn("label", label)
     )
+    placed = named.select(
+        "f", "n", "last", "label", F.size("tokens").alias("_size"), F.posexplode("tokens").alias("_place", "token")
+    ).select("token", "f", "n", "last", (F.col("_size") - F.col("_place")).alias("left"), "label")
     by_label = placed.groupBy("token", "label").agg(
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("f")).alias("x"),
@@ -319,41 +340,47 @@ def tree_pairs(shared: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFr
         .select("token", "major", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks"))
     )
     inside = placed.join(open_, "token")
-    block = F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")
-    narrow = ["f", "label", "n", "last", "left"]
-    members = inside.select("token", block.alias("block"), F.lit(False).alias("walks"), *narrow)
-    walkers = inside.filter("label <> major").select(
-        "token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("walks"), *narrow
+    own = F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")
+    # a set is a member of its own block and, outside the largest component, walks through all of them
+    walked = F.when(F.col("label") != F.col("major"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
+        F.array().cast("array<int>")
     )
-    group = ["token", "block"]
-    screened = (
-        members.unionByName(walkers)
-        .repartition(*group)
-        .sortWithinPartitions(*group, "walks")
-        .mapInArrow(screen_groups, SCREENED)
-    )
-    rows = (
-        screened.join(lists.select("f", "tokens"), "f")
-        .select(*group, "walks", "f", "label", "n", "last", "tokens")
-        .repartition(*group)
-        .sortWithinPartitions(*group, "walks")
+    narrow = ["f", "label", "n", "last", "left"]
+    rows = inside.select("token", own.alias("_own"), F.explode(F.concat(F.array(F.lit(-1)), walked)).alias("_walk"), *narrow)
+    walks = F.col("_walk") >= 0
+    sized = rows.select(
+        "token", F.when(walks, F.col("_walk")).otherwise(F.col("_own")).alias("block"), walks.alias("walks"), *narrow
     )
-    return rows.mapInArrow(walk_groups, "a long, b long").distinct()
+    screened = by_group(sized).mapInArrow(screen_groups, SCREENED)
+    sketched = by_group(screened.join(named.select("f", "sketch"), "f").select(*columns_of(SCREENED), "sketch"))
+    screened = checkpointed(sketched.mapInArrow(screen_groups, SCREENED))
+    listed = screened.drop("left").join(named.select("f", "tokens", "sketch"), "f")
+    whole = listed.select("token", "block", "walks", "f", "label", "n", "last", "tokens", "sketch")
+    return by_group(whole).mapInArrow(walk_groups, "a long, b long").distinct()
 
 
-SCREENED = "token long, block int, walks boolean, f long, label long, n long, last long"
+def by_group(rows: DataFrame) -> DataFrame:
+    """The rows of a bucket and block together, members before walkers."""
+    return rows.repartition("token", "block").sortWithinPartitions("token", "block", "walks")
+
+
+def columns_of(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+SCREENED = "token long, block int, walks boolean, f long, label long, n long, last long, left int"
 
 
 def screen_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of sorted groups that have a partner by sizes and what is left of both lists alone.
+    """Rows of sorted groups that have a partner by sizes, what is left of both lists and, if they have them, sketches.
 
-    Only these fetch their lists. A group has few members; walkers pass one by one.
+    Only these fetch sketches and then lists. A group has few members; walkers pass one by one.
     """
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 4]
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 4, pa.int32()]
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCREENED.split(", ")])
+        return pa.RecordBatch.from_arrays(columns, columns_of(SCREENED))
 
     here, screen, out = None, Screen(), []
     for batch in batches:
@@ -365,7 +392,7 @@ def screen_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if not row[2]:
                 screen.members.append(row)
             elif screen.has_partner(row):
-                out.append(row[:7])
+                out.append(row[:8])
         if len(out) > 10_000:
             yield batch_of(out)
             out = []
@@ -379,39 +406,75 @@ class Screen:
 
     def __init__(self):
         self.members: list[tuple] = []
-        self.table, self.used = None, None
+        self.table, self.used, self.sketches = None, None, None
 
     def has_partner(self, row: tuple) -> bool:
         if not self.members:
             return False
+        sketched = len(row) > 8
         if self.table is None:
-            self.table = np.array([r[4:] for r in self.members], np.int64).T
+            self.table = np.array([r[4:8] for r in self.members], np.int64).T
             self.used = np.zeros(len(self.members), bool)
+            if sketched:
+                self.sketches = by_width([words_of(r[8]) for r in self.members])
         label, n, last, left = self.table
-        own_label, own_n, own_last, own_left = row[4:]
+        own_label, own_n, own_last, own_left = row[4:8]
         behind = np.where(own_last <= last, own_n, n)
         wanted = -(-(own_n + n) * PERCENT // (100 + PERCENT))
         good = (label != own_label) & (n * 100 >= own_n * PERCENT) & (n * PERCENT <= own_n * 100)
         good &= np.minimum(left, own_left) + (behind * PERCENT + 99) // 100 - 1 >= wanted
+        if sketched and good.any():
+            own = words_of(row[8])
+            for at, words in self.sketches:
+                chosen = good[at]
+                some = at[chosen]
+                width = min(words.shape[1], len(own))
+                apart = np.bitwise_count(folded(words[chosen], width) ^ folded(own, width)).sum(axis=1, dtype=np.int64)
+                good[some] = apart <= most_apart(own_n + n[some])
         self.used |= good
         return bool(good.any())
 
     def needed_members(self) -> list[tuple]:
-        return [] if self.used is None else [r[:7] for r, u in zip(self.members, self.used) if u]
+        return [] if self.used is None else [r[:8] for r, u in zip(self.members, self.used) if u]
+
+
+def words_of(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(sketch, np.uint64)
+
+
+def by_width(sketches: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sketches of each width, with their places."""
+    widths = np.array([len(s) for s in sketches])
+    return [(at, np.array([sketches[i] for i in at])) for at in (np.flatnonzero(widths == w) for w in np.unique(widths))]
+
+
+def bits_apart(a: tuple[int, int], b: tuple[int, int]) -> int:
+    """Bits in which two sketches, as numbers with their sizes in bits, differ at the smaller size."""
+    (a, size), (b, other) = sorted((a, b), key=lambda s: s[1])
+    while other > size:
+        other //= 2
+        b = (b >> other) ^ (b & ((1 << other) - 1))
+    return (a ^ b).bit_count()
+
+
+def most_apart(sizes):
+    """Shingles that linked sets differ in at most, by the sum of their sizes."""
+    return sizes * (100 - PERCENT) // (100 + PERCENT)
 
 
 def walk_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walks group after group of rows sorted by bucket and block, members before walkers."""
     here, tree, out = None, None, []
     for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-        columns = [batch.column(k).to_pylist() for k in range(8)]
-        for token, block, walks, f, label, n, last, tokens in zip(*columns):
+        columns = [batch.column(k).to_pylist() for k in range(9)]
+        for token, block, walks, f, label, n, last, tokens, sketch in zip(*columns):
+            drawn = int.from_bytes(sketch), 8 * len(sketch)
             if (token, block) != here:
                 here, tree = (token, block), Tree()
             if not walks:
-                tree.add(f, label, n, last, tokens)
+                tree.add(f, label, n, last, tokens, drawn)
             else:
-                out += [(min(f, g), max(f, g)) for g in tree.walk(token, f, label, n, last, tokens)]
+                out += [(min(f, g), max(f, g)) for g in tree.walk(token, f, label, n, last, tokens, drawn)]
         if out:
             pairs = sorted(set(out))
             yield pa.RecordBatch.from_arrays(
@@ -430,7 +493,7 @@ class Tree:
     def __init__(self):
         self.roots: dict[int, list] = {}
 
-    def add(self, f: int, label: int, n: int, last: int, tokens: list[int]) -> None:
+    def add(self, f: int, label: int, n: int, last: int, tokens: list[int], drawn: tuple[int, int]) -> None:
         at = self.roots.setdefault(int(SIZE_CLASSES * math.log(n)), new_node(n))
         for depth, token in enumerate(tokens):
             widen(at, n, len(tokens) - depth)
@@ -439,12 +502,12 @@ class Tree:
                 branch = at[0][token] = new_node(n)
             at = branch
         widen(at, n, 0)
-        at[1].append((f, label, n, last))
+        at[1].append((f, label, n, last, drawn))
 
     def walk(
-        self, bucket: int, f: int, label: int, n: int, last: int, tokens: list[int]
+        self, bucket: int, f: int, label: int, n: int, last: int, tokens: list[int], drawn: tuple[int, int]
     ) -> list[int]:
-        """Sets of other components whose list may belong to a link with this one.
+        """Sets of other components whose list and sketch may belong to a link with this one.
 
         A pair is looked at in the bucket of its first common shingle only, so a branch
         that meets an own shingle before the bucket's is left.
@@ -461,14 +524,16 @@ class Tree:
                 continue
             if met + min(way, left) < least_met(n, least, most):
                 continue
-            for g, other, size, end in sets:
+            for g, other, size, end, other_drawn in sets:
                 if other == label or g == f:
                     continue
                 if size * 100 < n * PERCENT or size * PERCENT > n * 100:
                     continue
                 behind = n if last <= end else size
                 wanted = -(-(n + size) * PERCENT // (100 + PERCENT))
-                if met + (behind * PERCENT + 99) // 100 - 1 >= wanted:
+                if met + (behind * PERCENT + 99) // 100 - 1 < wanted:
+                    continue
+                if bits_apart(drawn, other_drawn) <= most_apart(n + size):
                     found.append(g)
             for token, branch in branches.items():
                 k = place.get(token)
@@ -505,15 +570,13 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("doc_id", "text")
     keys = checkpointed(set_keys(docs))
     order = spark.sparkContext.broadcast(learned_order(docs))
-    shared = checkpointed(shared_prefixes(prefix_rows(docs, order)))
-    lists = checkpointed(
-        shared.groupBy("f", "n", "last").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    )
-    first = checkpointed(possible(star_pairs(shared, lists), lists))
+    shared = shared_prefixes(prefix_rows(docs, order))
+    lists = checkpointed(prefix_lists(shared))
+    first = checkpointed(possible(star_pairs(lists), lists))
     sets = checkpointed(whole_sets(docs, keys, ends_of(first), order))
     links = checkpointed(verified(first, sets))
     labels = components(links)
-    second = checkpointed(tree_pairs(shared, lists, labels))
+    second = checkpointed(tree_pairs(lists, labels))
     more = checkpointed(whole_sets(docs, keys, ends_of(second), order))
     links = links.unionByName(verified(second, more))
     return keys, components(links)
