@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.common import packed
 from faultline.sources.checkpoints import checkpointed
 
 
@@ -13,24 +14,26 @@ def components(links: DataFrame) -> DataFrame:
     that label, so a star ends in one round and a chain in few. Minima are merged
     before the shuffle, so a node with very many links is no burden.
     """
-    both = checkpointed(
-        links.select(F.col("a").alias("node"), F.col("b").alias("other"))
-        .unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        .distinct()
+    ends = F.array(
+        F.struct(F.col("a").alias("node"), F.col("b").alias("other")),
+        F.struct(F.col("b").alias("node"), F.col("a").alias("other")),
     )
+    both = checkpointed(links.select(F.inline(ends)).distinct())
+    rows = both.count()  # of no step are there more, but for one label of each node
+    both = packed(both, rows)
     labels = checkpointed(
-        both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label"))
+        packed(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), rows)
     )
     while True:
         heard = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "label")
-        lowest = heard.unionByName(labels).groupBy("node").agg(F.min("label").alias("near"))
+        lowest = packed(heard.unionByName(labels), rows).groupBy("node").agg(F.min("label").alias("near"))
         roots = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
         joined = (
-            lowest.join(roots, "near", "left")
+            packed(packed(lowest, rows).join(roots, "near", "left"), rows)
             .join(labels.withColumnRenamed("label", "old"), "node")
             .select("node", F.least("near", "far").alias("label"), "old")
         )
-        stepped = checkpointed(joined)
+        stepped = checkpointed(packed(joined, rows))
         changed = not stepped.filter("label < old").isEmpty()
         labels = stepped.select("node", "label")
         if not changed:

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.arrow import by_pieces, give_back, pieces
-from faultline.llm.common import small_side
+from faultline.llm.common import settled, small_side
 from faultline.llm.components import components
 from faultline.llm.shingles import TOKEN_BITS, fingerprints, folded, shingle_sets, sketch
 from faultline.sources.checkpoints import checkpointed
@@ -287,7 +287,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, keys: DataFrame, names: DataFrame, order) -> DataFrame:
-    """(f, tokens) of the named sets, from one document each."""
+    """(f, tokens) of the named sets, from one document each; ``names`` is stored."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in texts_of(batches):
@@ -296,6 +296,7 @@ def whole_sets(docs: DataFrame, keys: DataFrame, names: DataFrame, order) -> Dat
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(first), lists], ["f", "tokens"])
 
+    names = small_side(names)
     chosen = keys.join(names, "f", "left_semi").groupBy("f").agg(
         F.min(F.col("doc_id").cast("long")).alias("_id")
     )
@@ -572,18 +573,18 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = spark.sparkContext.broadcast(learned_order(docs))
     shared = shared_prefixes(prefix_rows(docs, order))
     lists = checkpointed(prefix_lists(shared))
-    first = checkpointed(possible(star_pairs(lists), lists))
+    first = settled(possible(star_pairs(lists), lists))
     sets = checkpointed(whole_sets(docs, keys, ends_of(first), order))
-    links = checkpointed(verified(first, sets))
+    links = settled(verified(first, sets))
     labels = components(links)
-    second = checkpointed(tree_pairs(lists, labels))
+    second = settled(tree_pairs(lists, labels))
     more = checkpointed(whole_sets(docs, keys, ends_of(second), order))
-    links = links.unionByName(verified(second, more))
+    links = settled(links.unionByName(verified(second, more)))
     return keys, components(links)
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct()
+    return settled(pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct())
 
 
 def join_report(docs: DataFrame) -> DataFrame:
